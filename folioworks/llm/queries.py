@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioworks.llm import simhash
+import public_tokenizers
+
+from folioworks.llm import bpe, secrets, simhash
 from folioworks.llm.words import table
 
+#: A file that every executor has.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.simhash_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash": op6_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.with_tokens(docs, VOCABULARY, decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op6_simhash": op6_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op9_secrets": secrets.ORACLE_SQL}
