@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from folioworks.llm import bpe, secrets, simhash
+from folioworks.llm import bpe, mixing, secrets, simhash
 from folioworks.llm.words import table
 
 #: A file that every executor has.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.simhash_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -28,5 +32,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op4_mix": op4_mix, "op6_simhash": op6_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op9_secrets": secrets.ORACLE_SQL}
