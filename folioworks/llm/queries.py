@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from folioworks.llm import bpe, mixing, secrets, simhash
+from folioworks.llm import bpe, media, mixing, secrets, simhash, urls
 from folioworks.llm.words import table
 
 #: A file that every executor has.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
@@ -22,6 +29,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -32,5 +43,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op4_mix": op4_mix, "op6_simhash": op6_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {"op9_secrets": secrets.ORACLE_SQL}
+QUERIES = {"op2_urls": op2_urls, "op4_mix": op4_mix, "op6_simhash": op6_simhash, "op7_media": op7_media, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op2_urls": urls.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
