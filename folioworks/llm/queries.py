@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from folioworks.llm import bpe, media, mixing, secrets, simhash, urls
+from folioworks.llm import ann, bpe, media, mixing, secrets, simhash, urls
 from folioworks.llm.words import table
 
 #: A file that every executor has.
@@ -20,6 +20,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_urls": op2_urls, "op4_mix": op4_mix, "op6_simhash": op6_simhash, "op7_media": op7_media, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op6_simhash": op6_simhash, "op7_media": op7_media, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op2_urls": urls.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
