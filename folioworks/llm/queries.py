@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from folioworks.llm import ann, bpe, media, mixing, secrets, simhash, urls
+from folioworks.llm import ann, bpe, media, mixing, secrets, simhash, toxicity, urls
 from folioworks.llm.words import table
 
 #: A file that every executor has.
@@ -37,6 +37,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -47,5 +51,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op6_simhash": op6_simhash, "op7_media": op7_media, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op2_urls": urls.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
