@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from folioworks.llm import ann, bpe, media, mixing, secrets, simhash, toxicity, urls
+from folioworks.llm import ann, bpe, lines, media, mixing, secrets, simhash, toxicity, urls
 from folioworks.llm.words import table
 
 #: A file that every executor has.
@@ -15,6 +15,10 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -51,5 +55,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {"op2_urls": urls.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op2_urls": urls.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
