@@ -19,7 +19,8 @@ from folioworks.session import staged
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
-SHARDS = 32
+#: Output shards at least, and the words that one holds at most, about.
+SHARDS, SHARD_WORDS = 32, 1 << 26
 #: Words in a block, about; larger where the corpus would have over 2**20 blocks.
 BLOCK_WORDS = 1 << 16
 SEED = 20
@@ -102,7 +103,7 @@ class Mix:
         passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_TIMES))).otherwise(0).cast("int")
         targets = targets.withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / per_block), F.lit(1)).cast("long")).withColumn("passes", passes)
         self.sources = staged(targets.withColumn("room", F.col("target") - F.col("passes") * F.col("source_size")), "sources")
-        self._plan(shards)
+        self._plan(max(shards, (self.sources.agg(F.sum("source_size").alias("n")).first().n or 0) // SHARD_WORDS))
 
     def _hashed(self, docs: DataFrame) -> DataFrame:
         i, s, t = (F.col(f"`{c}`") for c in self.names)

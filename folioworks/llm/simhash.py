@@ -17,9 +17,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.llm.components import connected_components, local_roots
+from folioworks.llm.words import row_key
 from folioworks.session import staged
 
 SEED = 42
@@ -149,6 +150,18 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return lists.mapInArrow(_list_edges, "u long, v long").distinct()
 
 
+def _classes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id_col, fp, component_id) for ids of any ordered type."""
+    prints = staged(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))), "prints")
+    classes = staged(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
+    roots = connected_components(fingerprint_links(classes.select("fp")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    linked = staged(rooted, "rooted")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_print = linked.join(least, "root").select("fp", "component_id")
+    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``id_col``, fp (signed long) and component_id, the smallest
     id of a document that can be reached over links of at most three differing bits.
@@ -158,22 +171,18 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     component id; it is null if a class has no other. Repeated rows stay repeated. An
     empty table gives no rows. Other columns play no part.
     """
-    prints = staged(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))), "prints")
-    classes = staged(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
-    roots = connected_components(fingerprint_links(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    linked = staged(rooted, "rooted")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _classes(docs, id_col, text)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one with the class's smallest id.
-    Rows with a null id stay only where their class has no id at all, as do copies of a row."""
-    classes = simhash_classes(docs, id_col, text).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = classes.select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each class: the one with the class's smallest id (null last),
+    of several with that id the one whose row hashes lowest; repeated rows count once."""
+    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), row_key(id_col, text).alias("_key"))
+    rows = keyed.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_key").alias("key")).alias("row"), F.col(text).alias("text"))
+    first = _classes(rows, "row", "text").where(F.col("row") == F.col("component_id")).select(F.col("row.key").alias("_key")).distinct()
+    kept = keyed.join(first, "_key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
 
 
 def fp_hex(fp: Column) -> Column:
