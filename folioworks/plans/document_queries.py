@@ -205,7 +205,7 @@ named as (
   select s.*, a.text as t1, b.text as t2 from seen s
   left join conversations a on a.conv_id = s.conv_id and a.turn = s.p1 left join conversations b on b.conv_id = s.conv_id and b.turn = s.p2
 )
-select conv_id, min(turn) as turn, max(trim(left(t1, 40))) as heading_1, max(case when p2 > coalesce(p1, -1) then trim(left(t2, 40)) end) as heading_2, string_agg(text, chr(10) order by turn) as body
+select conv_id, min(turn) as turn, max(trim(left(t1, 40), ' ' || chr(10))) as heading_1, max(case when p2 > coalesce(p1, -1) then trim(left(t2, 40), ' ' || chr(10)) end) as heading_2, string_agg(text, chr(10) order by turn) as body
 from named where lvl is null group by conv_id, g having bool_or(is_item)
 """
 

@@ -67,3 +67,14 @@ def completion(states: DataFrame, tracked: DataFrame, key: str = "batch_id", gro
 def completed_within(batches: DataFrame, now, minutes: int, source_like: str) -> DataFrame:
     """R-05: the completions of a source within a time bound; act on them in foreachBatch."""
     return batches.where((F.col("status") == "completed") & F.col("source_key").like(source_like) & (F.col("completed_at") > now - F.expr(f"interval {minutes} minutes")))
+
+
+def streamed_states(events: DataFrame, into: str, checkpoint: str) -> DataFrame:
+    """R-03 on a stream: runs until all input is seen; each micro-batch's states replace the
+    ones before, and a replayed micro-batch writes the same again."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(into)
+
+    stream = batch_states(events).writeStream.outputMode("complete").foreachBatch(write)
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return events.sparkSession.read.parquet(into)
