@@ -104,13 +104,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     alike in id and text are one occurrence and lose the same lines. An empty table gives no
     rows; other columns pass, but n_removed is replaced.
     """
-    cols = [c for c in docs.columns if c != "n_removed"]
     runs = repeated_runs(docs, id_col, text, least_words)
-    keyed = docs.select(*(F.col(f"`{c}`") for c in cols), row_key(id_col, text).alias("_key"))
-    met = keyed.join(runs.select(F.col("key").alias("_key"), "runs"), "_key", "left")
-    cut = _without(F.when(F.col("runs").isNotNull(), F.col(f"`{text}`")), F.col("runs"))
-    done = met.withColumn("_cut", cut)
-    return done.select(*(F.coalesce("_cut.text", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in cols), F.coalesce("_cut.n_removed", F.lit(0)).alias("n_removed"))
+    cols = [c for c in docs.columns if c != "n_removed"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), row_key(id_col, text).alias("key"))
+    met = rows.join(runs, "key", "left")
+    old = F.col("row").getField(text)
+    done = met.withColumn("cut", _without(F.when(F.col("runs").isNotNull(), old), F.col("runs")))
+    kept = (F.coalesce("cut.text", old).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in cols)
+    return done.select(*kept, F.coalesce("cut.n_removed", F.lit(0)).alias("n_removed"))
 
 
 ORACLE_SQL = rf"""

@@ -177,12 +177,12 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the class's smallest id (null last),
     of several with that id the one whose row hashes lowest; repeated rows count once."""
-    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), row_key(id_col, text).alias("_key"))
-    rows = keyed.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_key").alias("key")).alias("row"), F.col(text).alias("text"))
-    first = _classes(rows, "row", "text").where(F.col("row") == F.col("component_id")).select(F.col("row.key").alias("_key")).distinct()
-    kept = keyed.join(first, "_key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.col(text).alias("text"), row_key(id_col, text).alias("key"))
+    rows = keyed.select(F.struct(F.col("id").isNull().alias("last"), "id", "key").alias("row"), "text")
+    first = _classes(rows, "row", "text").where(F.col("row") == F.col("component_id")).select(F.col("row.key").alias("key")).distinct()
+    kept = keyed.select("doc", "key").join(first, "key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    return kept.withColumn("nth", nth).where("nth = 1").select("doc.*")
 
 
 def fp_hex(fp: Column) -> Column:
