@@ -40,6 +40,7 @@ def normalize_text(text: Column) -> Column:
 
 
 def fold_digits(text: Column) -> Column:
+    """T-02."""
     return F.translate(text, ARABIC_DIGITS, ASCII_DIGITS)
 
 

@@ -18,7 +18,7 @@ def _numbered(n: Column) -> Column:
 
 
 def split_articles(docs: DataFrame, text: str = "text", key: str = "doc_id", heading: str = ARTICLE, occurrences: bool = True) -> DataFrame:
-    """G-01, G-03: one row per heading line: ``key``, pos, article_number, number (folded), local_id, body.
+    """G-01, G-03, W-04: one row per heading line: ``key``, pos, article_number, number (folded), local_id, body.
 
     A body reaches to the next heading; what stands before the first is dropped. With
     ``occurrences`` a number that comes again in a document gets -OCC-n.

@@ -106,6 +106,7 @@ select a.doc_id, count(*) as n from t a join t b on a.lang = b.lang and a.topic
 union all select a.doc_id, count(*) from t a join t b on a.lang = b.lang and a.topic is not distinct from b.topic where a.doc_id % 10 = 3 and b.doc_id % 10 = 1 group by a.doc_id
 """)
 def null_safe_lookup(d: Tables) -> DataFrame:
+    """D-09."""
     t = d.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("topic"))
     b = t.where("doc_id % 10 = 1").groupBy("lang", "topic").agg(F.count("*").alias("n")).alias("b")
     a = t.where("doc_id % 10 in (0, 3)").alias("a")
@@ -124,6 +125,7 @@ def title_number_search(d: Tables) -> DataFrame:
 
 @query("select page_id from pages where url like 'https://%' and url like '%/en/%'")
 def like_filters(d: Tables) -> DataFrame:
+    """D-12."""
     return d.pages.where(F.col("url").like("https://%") & F.col("url").like("%/en/%")).select("page_id")
 
 
@@ -150,6 +152,7 @@ def section_heads(d: Tables) -> DataFrame:
 
 @query(f"select count(*) filter (where source = 'src0') as test_rows, count(*) filter (where source <> 'src0') as real_rows, count(*) filter (where doc_id in (select doc_id from labels where ({STATUS_SQL}) in ('source_verified', 'operationally_accepted') and toxic = 0)) as citable_rows from documents")
 def test_and_citable_counts(d: Tables) -> DataFrame:
+    """D-16, D-17."""
     good = d.labels.where(classify.citable(_kind(), _status())).select("doc_id", F.lit(1).alias("good"))
     count = lambda c, n: F.sum(F.when(c, 1).otherwise(0)).alias(n)
     return d.documents.join(good, "doc_id", "left").agg(count(F.col("source") == "src0", "test_rows"), count(F.col("source") != "src0", "real_rows"), count(F.col("good") == 1, "citable_rows"))
@@ -193,6 +196,7 @@ def hydrate_hits(d: Tables) -> DataFrame:
 
 @query("select o_orderkey as case_id, l_linenumber as position, p_name as title from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where o_orderpriority = '1-URGENT'")
 def case_authorities(d: Tables) -> DataFrame:
+    """J-04."""
     cases = d.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("case_id"))
     links = d.lineitem.select(F.col("l_orderkey").alias("case_id"), "l_partkey", F.col("l_linenumber").alias("position"))
     return cases.join(links, "case_id").join(d.part, F.col("l_partkey") == F.col("p_partkey")).select("case_id", "position", F.col("p_name").alias("title")).orderBy("case_id", "position")
@@ -200,6 +204,7 @@ def case_authorities(d: Tables) -> DataFrame:
 
 @query("select c_custkey as case_id, string_agg(o_orderkey::varchar, ',' order by o_orderdate desc, o_orderkey desc) as drafts from customer join orders on o_custkey = c_custkey group by c_custkey")
 def case_drafts(d: Tables) -> DataFrame:
+    """J-05."""
     newest = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")), asc=False)
     return d.orders.groupBy(F.col("o_custkey").alias("case_id")).agg(F.array_join(F.transform(newest, lambda x: x["o_orderkey"].cast("string")), ",").alias("drafts")).join(d.customer.select(F.col("c_custkey").alias("case_id")), "case_id", "left_semi")
 
