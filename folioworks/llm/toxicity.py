@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
     told = told if may_learn is None else told.where(may_learn)
     chosen = told.groupBy(id_col).agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col).limit(sample)
     texts = docs.select(F.col(id_col), F.col(text).alias("text"))
-    rows = staged(texts.join(chosen, id_col).withColumn("part", F.pmod(F.hash("_h", F.lit(7)), F.lit(100))).select("text", "toxic", "part"), "labelled")
+    rows = staged(texts.join(F.broadcast(chosen), id_col).withColumn("part", F.pmod(F.hash("_h", F.lit(7)), F.lit(100))).select("text", "toxic", "part"), "labelled")
     parts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     base = parts.get(1, 0) / max(1, sum(parts.values()))
     if len(parts) < 2:
