@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioworks.functions import text as t
 from folioworks.operators import classify, matching, segment
 from folioworks.plans.registry import Tables, query
+from folioworks.session import staged
 from folioworks.sources import exports, readers
 
 #: On the driver's texts a line of one short word stands for a heading.
@@ -379,6 +380,6 @@ select lang, count(*) filter (where rn = 1) as originals, count(*) filter (where
 """)
 def dedup_first_batch(d: Tables) -> DataFrame:
     docs = d.documents.select("doc_id", "lang", F.lit(None).cast("string").alias("topic"), t.content_digest(F.col("text")).alias("digest"))
-    told = matching.find_duplicates(docs, "digest", ["lang", "topic"], [], "doc_id")
+    told = matching.find_duplicates(staged(docs, "digests"), "digest", ["lang", "topic"], [], "doc_id")  # texts are hashed once
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return told.groupBy("lang").agg(count(~F.col("is_duplicate")).alias("originals"), count(F.col("is_duplicate")).alias("duplicates"), F.min("first_key").alias("first_batch"))

@@ -1,4 +1,8 @@
-"""Files to knowledge objects: one lazy plan from the inbox to the tables' next versions."""
+"""Files to knowledge objects: from the inbox to the tables' next versions.
+
+Decoded documents are staged in the shared folder, as sources, objects, batches and rejects
+all derive from them; everything after that is one lazy plan a table.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from folioworks.functions.text import batch_id, normalize_text, object_id
 from folioworks.operators import classify
 from folioworks.operators.matching import find_duplicates, known_duplicates
 from folioworks.operators.tables import insert_absent, upsert
+from folioworks.session import staged
 from folioworks.sources import readers
 
 OBJECT_UPDATES = ["original_text", "normalized_text", "source_key", "metadata", "updated_at"]
@@ -32,7 +37,8 @@ def canonical_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = readers.sidecars(files)
     known, unknown = readers.supported(readers.named_files(files))
     read = readers.with_blocks(known.withColumn("sha256", F.sha2("content", 256)))
-    docs, empty = readers.empty_bodies(readers.canonical(read, F.col("sha256")))
+    made = staged(readers.canonical(read, F.col("sha256")).drop("blocks"), "canonical")  # files are read and decoded once
+    docs, empty = readers.empty_bodies(made)
     met = docs.join(side, docs["path"] == side["doc_path"], "left").drop("doc_path")
     return met, unknown.select("path", "reason").unionByName(empty.select("path", "reason"))
 
