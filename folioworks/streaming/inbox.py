@@ -5,44 +5,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioworks.plans.ingest import ingest, next_tables
+from folioworks.plans.ingest import OBJECT_UPDATES, SOURCE_UPDATES, ingest
 from folioworks.schemas import TABLES, TERMINAL_STATES
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-STATE = ("sources", "knowledge_objects", "ingestion_batches")
+#: The tables that the stream keeps: their keys, and what an upsert of a known key updates.
+KEYS = {"sources": (["source_key"], SOURCE_UPDATES), "knowledge_objects": (["id"], OBJECT_UPDATES), "ingestion_batches": (["batch_id"], [])}
+STATE = tuple(KEYS)
 
 
-def version_path(root: str, table: str, version: int) -> str:
-    return f"{root}/{table}/v={version}"
+def _changes_path(root: str, table: str) -> str:
+    return f"{root}/changes/{table}"
+
+
+def _base_path(root: str, table: str) -> str:
+    return f"{root}/base/{table}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the v=<n> folders that are whole."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    names = [f.getPath() for f in store.listStatus(at)]
+    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def folded(changes: DataFrame, table: str) -> DataFrame:
+    """A table from its changes (with their version v): of a key, columns that an upsert
+    updates come from the last change and the others from the first."""
+    keys, update = KEYS[table]
+    pick = lambda c: (F.max_by if c in update else F.min_by)(c, "v").alias(c)
+    names = [c for c in changes.columns if c != "v"]
+    return changes.groupBy(*keys).agg(*(pick(c) for c in names if c not in keys)).select(names)
 
 
 def current_tables(spark: SparkSession, root: str, version: int) -> dict[str, DataFrame]:
-    """The tables as of a version; before the first they are empty."""
-    if version < 0:
-        return {t: spark.createDataFrame([], TABLES[t]()) for t in STATE}
-    return {t: spark.read.schema(TABLES[t]()).parquet(version_path(root, t, version)) for t in STATE}
+    """The tables as of a version: the newest base up to it and the changes since."""
+    out = {}
+    for t in STATE:
+        base = max((v for v in _versions(spark, _base_path(root, t)) if v <= version), default=-1)
+        paths = [(f"{_base_path(root, t)}/v={base}", base)] if base >= 0 else []
+        paths += [(f"{_changes_path(root, t)}/v={v}", v) for v in _versions(spark, _changes_path(root, t)) if base < v <= version]
+        if not paths:
+            out[t] = spark.createDataFrame([], TABLES[t]())
+            continue
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/", 1).cast("int").alias("v")
+        out[t] = folded(spark.read.schema(TABLES[t]()).parquet(*(p for p, _ in paths)).select("*", number), t)
+    return out
+
+
+def compact(spark: SparkSession, root: str, version: int) -> None:
+    """Writes the tables as of a version as a base; readers then need only the changes since.
+    Run it now and then beside the stream: it changes nothing that the stream reads."""
+    for t, table in current_tables(spark, root, version).items():
+        table.write.mode("overwrite").parquet(f"{_base_path(root, t)}/v={version}")
 
 
 def watch_inbox(spark: SparkSession, folder: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """R-01, R-02, R-06: ingests what is new in a folder, each micro-batch as one version of
-    the tables.
+    """R-01, R-02, R-06: ingests what is new in a folder; each micro-batch appends its changes.
 
-    A replayed micro-batch has the same number and writes the same version again from the one
-    before, so nothing happens twice; bad files are failed batches, not exceptions. Without
-    ``every`` the stream ends when it has seen all files.
+    A replayed micro-batch has the same number, sees the tables as of the one before and
+    writes its changes again in their place, so nothing happens twice; bad files are failed
+    batches, not exceptions. Without ``every`` the stream ends when it has seen all files.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(folder)
 
     def step(batch: DataFrame, number: int) -> None:
         at = F.lit("2000-01-01").cast("timestamp") + F.make_dt_interval(F.lit(number))  # by number: replays agree
-        seen = batch.persist()
-        try:
-            before = current_tables(spark, root, number - 1)
-            made = ingest(seen, before["sources"], before["knowledge_objects"], at)
-            for name, table in next_tables(before, made).items():
-                table.write.mode("overwrite").parquet(version_path(root, name, number))
-        finally:
-            seen.unpersist()
+        before = current_tables(spark, root, number - 1)
+        made = ingest(batch, before["sources"], before["knowledge_objects"], at)
+        for t, changes in (("sources", made.sources), ("knowledge_objects", made.objects), ("ingestion_batches", made.batches)):
+            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[t]().fields]
+            changes.select(columns).write.mode("overwrite").parquet(f"{_changes_path(root, t)}/v={number}")
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()

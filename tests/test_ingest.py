@@ -99,7 +99,19 @@ def test_stream_equals_batch(spark, tmp_path):
     stream()
     second = inbox.current_tables(spark, str(root), 1)
     assert ids(second["knowledge_objects"]) == ids(made.objects)
-    assert sorted(r.status for r in second["ingestion_batches"].collect()) == ["completed", "completed", "duplicate", "failed"]
+    states = sorted(r.status for r in second["ingestion_batches"].collect())
+    assert states == ["completed", "completed", "duplicate", "failed"]
+    inbox.compact(spark, str(root), 0)
+    again = inbox.current_tables(spark, str(root), 1)
+    assert sorted(r.status for r in again["ingestion_batches"].collect()) == states and ids(again["knowledge_objects"]) == ids(made.objects)
+
+
+def test_changes_fold_like_upserts(spark):
+    now = spark.createDataFrame([("a", "S1", "t1", "f1"), ("b", "S1", "t2", "f2")], "source_key string, source_type string, title string, file_name string")
+    change = spark.createDataFrame([("b", "S2", "new", None), ("c", "S2", "t3", "f3")], now.schema)
+    both = now.withColumn("v", F.lit(0)).union(change.withColumn("v", F.lit(1)))
+    key = lambda f: sorted(f.collect(), key=lambda r: r.source_key)
+    assert key(inbox.folded(both, "sources")) == key(tables.upsert(now, change, ["source_key"], ["title", "file_name"]))
 
 
 def test_upsert_twice_is_once(spark):
