@@ -29,6 +29,8 @@ SAMPLE = 24_000
 CUT = 0.3
 #: Shares of the sample, in percent: lexicon, trees; the rest calibrates.
 LEXICON_SHARE, TREES_SHARE = 50, 30
+#: The sample is small whatever the corpus: more partitions would only add tasks to each of the trees' jobs.
+TREE_PARTITIONS = 6
 #: Lengths of word beginnings that may enter the lexicon, and what it asks of an entry.
 STEMS = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_Z, LEAST_SHARE, MOST_ENTRIES = 4, 4.0, 0.4, 20_000
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
         return ToxicityModel({}, None, None, base)
     lexicon = learn_lexicon(rows.where(F.col("part") < LEXICON_SHARE))
     rest = staged(with_features(rows.where(F.col("part") >= LEXICON_SHARE), lexicon), "features")
-    grown = rest.where(F.col("part") < LEXICON_SHARE + TREES_SHARE)
+    grown = rest.where(F.col("part") < LEXICON_SHARE + TREES_SHARE).coalesce(TREE_PARTITIONS)
     if grown.select("toxic").distinct().count() < 2:
         return ToxicityModel(lexicon, None, None, base)
     shape = {"maxDepth": 3, "maxIter": 24, "stepSize": 0.2, "minInstancesPerNode": 8, "seed": 8}
