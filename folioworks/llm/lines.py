@@ -22,7 +22,7 @@ from folioworks.session import staged
 
 #: Words that a run must have to count as repeated.
 LEAST_WORDS = 20
-#: Tasks that the places of one fingerprint are dealt over: one line may stand in a third of all texts.
+#: Tasks that the places of one fingerprint or window are dealt over: one line may stand in a third of all texts.
 SALTS = 16
 
 MARKS = "array<struct<print:long,windows:array<struct<start:int,end:int,a:long,b:long>>>>"
@@ -68,13 +68,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
 
     rows = docs.select(row_key(id_col, text).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     marked = staged(map_texts(rows, run, f"marks {MARKS}").select("key", "id", F.explode("marks").alias("m")).select("key", "id", "m.*"), "marks")
-    often = marked.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    often = marked.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", salts)
     spread = marked.withColumn("salt", F.pmod(F.hash("key", F.lit(1)), F.lit(SALTS)))
-    around = spread.join(often, ["print", "salt"], "left_semi").select("key", "id", F.explode("windows").alias("w")).select("key", "id", "w.*")
+    around = spread.join(often, ["print", "salt"], "left_semi").select("key", "id", "salt", F.explode("windows").alias("w")).select("key", "id", "salt", "w.*")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
     windows = around.withColumn("place", place)
-    first = windows.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["a", "b"]).where("first <> place")
+    first = windows.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first", salts)
+    later = windows.join(first, ["a", "b", "salt"]).where("first <> place")
     return later.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
