@@ -20,7 +20,7 @@ from folioworks.session import staged
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 #: Output shards at least, and the words that one holds at most, about.
-SHARDS, SHARD_WORDS = 32, 1 << 26
+SHARDS, SHARD_WORDS = 8, 1 << 21
 #: Words in a block, about; larger where the corpus would have over 2**20 blocks.
 BLOCK_WORDS = 1 << 16
 SEED = 20
