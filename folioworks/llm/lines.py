@@ -32,17 +32,18 @@ def _signed(digest: bytes, at: int) -> int:
     return int.from_bytes(digest[at : at + 8], "little", signed=True)
 
 
-def marks(data: bytes, least_words: int = LEAST_WORDS) -> list[tuple]:
+def marks(data: bytes, least_words: int = LEAST_WORDS, both_ways: bool = False) -> list[tuple]:
     """Fingerprints of a text, each with the windows whose minimum it is. Lines are compared
     without white space at their ends; blank lines are passed over. Windows are given by the
-    numbers of their first and last line, blank ones counted."""
+    numbers of their first and last line, blank ones counted. ``both_ways`` adds the windows
+    that end at every line and reach back as far as they need."""
     at, digests, sizes = [], [], []
     for n, line in enumerate(data.split(b"\n")):
         if size := len(line.split()):
             at.append(n)
             sizes.append(size)
             digests.append(xxhash.xxh3_128_digest(line.strip()))
-    found: dict[int, list[tuple]] = {}
+    spans: dict[tuple[int, int], None] = {}
     end, words = 0, 0  # the window holds lines start..end-1
     for start, size in enumerate(sizes):
         while end < len(sizes) and words < least_words:
@@ -50,21 +51,33 @@ def marks(data: bytes, least_words: int = LEAST_WORDS) -> list[tuple]:
             end += 1
         if words < least_words:
             break
+        spans[start, end] = None
+        words -= size
+    start, words = len(sizes), 0
+    for end in range(len(sizes) if both_ways else 0, 0, -1):
+        while start and words < least_words:
+            start -= 1
+            words += sizes[start]
+        if words < least_words:
+            break
+        spans[start, end] = None
+        words -= sizes[end - 1]
+    found: dict[int, list[tuple]] = {}
+    for start, end in spans:
         least = min(range(start, end), key=digests.__getitem__)
         whole = xxhash.xxh3_128_digest(b"".join(digests[start:end]))
         found.setdefault(least, []).append((at[start], at[end - 1], _signed(whole, 0), _signed(whole, 8)))
-        words -= size
     return [(_signed(digests[least], 0), windows) for least, windows in found.items()]
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
     """(key, runs): for each row that repeats an earlier run, the line ranges to delete.
 
     Earlier is by id (null last), then by a hash of the row, then by line.
     """
 
     def run(texts: Iterable[bytes]) -> Iterable[tuple]:
-        return ((marks(x, least_words),) for x in texts)
+        return ((marks(x, least_words, both_ways),) for x in texts)
 
     rows = docs.select(row_key(id_col, text).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     marked = staged(map_texts(rows, run, f"marks {MARKS}").select("key", "id", F.explode("marks").alias("m")).select("key", "id", "m.*"), "marks")
@@ -98,17 +111,19 @@ def _without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": kept, "n_removed": gone})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``, and with n_removed,
     the lines that went (blank lines inside a run among them).
 
     Every deleted line stands, but for white space at its ends, in what is kept: the first
     occurrence of a line is in no later window. Runs below ``least_words`` words stay. All
-    rows stay, those whose every line went with an empty text. Null texts stay null. Rows
+    rows stay, those whose every line went with an empty text. Null texts stay null. Windows
+    grow forward only, so the last lines of a repeated run that hold fewer than ``least_words``
+    words by themselves can stay; with ``both_ways`` every line of every such run goes. Rows
     alike in id and text are one occurrence and lose the same lines. An empty table gives no
     rows; other columns pass, but n_removed is replaced.
     """
-    runs = repeated_runs(docs, id_col, text, least_words)
+    runs = repeated_runs(docs, id_col, text, least_words, both_ways)
     cols = [c for c in docs.columns if c != "n_removed"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), row_key(id_col, text).alias("key"))
     met = rows.join(runs, "key", "left")

@@ -19,6 +19,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_line_dedup_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ways=True)
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -59,5 +63,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op1_line_dedup_both_ways": op1_line_dedup_both_ways}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op2_urls": urls.ORACLE_SQL, "op5_licences": licences.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
