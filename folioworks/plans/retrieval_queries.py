@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from folioworks.functions.text import search_word
 from folioworks.operators import retrieval
 from folioworks.plans.registry import Tables, query
 
@@ -81,6 +82,38 @@ def hybrid_merge(d: Tables) -> DataFrame:
     return retrieval.hybrid_merge(_exact(d), semantic).select("query_id", "id", "tier", "position")
 
 
+@query(r"""
+with words as (select doc_id as id, doc_id % 40 as number, unnest(list_distinct(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[().,:?]+', ''), '[().,:?]+$', '')))) as token from documents),
+queries as (select item_id as query_id, item_id % 40 as number, unnest(list_distinct(string_split_regex(text, '\s+'))) as token from benchmark),
+m as (select query_id, id, count(*)::int as matched from words join queries using (number, token) group by all),
+t as (select *, max(matched) over (partition by query_id) as best from m)
+select query_id, id, matched, row_number() over (partition by query_id order by id)::int as rank, 1.0::double as score from t where matched = best qualify rank <= 3
+""")
+def exact_search_whole(d: Tables) -> DataFrame:
+    return _exact_whole(d)
+
+
+def _exact_whole(d: Tables) -> DataFrame:
+    """exact_search over whole texts: shared words meet one by one and are counted per pair."""
+    words = F.array_distinct(F.transform(F.split("text", r"\s+"), search_word))
+    objects = d.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("number"), F.explode(words).alias("token"))
+    asked = d.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("number"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("token"))
+    matched = objects.join(asked, ["number", "token"]).groupBy("query_id", "id").agg(F.count("*").cast("int").alias("matched"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "id")
+    top = matched.withColumn("rank", F.row_number().over(order)).where("rank <= 3").withColumn("_best", F.max("matched").over(Window.partitionBy("query_id")))
+    return top.where("matched = _best").select("query_id", "id", "matched", "rank", F.lit(1.0).alias("score"))
+
+
+@query()
+def hybrid_merge_whole(d: Tables) -> DataFrame:
+    """Semantic results are the nearest ten of all vectors; SQL is too slow for the words and the vectors at once."""
+    items = d.benchmark.select(F.col("item_id").alias("query_id"))
+    asked = d.embeddings.join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("q"))
+    points = d.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    semantic = retrieval.vector_top_k(points, asked, 10, key="id", most_queries=1 << 20)
+    return retrieval.hybrid_merge(_exact_whole(d), semantic).select("query_id", "id", "tier", "position")
+
+
 @query("""
 with h as (select l_suppkey % 10 as query_id, l_linenumber - 1 as axis, case l_returnflag when 'A' then 'statute' when 'R' then 'principle' else 'judgment' end as family, l_partkey as object_id, max(round(l_extendedprice, 2)) as score from lineitem group by 1, 2, 3, 4),
 b as (select *, row_number() over (partition by query_id, axis, family order by score desc, object_id) as rn from h),
