@@ -83,9 +83,11 @@ def pack_parts(docs: DataFrame, most: int, slack: int = 15_000, text: str = "tex
     return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("part", "body"))
 
 
-def text_windows(docs: DataFrame, width: int = 90_000, stride: int = 80_000, most: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """G-06: overlapping windows, at most ``most`` a text, none of them empty."""
-    n = F.least(F.ceil(F.length(text) / stride).cast("int"), F.lit(most))
+def text_windows(docs: DataFrame, width: int = 90_000, stride: int = 80_000, most: int | None = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """G-06: overlapping windows, at most ``most`` a text (None: as many as it takes), none of
+    them empty."""
+    n = F.ceil(F.length(text) / stride).cast("int")
+    n = n if most is None else F.least(n, F.lit(most))
     rows = docs.where(F.col(text).isNotNull()).select(key, text, F.explode(_numbered(n)).alias("window"))
     return rows.select(key, (F.col("window") - 1).alias("window"), F.substring(text, (F.col("window") - 1) * stride + 1, F.lit(width)).alias("body"))
 

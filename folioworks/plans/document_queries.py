@@ -244,6 +244,14 @@ def text_windows(d: Tables) -> DataFrame:
     return segment.text_windows(d.documents, 900, 800, 8).withColumnRenamed("window", "window_no")
 
 
+@query("""
+with n as (select doc_id, text, unnest(range(0, ceil(length(text) / 800.0)::int)) as w from documents where text is not null)
+select doc_id, w::int as window_no, substr(text, w * 800 + 1, 900) as body from n
+""")
+def text_windows_whole(d: Tables) -> DataFrame:
+    return segment.text_windows(d.documents, 900, 800, None).withColumnRenamed("window", "window_no")
+
+
 @query("""
 with docs as (select doc_id, ceil(n_chars / 500.0)::int as pages from documents),
 parts as (select doc_id, pages, unnest(range(1, ceil(pages / 15.0)::int + 1))::int as part from docs),

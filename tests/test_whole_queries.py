@@ -15,3 +15,11 @@ def test_words_behind_any_prefix_count(spark, tmp_path):
     assert run("exact_search_whole", spark, tmp_path) == [(0, 80, 2, 1, 1.0)]
     assert sorted(run("hybrid_merge_whole", spark, tmp_path), key=lambda r: r[3]) == [(0, 80, 0, 1), (0, 0, 1, 2), (0, 900, 1, 3), (0, 40, 1, 4)]
     assert run("exact_search", spark, tmp_path) == []
+
+
+def test_windows_reach_the_end_of_a_text(spark, tmp_path):
+    text = "".join(f"{n:09d} " for n in range(2000))
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bodies = [b for _, _, b in sorted(run("text_windows_whole", spark, tmp_path))]
+    assert len(bodies) == 25 and "".join(b[:800] for b in bodies) == text
+    assert len(run("text_windows", spark, tmp_path)) == 8
