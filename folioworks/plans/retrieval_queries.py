@@ -35,9 +35,9 @@ r as (select query_id, object_id, score, row_number() over (partition by query_i
 """
 
 
-def _top(d: Tables, k: int = 10) -> DataFrame:
+def _top(d: Tables, k: int = 10, step: int = 97) -> DataFrame:
     points = d.embeddings.select(F.col("vec_id").alias("object_id"), F.col("embedding").alias("vector"), "label")
-    asked = F.col("vec_id") % 97 == 0
+    asked = F.col("vec_id") % step == 0
     queries = d.embeddings.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("label"))
     return retrieval.vector_top_k(points, queries, k, same=("label",), most_queries=1 << 20)
 
@@ -47,6 +47,12 @@ def vector_topk(d: Tables) -> DataFrame:
     return _top(d).withColumn("score", F.round("score", 4))
 
 
+@query(TOPK_SQL.replace("% 97", "% 100") + "select query_id, object_id, round(score, 4) as score, rank::int as rank from r where rank <= 10")
+def vector_topk_hundredths(d: Tables) -> DataFrame:
+    """The stated query set: every id divisible by 100."""
+    return _top(d, step=100).withColumn("score", F.round("score", 4))
+
+
 EXACT_SQL = r"""
 with rows as (select doc_id as id, string_split_regex(left(text, 200), '\s+') as ws, doc_id % 40 as number from documents),
 words as (select id, number, list_distinct(list_transform(ws, lambda w: regexp_replace(regexp_replace(w, '^[().,:?]+', ''), '[().,:?]+$', ''))) as ws from rows),
@@ -175,6 +181,22 @@ def controlled_expansion(d: Tables) -> DataFrame:
     return retrieval.controlled_expansion(objects, seeds, blocked).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@query("""
+with tags as (select l_orderkey as id, l_suppkey as tag from lineitem group by 1, 2),
+seeds as (select o_custkey % 20 as query_id, o_orderkey as id from orders where o_orderkey in (select id from tags)),
+asked as (select distinct query_id, tag from seeds join tags using (id)),
+near as (select distinct query_id, id from asked join tags using (tag) where id % 11 > 0)
+select query_id, count(*) as n from near n where not exists (select 1 from seeds s where s.query_id = n.query_id and s.id = n.id) and not (n.id % 13 = 0) group by 1
+""")
+def controlled_expansion_whole(d: Tables) -> DataFrame:
+    """Every order is a seed of its query."""
+    objects = d.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("tags")).withColumn("not_for_use", F.col("id") % 11 == 0)
+    seeds = d.orders.select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("id")).join(objects.select("id", "tags"), "id")
+    asked = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("query_id")
+    blocked = objects.where("id % 13 = 0").select(asked, "id")
+    return retrieval.controlled_expansion(objects, seeds, blocked).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 RULES = {"older": "o_orderdate < timestamp '1996-01-01'", "template": "o_orderpriority = '5-LOW'", "cheap": "o_totalprice < 50000"}
 JUDGED_SQL = "with j as (select o_orderkey as id, o_custkey % 30 as query_id, list_filter([case when o_orderdate < timestamp '1996-01-01' then 'older' end, case when o_orderpriority = '5-LOW' then 'template' end, case when o_totalprice < 50000 then 'cheap' end], lambda x: x is not null) as reasons from orders)"
 
@@ -224,3 +246,19 @@ def entry_strategy(d: Tables) -> DataFrame:
     queries = d.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 5 + 1).cast("string")).alias("question_type"))
     objects = d.part.where("p_size < 3").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("family"))
     return retrieval.entry_strategy(queries, strategy, objects).groupBy("query_id", "step", "family").agg(F.count("*").alias("n"))
+
+
+@query("""
+with s as (select p_brand as question_type, list_sort(list(distinct p_type)) as families from part group by 1),
+c as (select p_type as family, count(*) as n from part group by 1),
+steps as (select question_type, (f.i - 1)::int as step, families[f.i] as family from s, unnest(range(1, len(families) + 1)) as f(i))
+select c_custkey as query_id, step, family, n from customer join steps on question_type = 'Brand#' || (c_custkey % 5 + 1) join c using (family)
+""")
+def entry_strategy_whole(d: Tables) -> DataFrame:
+    """All customers and parts: objects are counted per question type before the customers join."""
+    strategy = d.part.groupBy(F.col("p_brand").alias("question_type")).agg(F.array_sort(F.collect_set("p_type")).alias("families"))
+    counts = d.part.groupBy(F.col("p_type").alias("family")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("id"))
+    types = strategy.select(F.col("question_type").alias("query_id"), "question_type")
+    steps = retrieval.entry_strategy(types, strategy, counts).join(counts.select("family", "n"), "family").select(F.col("query_id").alias("question_type"), "step", "family", "n")
+    queries = d.customer.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 5 + 1).cast("string")).alias("question_type"))
+    return queries.join(steps, "question_type").select("query_id", "step", "family", "n")

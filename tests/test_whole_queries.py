@@ -23,3 +23,12 @@ def test_windows_reach_the_end_of_a_text(spark, tmp_path):
     bodies = [b for _, _, b in sorted(run("text_windows_whole", spark, tmp_path))]
     assert len(bodies) == 25 and "".join(b[:800] for b in bodies) == text
     assert len(run("text_windows", spark, tmp_path)) == 8
+
+
+def test_every_customer_hundredth_and_query_is_asked(spark, sf_dir):
+    known = lambda table, of: {r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(of).distinct().collect()}
+    brands = known("part", "p_brand")
+    asked = {r[0] for r in run("entry_strategy_whole", spark, sf_dir)}
+    assert asked == {c for c in known("customer", "c_custkey") if f"Brand#{c % 5 + 1}" in brands}
+    assert {r[0] for r in run("vector_topk_hundredths", spark, sf_dir)} == {v for v in known("embeddings", "vec_id") if v % 100 == 0}
+    assert {r[0] for r in run("controlled_expansion_whole", spark, sf_dir)} <= set(range(20))
