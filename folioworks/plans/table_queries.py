@@ -113,6 +113,17 @@ def null_safe_lookup(d: Tables) -> DataFrame:
     return a.join(b, (F.col("a.lang") == F.col("b.lang")) & F.col("a.topic").eqNullSafe(F.col("b.topic"))).select("doc_id", "n")
 
 
+@query("""
+with t as (select doc_id, lang, case when doc_id % 2 = 0 then source end as topic from documents)
+select doc_id, n from t a join (select lang, topic, count(*) as n from t group by all) b on a.lang = b.lang and a.topic is not distinct from b.topic
+""")
+def null_safe_lookup_whole(d: Tables) -> DataFrame:
+    """Every document against the numbers of all."""
+    t = d.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("topic"))
+    b = t.groupBy("lang", "topic").agg(F.count("*").alias("n")).alias("b")
+    return t.alias("a").join(b, (F.col("a.lang") == F.col("b.lang")) & F.col("a.topic").eqNullSafe(F.col("b.topic"))).select("doc_id", "n")
+
+
 @query("select p_partkey from part where contains(lower(p_name || ' ' || p_type), 'ring s') and p_size > 10")
 def substring_search(d: Tables) -> DataFrame:
     return d.part.where(classify.contains_any_column(["p_name", "p_type"], "Ring S") & (F.col("p_size") > 10)).select("p_partkey")
@@ -188,6 +199,19 @@ def known_duplicates(d: Tables) -> DataFrame:
     return matching.known_duplicates(docs.where("doc_id >= 500"), first, d.conversations.select(F.col("conv_id").alias("source_key"))).select("doc_id", "known_source", "object_count")
 
 
+@query("""
+with s as (select min(doc_id) as first_id, lang, sha256(text) as digest from documents where doc_id in (select doc_id from labels) group by 2, 3),
+c as (select s.first_id, count(t.turn) as n from s left join conversations t on t.conv_id = s.first_id group by 1)
+select d.doc_id, s.first_id as known_source, c.n as object_count from documents d join s on s.lang = d.lang and s.digest = sha256(d.text) join c on c.first_id = s.first_id where d.doc_id not in (select doc_id from labels)
+""")
+def known_duplicates_whole(d: Tables) -> DataFrame:
+    """Labelled documents are the known sources of all others."""
+    docs = d.documents.select("doc_id", F.col("lang").alias("branch"), F.lit(None).cast("string").alias("topic"), F.sha2("text", 256).alias("content_sha256"))
+    labelled = d.labels.select("doc_id").distinct()
+    first = docs.join(labelled, "doc_id", "left_semi").groupBy("content_sha256", "branch", "topic").agg(F.min("doc_id").alias("source_key")).withColumn("first_batch_id", F.col("source_key"))
+    return matching.known_duplicates(docs.join(labelled, "doc_id", "left_anti"), first, d.conversations.select(F.col("conv_id").alias("source_key"))).select("doc_id", "known_source", "object_count")
+
+
 @query("select o_orderkey as object_id, rank, round(score, 4) as score, o_orderstatus from (select vec_id as object_id, row_number() over (order by vec_id) as rank, round(embedding[1]::double, 6) as score from embeddings where label = 3) h join orders on o_orderkey = h.object_id")
 def hydrate_hits(d: Tables) -> DataFrame:
     hits = d.embeddings.where("label = 3").select(F.col("vec_id").alias("object_id"), F.row_number().over(Window.orderBy("vec_id")).alias("rank"), F.round(F.col("embedding")[0].cast("double"), 6).alias("score"))

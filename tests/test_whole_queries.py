@@ -32,3 +32,13 @@ def test_every_customer_hundredth_and_query_is_asked(spark, sf_dir):
     assert asked == {c for c in known("customer", "c_custkey") if f"Brand#{c % 5 + 1}" in brands}
     assert {r[0] for r in run("vector_topk_hundredths", spark, sf_dir)} == {v for v in known("embeddings", "vec_id") if v % 100 == 0}
     assert {r[0] for r in run("controlled_expansion_whole", spark, sf_dir)} <= set(range(20))
+
+
+def test_lookups_read_every_document(spark, tmp_path):
+    rows = [(i, "en", f"own {i}", "s") for i in range(1, 8)] + [(900, "en", "late first", "s"), (901, "en", "late first", "s"), (902, "de", "late first", "s")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,), (900,), (900,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(900,), (900,)], "conv_id long").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert run("known_duplicates_whole", spark, tmp_path) == [(901, 900, 2)]
+    assert sorted(run("null_safe_lookup_whole", spark, tmp_path)) == [(1, 5), (2, 4), (3, 5), (4, 4), (5, 5), (6, 4), (7, 5), (900, 4), (901, 5), (902, 1)]
+    assert len(run("null_safe_lookup", spark, tmp_path)) < len(rows)
