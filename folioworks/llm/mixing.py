@@ -74,15 +74,34 @@ def _shares(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return each.groupBy("shard").applyInPandas(walk, "source_no int, shard int, n long")
 
 
+def _walk(blocks: pd.DataFrame) -> pd.DataFrame:
+    """One source's blocks in permuted order: those that fit whole are taken, up to the next
+    one of which only some rows fit ('now'); blocks that no row fits of are passed over. The
+    room left is on every row."""
+    blocks = blocks.sort_values(["order", "block"], ignore_index=True)
+    room, last, past = float(blocks["room"].iloc[0]), blocks["last"].tolist(), blocks["past"].tolist()
+    for i, (words, least) in enumerate(zip(blocks["words"], blocks["least"])):
+        if past[i]:
+            continue
+        past[i] = True
+        if words <= room:
+            last[i] = "whole"
+            room -= words
+        elif least <= room:
+            last[i] = "now"
+            break
+    return blocks.assign(room=room, last=last, past=past)
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of the rows of one source's last block: those that still fit, in permuted order.
+    """Of the rows of one source's block: those that still fit, in permuted order.
     Rows alike in id and text are taken together."""
     whole = rows.groupby("u", sort=True, as_index=False).agg({"source_no": "first", "size": "sum", "room": "first"})
     left, taken = float(rows["room"].iloc[0]), []
     for size in whole["size"]:
         taken.append(size <= left)
         left -= size * taken[-1]
-    return whole.loc[taken, ["source_no", "u"]]
+    return whole.loc[taken, ["source_no", "u", "size"]]
 
 
 def _at(u: Column, blocks: Column) -> Column:
@@ -116,11 +135,21 @@ class Mix:
 
     def _plan(self, shards: int) -> None:
         placed = self._placed(self.rows)
-        words = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("room").alias("room"))
-        order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(self.seed), F.lit("last"), "source_no", "block"), "block")
-        through = words.withColumn("through", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        last = F.when(F.col("through") <= F.col("room"), "whole").when(F.col("through") - F.col("words") < F.col("room"), "part")
-        blocks = staged(through.withColumn("last", last), "blocks")
+        order = F.xxhash64(F.lit(self.seed), F.lit("last"), "source_no", "block").alias("order")
+        words = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.first("passes").alias("passes"), F.first("room").alias("room"))
+        blocks = staged(words.select("*", order, F.lit(None).cast("string").alias("last"), F.lit(False).alias("past")), "blocks")
+        chosen = self.rows.sparkSession.createDataFrame([], "source_no int, u long")
+        while True:
+            blocks = staged(blocks.groupBy("source_no").applyInPandas(_walk, blocks.schema), "blocks")
+            now = blocks.where("last = 'now'")
+            if now.isEmpty():
+                break
+            edge = placed.drop("room").join(now.select("source_no", "block", "room"), ["source_no", "block"])
+            filled = staged(edge.select("source_no", "u", "size", "room").groupBy("source_no").applyInPandas(_fill, "source_no int, u long, size long"), "chosen")
+            chosen = chosen.union(filled.select("source_no", "u"))
+            used = filled.groupBy("source_no").agg(F.sum("size").alias("used"))
+            last = F.when(F.col("last") == "now", "part").otherwise(F.col("last"))
+            blocks = blocks.join(used, "source_no", "left").withColumns({"room": F.col("room") - F.coalesce("used", F.lit(0)), "last": last}).select(blocks.columns)
         turns = F.sequence(F.lit(0), F.col("passes") - F.when(F.col("last").isNull(), 1).otherwise(0))
         takings = blocks.where("passes > 0 or last is not null").select("source_no", "block", "passes", "last", F.explode(turns).alias("turn"))
         drawn = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(self.seed), F.lit("draw"), "source_no", "block", "turn"), "block", "turn")
@@ -131,9 +160,7 @@ class Mix:
         part = (F.col("last") == "part") & (F.col("turn") == F.col("passes"))
         shard = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("shard"))))
         self.blocks = staged(takings.join(slots, ["source_no", "at"]).groupBy("source_no", "block").agg(shard(~F.coalesce(part, F.lit(False))).alias("shards"), F.max(F.when(part, F.col("shard"))).alias("part_shard")), "takings")
-        edge = placed.join(blocks.where("last = 'part'").select("source_no", "block", (F.col("room") - F.col("through") + F.col("words")).alias("left")), ["source_no", "block"])
-        rows = edge.select("source_no", "u", "size", F.col("left").alias("room"))
-        self.chosen = staged(rows.groupBy("source_no").applyInPandas(_fill, "source_no int, u long").withColumn("chosen", F.lit(True)), "chosen")
+        self.chosen = staged(chosen.withColumn("chosen", F.lit(True)), "chosen")
 
     def on(self, docs: DataFrame | None = None) -> DataFrame:
         """Rows (row: the row of ``docs``, id, source, size, u, source_size, target, shards):
@@ -150,9 +177,9 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     takes of it, repeats counted.
 
     Sizes are words (null and empty texts: 0); a null source is a source of its own. Rows
-    with equal id and text are decided alike. A source's taken words differ from its target
-    by less than the smallest row of its last block that did not fit; no row is taken more
-    than three times. An empty table gives no rows; other columns play no part.
+    with equal id and text are decided alike. A source's taken words stay below its target
+    by less than the smallest row that its last pass does not take (rows alike in id and text
+    count as one); no row is taken more than three times. An empty table gives no rows; other columns play no part.
     """
     mix = Mix(docs, **options)
     return mix.on().select(F.col("id").alias(mix.names[0]), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
