@@ -42,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens and ids (little-endian unsigned 32-bit integers)."""
-    return bpe.with_tokens(docs, VOCABULARY)
+    """doc_id, lang, source, n_chars, n_tokens, ids (little-endian unsigned 32-bit integers)
+    and decoded (the ids decoded again)."""
+    return bpe.with_tokens(docs, VOCABULARY, decoded=True)
 
 
 STAGES = [
