@@ -2,15 +2,17 @@
 
 A window starts at every line and reaches as far as it needs to hold LEAST_WORDS words. The
 line with the smallest hash in a window is its fingerprint, so two runs of equal lines of
-that many words are sure to share one, and a text has few of them. Positions are joined on
-fingerprints that occur more than once; there, matches are extended to both sides: each
-window around the position is compared by a 128-bit hash of all its lines, and windows that
-overlap chain into runs of any length. Of a repeated window all but the first occurrence go.
+that many words are sure to share one, and a text has few of them. A fingerprint goes with
+the hashes of the lines around it, as far as its windows reach. Positions are joined on
+fingerprints that occur more than once: each position meets the earliest one that has the
+same window around the same fingerprint, one partner and not all of them. From there the
+lines are compared one by one, to the left and to the right, and the longest equal run goes
+if it has LEAST_WORDS words; runs of neighbouring fingerprints chain to any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 import xxhash
@@ -25,26 +27,30 @@ LEAST_WORDS = 20
 #: Tasks that the places of one fingerprint or window are dealt over: one line may stand in a third of all texts.
 SALTS = 16
 
-MARKS = "array<struct<print:long,windows:array<struct<start:int,end:int,a:long,b:long>>>>"
+MARKS = "array<struct<print:long,mark:struct<at:int,offset:int,around:array<long>,windows:array<struct<start:int,a:long,b:long>>>>>"
 
 
-def _signed(digest: bytes, at: int) -> int:
+def _signed(digest: bytes, at: int = 0) -> int:
     return int.from_bytes(digest[at : at + 8], "little", signed=True)
 
 
-def marks(data: bytes, least_words: int = LEAST_WORDS, both_ways: bool = False) -> list[tuple]:
-    """Fingerprints of a text, each with the windows whose minimum it is. Lines are compared
-    without white space at their ends; blank lines are passed over. Windows are given by the
-    numbers of their first and last line, blank ones counted. ``both_ways`` adds the windows
-    that end at every line and reach back as far as they need."""
-    at, digests, sizes = [], [], []
+def full_lines(data: bytes) -> tuple[list[int], list[int], list[bytes]]:
+    """Numbers, words and digests of the lines that are not blank; white space at a line's
+    ends doesn't count."""
+    at, sizes, digests = [], [], []
     for n, line in enumerate(data.split(b"\n")):
         if size := len(line.split()):
             at.append(n)
             sizes.append(size)
             digests.append(xxhash.xxh3_128_digest(line.strip()))
+    return at, sizes, digests
+
+
+def window_spans(sizes: list[int], least_words: int, both_ways: bool) -> Iterable[tuple[int, int]]:
+    """(start, end), end exclusive: the shortest window from every line on, and with
+    ``both_ways`` the shortest one back from every line."""
     spans: dict[tuple[int, int], None] = {}
-    end, words = 0, 0  # the window holds lines start..end-1
+    end, words = 0, 0
     for start, size in enumerate(sizes):
         while end < len(sizes) and words < least_words:
             words += sizes[end]
@@ -62,16 +68,55 @@ def marks(data: bytes, least_words: int = LEAST_WORDS, both_ways: bool = False)
             break
         spans[start, end] = None
         words -= sizes[end - 1]
-    found: dict[int, list[tuple]] = {}
-    for start, end in spans:
-        least = min(range(start, end), key=digests.__getitem__)
-        whole = xxhash.xxh3_128_digest(b"".join(digests[start:end]))
-        found.setdefault(least, []).append((at[start], at[end - 1], _signed(whole, 0), _signed(whole, 8)))
-    return [(_signed(digests[least], 0), windows) for least, windows in found.items()]
+    return spans
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
-    """(key, runs): for each row that repeats an earlier run, the line ranges to delete.
+def marks(data: bytes, least_words: int = LEAST_WORDS, both_ways: bool = False) -> list[tuple]:
+    """Fingerprints of a text: (hash, (number among its full lines, how many lines of those
+    around come before it, hashes of the lines around, windows whose minimum it is)). Windows
+    are (first full line, 128 bits of all their lines)."""
+    _, sizes, digests = full_lines(data)
+    found: dict[int, list[tuple[int, int]]] = {}
+    for start, end in window_spans(sizes, least_words, both_ways):
+        found.setdefault(min(range(start, end), key=digests.__getitem__), []).append((start, end))
+    out = []
+    for least, spans in found.items():
+        low, high = min(s for s, _ in spans), max(e for _, e in spans)
+        wholes = ((s, xxhash.xxh3_128_digest(b"".join(digests[s:e]))) for s, e in spans)
+        mark = (least, least - low, [_signed(d) for d in digests[low:high]], [(s, _signed(w), _signed(w, 8)) for s, w in wholes])
+        out.append((_signed(digests[least]), mark))
+    return out
+
+
+def extended(own: list[int], at: int, around: list[int], offset: int) -> tuple[int, int]:
+    """The longest run (start, end) of ``own`` about ``at`` that equals lines about ``offset``
+    of ``around``; empty if not even those two are equal."""
+    if own[at] != around[offset]:
+        return at, at
+    left = right = 0
+    while left < min(at, offset) and own[at - left - 1] == around[offset - left - 1]:
+        left += 1
+    while right < min(len(own) - at, len(around) - offset) and own[at + right] == around[offset + right]:
+        right += 1
+    return at - left, at + right
+
+
+def repeated_lines(data: bytes, anchors: Iterable[tuple[int, int, list[int]]], least_words: int = LEAST_WORDS, both_ways: bool = False) -> list[tuple[int, int]]:
+    """Line ranges (start, end: numbers of the first and last line) that repeat what stands
+    around ``anchors``: (full line, offset of its equal in around, around)."""
+    numbers, sizes, digests = full_lines(data)
+    own, out = [_signed(d) for d in digests], []
+    for start, end in {extended(own, at, around, offset) for at, offset, around in anchors}:
+        if not both_ways:  # up to the end of the last window that starts and ends within the run
+            end = start + max((e for _, e in window_spans(sizes[start:end], least_words, False)), default=0)
+        if sum(sizes[start:end]) >= least_words:
+            out.append((numbers[start], numbers[end - 1]))
+    return sorted(out)
+
+
+def repeated_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
+    """(key, anchors): for each row with fingerprints that an earlier place has, where they
+    are and which lines stand around that place.
 
     Earlier is by id (null last), then by a hash of the row, then by line.
     """
@@ -80,35 +125,38 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
         return ((marks(x, least_words, both_ways),) for x in texts)
 
     rows = docs.select(row_key(id_col, text).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    marked = staged(map_texts(rows, run, f"marks {MARKS}").select("key", "id", F.explode("marks").alias("m")).select("key", "id", "m.*"), "marks")
+    marked = staged(map_texts(rows, run, f"marks {MARKS}").select("key", "id", F.explode("marks").alias("m")).select("key", "id", "m.print", "m.mark.*"), "marks")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     often = marked.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", salts)
     spread = marked.withColumn("salt", F.pmod(F.hash("key", F.lit(1)), F.lit(SALTS)))
-    around = spread.join(often, ["print", "salt"], "left_semi").select("key", "id", "salt", F.explode("windows").alias("w")).select("key", "id", "salt", "w.*")
+    shared = spread.join(often, ["print", "salt"], "left_semi").select("key", "id", "salt", "at", "offset", "around", F.explode("windows").alias("w")).select("*", "w.*")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
-    windows = around.withColumn("place", place)
-    first = windows.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first", salts)
-    later = windows.join(first, ["a", "b", "salt"]).where("first <> place")
-    return later.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())]))
-def _without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-    kept, gone = [], []
-    for text, ranges in zip(texts, runs):
-        if text is None:
-            kept.append(None)
-            gone.append(0)
-            continue
-        lines, out, upto, n = text.split("\n"), [], 0, 0
-        for start, end in sorted((r["start"], r["end"]) for r in ranges):
-            out += lines[upto:start]
-            n += max(0, end + 1 - max(upto, start))
-            upto = max(upto, end + 1)
-        out += lines[upto:]
-        kept.append("\n".join(out))
-        gone.append(n)
-    return pd.DataFrame({"text": kept, "n_removed": gone})
+    windows = shared.withColumn("place", place)
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("place", "offset", "around")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first", salts)
+    later = windows.select("key", "at", "place", "a", "b", "salt").join(first, ["a", "b", "salt"]).where("first.place <> place")
+    return later.groupBy("key").agg(F.collect_set(F.struct("at", "first.offset", "first.around")).alias("anchors"))
+
+
+def _without(least_words: int, both_ways: bool) -> Callable:
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())]))
+    def cut(texts: pd.Series, anchors: pd.Series) -> pd.DataFrame:
+        kept, gone = [], []
+        for text, places in zip(texts, anchors):
+            if text is None:
+                kept.append(None)
+                gone.append(0)
+                continue
+            lines, out, upto, n = text.split("\n"), [], 0, 0
+            for start, end in repeated_lines(text.encode(), ((p["at"], p["offset"], list(p["around"])) for p in places), least_words, both_ways):
+                out += lines[upto:start]
+                n += max(0, end + 1 - max(upto, start))
+                upto = max(upto, end + 1)
+            out += lines[upto:]
+            kept.append("\n".join(out))
+            gone.append(n)
+        return pd.DataFrame({"text": kept, "n_removed": gone})
+
+    return cut
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
@@ -116,19 +164,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     the lines that went (blank lines inside a run among them).
 
     Every deleted line stands, but for white space at its ends, in what is kept: the first
-    occurrence of a line is in no later window. Runs below ``least_words`` words stay. All
-    rows stay, those whose every line went with an empty text. Null texts stay null. Windows
-    grow forward only, so the last lines of a repeated run that hold fewer than ``least_words``
-    words by themselves can stay; with ``both_ways`` every line of every such run goes. Rows
-    alike in id and text are one occurrence and lose the same lines. An empty table gives no
-    rows; other columns pass, but n_removed is replaced.
+    occurrence of a line is in no later run. Runs below ``least_words`` words stay. All rows
+    stay, those whose every line went with an empty text. Null texts stay null. Windows start
+    at lines and grow forward only, so the last lines of a repeated run that hold fewer than
+    ``least_words`` words by themselves can stay; with ``both_ways`` every line of every such
+    run goes. Rows alike in id and text are one occurrence and lose the same lines. An empty
+    table gives no rows; other columns pass, but n_removed is replaced.
     """
-    runs = repeated_runs(docs, id_col, text, least_words, both_ways)
+    places = repeated_places(docs, id_col, text, least_words, both_ways)
     cols = [c for c in docs.columns if c != "n_removed"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), row_key(id_col, text).alias("key"))
-    met = rows.join(runs, "key", "left")
+    met = rows.join(places, "key", "left")
     old = F.col("row").getField(text)
-    done = met.withColumn("cut", _without(F.when(F.col("runs").isNotNull(), old), F.col("runs")))
+    done = met.withColumn("cut", _without(least_words, both_ways)(F.when(F.col("anchors").isNotNull(), old), F.col("anchors")))
     kept = (F.coalesce("cut.text", old).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in cols)
     return done.select(*kept, F.coalesce("cut.n_removed", F.lit(0)).alias("n_removed"))
 
@@ -161,3 +209,19 @@ counts as (select doc_id, count(*)::int as n_removed from gone group by doc_id)
 select s.doc_id, case when s.text is null then null else coalesce(k.text, '') end as text, coalesce(c.n_removed, 0) as n_removed
 from split s left join kept k on k.doc_id = s.doc_id left join counts c on c.doc_id = s.doc_id
 """
+
+#: The same with the windows that reach back from every line.
+BOTH_WAYS_SQL = (
+    ORACLE_SQL.replace(
+        "windows as (",
+        f"""backs as (
+  select f.doc_id, max(g.s) as s, f.s as e
+  from full_lines f join full_lines g on g.doc_id = f.doc_id and g.s between f.s - {LEAST_WORDS} and f.s and f.c - g.c + g.n >= {LEAST_WORDS}
+  group by f.doc_id, f.s
+),
+placed as (select p.doc_id, p.s, l.i, p.e from (select doc_id, s, e from ends union select doc_id, s, e from backs) p join full_lines l on l.doc_id = p.doc_id and l.s = p.s),
+windows as (""",
+    )
+    .replace("from ends w join", "from placed w join")
+    .replace("group by w.doc_id, w.s, w.i", "group by w.doc_id, w.s, w.i, w.e")
+)
