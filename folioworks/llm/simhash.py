@@ -2,11 +2,12 @@
 
 Two 64-bit fingerprints that differ in at most three bits share at least five of their
 eight bytes, each in its own position. A posting list for one (position, byte) would hold
-1/256 of all fingerprints, so lists are kept for the 56 choices of five positions: the
-pairs of such a list have a tally of shared positional bytes of five or more at once, and
-every pair with such a tally meets in a list. What a list's members can differ in is three
-bytes, so a list never holds more than 2**24 distinct fingerprints, however many documents
-are alike.
+1/256 of all fingerprints, so lists are kept for the 56 choices of three positions, of which
+such a pair meets in ten or more. What meets in a list shares three bytes; the tally of
+shared positional bytes, taken in the first list that a pair meets in, retains the pairs
+with five or more, and those are verified by their bits. In long lists the tally is taken
+by splitting them on two more positions. Equal fingerprints are indexed once, however many
+documents are alike.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ SEED = 42
 BYTES, MOST_BITS = 8, 3
 #: Bytes that a pair within MOST_BITS is sure to share.
 LEAST_SHARED = BYTES - MOST_BITS
-#: Longer lists look up the neighbours of each member instead of comparing all.
+#: Byte positions of a posting list: fewer make longer lists, LEAST_SHARED would leave nothing to count.
+LISTED = 3
+PLACES = tuple(combinations(range(BYTES), LISTED))
+#: Longer lists are split on further positions; of those, longer ones look up the neighbours of each member.
 COMPARE_UP_TO = 1024
 
 
@@ -62,9 +66,9 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> D
 
 
 def posting_keys(fp: Column) -> Column:
-    """For each choice of LEAST_SHARED byte positions: its number above the bytes there."""
+    """For each choice of LISTED byte positions: its number above the bytes there."""
     keys = []
-    for n, places in enumerate(combinations(range(BYTES), LEAST_SHARED)):
+    for n, places in enumerate(PLACES):
         key = F.lit(n).cast("long")
         for p in places:
             key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255)))
@@ -77,18 +81,30 @@ def shared_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (np.bitwise_xor(x, y).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
 
 
+def retained(x: np.ndarray, y: np.ndarray, last: np.ndarray | int, least_shared: int = LEAST_SHARED) -> np.ndarray:
+    """Which pairs reach the tally and are their list's own: of the lists that a pair meets
+    in, that whose ``last`` position is the pair's LISTED-th shared one."""
+    same = np.bitwise_xor(x, y).view(np.uint8).reshape(-1, BYTES) == 0
+    before = (same & (np.arange(BYTES) < np.reshape(last, (-1, 1)))).sum(axis=1)
+    return np.flatnonzero((before < LISTED) & (shared_bytes(x, y) >= least_shared))
+
+
+def verified(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y) <= MOST_BITS
+
+
 def list_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within MOST_BITS in one list of distinct fingerprints, sorted.
+    """Index pairs within MOST_BITS among distinct sorted fingerprints that share
+    LEAST_SHARED bytes, all at the same positions.
 
-    Short lists compare all members; in long ones each member's possible neighbours (all
-    flips of up to three of the bits in which the list varies) are looked up, so that the
-    work grows with the list's length, not with its square.
+    Few members are all compared; of many, each member's possible neighbours (all flips of
+    up to three of the bits that vary) are looked up, so that the work grows with their
+    number, not with its square.
     """
     n, lefts, rights = len(members), [], []
     if n <= COMPARE_UP_TO:
         for step in range(1, n):
-            a, b = members[:-step], members[step:]
-            ok = np.flatnonzero((shared_bytes(a, b) >= LEAST_SHARED) & (np.bitwise_count(a ^ b) <= MOST_BITS))
+            ok = np.flatnonzero(verified(members[:-step], members[step:]))
             lefts.append(ok)
             rights.append(ok + step)
     else:
@@ -105,27 +121,51 @@ def list_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(none + lefts), np.concatenate(none + rights)
 
 
-def _list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def posted_links(keys: np.ndarray, fps: np.ndarray, least_shared: int = LEAST_SHARED) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within MOST_BITS of each list (rows with one key, keys sorted), without
+    those that belong to another list, as they are found there. Parts of a long list may
+    give a pair again.
+
+    Short lists tally every pair, all lists at once. A long one is split by the bytes at each
+    choice of further positions beyond its own: members of a part reach the tally together.
+    """
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[start, len(keys)])
+    last = np.array([p[-1] for p in PLACES])[keys >> (8 * LISTED)]
+    ends = np.repeat(start + size, size)
+    at, step, lefts, rights = np.flatnonzero(np.repeat(size <= COMPARE_UP_TO, size)), 0, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(at):
+        step += 1
+        at = at[at + step < ends[at]]
+        held = at[retained(fps[at], fps[at + step], last[at], least_shared)]
+        ok = held[verified(fps[held], fps[held + step])]
+        lefts.append(ok)
+        rights.append(ok + step)
+    for s, n in zip(start[size > COMPARE_UP_TO], size[size > COMPARE_UP_TO]):
+        members = np.sort(fps[s : s + n])
+        order = s + np.argsort(fps[s : s + n], kind="stable")
+        octets = members.view(np.uint8).reshape(n, BYTES).astype(np.uint64)
+        for more in combinations(range(last[s] + 1, BYTES), least_shared - LISTED):
+            part = sum((octets[:, p] << np.uint64(8 * i) for i, p in enumerate(more)), np.zeros(n, np.uint64))
+            by = np.argsort(part, kind="stable")
+            for each in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+                left, right = list_links(members[each])
+                lefts.append(order[each[left]])
+                rights.append(order[each[right]])
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def _list_edges(batches: Iterator[pa.RecordBatch], least_shared: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) sorted by both to edges that join what each list links: at most one
     edge less than the list has members."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        size = np.diff(np.r_[start, len(keys)])
-        u, v = [], []
-        twos = start[size == 2]  # the most frequent case, all at once
-        a, b = fps[twos], fps[twos + 1]
-        ok = (shared_bytes(a, b) >= LEAST_SHARED) & (np.bitwise_count(a ^ b) <= MOST_BITS)
-        u.append(a[ok])
-        v.append(b[ok])
-        for s, n in zip(start[size > 2], size[size > 2]):
-            members = np.sort(fps[s : s + n])
-            root = local_roots(n, *list_links(members))
-            hung = np.flatnonzero(root != np.arange(n))
-            u.append(members[hung])
-            v.append(members[root[hung]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], schema=schema)
+        left, right = posted_links(keys, fps, least_shared)
+        linked, where = np.unique(np.r_[left, right], return_inverse=True)
+        root = local_roots(len(linked), where[: len(left)], where[len(left) :])
+        hung = np.flatnonzero(root != np.arange(len(linked)))
+        return pa.RecordBatch.from_arrays([pa.array(fps[linked[x]].view(np.int64)) for x in (hung, root[hung])], schema=schema)
 
     held: list[tuple[np.ndarray, np.ndarray]] = []  # an unfinished list at the end of what came so far
     for batch in batches:
@@ -144,10 +184,12 @@ def _list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to edges (u, v) that connect all that MOST_BITS links."""
-    posted = fps.select("fp", F.explode(posting_keys(F.col("fp"))).alias("key")).select("key", "fp")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = fps.repartition(parts, "fp")  # few files may hold them all, and each makes 56 rows
+    posted = spread.select("fp", F.explode(posting_keys(F.col("fp"))).alias("key")).select("key", "fp")
     lists = posted.repartition(parts, "key").sortWithinPartitions("key", "fp")
-    return lists.mapInArrow(_list_edges, "u long, v long").distinct()
+    least_shared = LEAST_SHARED
+    return lists.mapInArrow(lambda batches: _list_edges(batches, least_shared), "u long, v long").distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
