@@ -76,14 +76,16 @@ def _shares(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def _walk(blocks: pd.DataFrame) -> pd.DataFrame:
     """One source's blocks in permuted order: those that fit whole are taken, up to the next
-    one of which only some rows fit ('now'); blocks that no row fits of are passed over. The
-    room left is on every row."""
+    one of which only some rows fit ('now'); blocks that no row fits of are passed over, and
+    so are those without a word, of which a last pass takes nothing. The room left is on every row."""
     blocks = blocks.sort_values(["order", "block"], ignore_index=True)
     room, last, past = float(blocks["room"].iloc[0]), blocks["last"].tolist(), blocks["past"].tolist()
     for i, (words, least) in enumerate(zip(blocks["words"], blocks["least"])):
         if past[i]:
             continue
         past[i] = True
+        if not words:
+            continue
         if words <= room:
             last[i] = "whole"
             room -= words
@@ -94,9 +96,9 @@ def _walk(blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of the rows of one source's block: those that still fit, in permuted order.
-    Rows alike in id and text are taken together."""
-    whole = rows.groupby("u", sort=True, as_index=False).agg({"source_no": "first", "size": "sum", "room": "first"})
+    """Of the rows of one source's block, each with at least a word: those that still fit, in
+    permuted order."""
+    whole = rows.sort_values("u", ignore_index=True)
     left, taken = float(rows["room"].iloc[0]), []
     for size in whole["size"]:
         taken.append(size <= left)
@@ -145,7 +147,8 @@ class Mix:
             if now.isEmpty():
                 break
             edge = placed.drop("room").join(now.select("source_no", "block", "room"), ["source_no", "block"])
-            filled = staged(edge.select("source_no", "u", "size", "room").groupBy("source_no").applyInPandas(_fill, "source_no int, u long, size long"), "chosen")
+            alike = edge.where("size > 0").groupBy("source_no", "u").agg(F.sum("size").alias("size"), F.first("room").alias("room"))  # taken together
+            filled = staged(alike.groupBy("source_no").applyInPandas(_fill, "source_no int, u long, size long"), "chosen")
             chosen = chosen.union(filled.select("source_no", "u"))
             used = filled.groupBy("source_no").agg(F.sum("size").alias("used"))
             last = F.when(F.col("last") == "now", "part").otherwise(F.col("last"))
@@ -173,16 +176,17 @@ class Mix:
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: id, size, source_size, target and taken, the words that the mix
-    takes of it, repeats counted.
+    """One row per document: id, size, source_size, target, taken, the words that the mix
+    takes of it, repeats counted, and shards, the output shard of each time that it is taken.
 
     Sizes are words (null and empty texts: 0); a null source is a source of its own. Rows
     with equal id and text are decided alike. A source's taken words stay below its target
     by less than the smallest row that its last pass does not take (rows alike in id and text
-    count as one); no row is taken more than three times. An empty table gives no rows; other columns play no part.
+    count as one); no row is taken more than three times. Texts without words are taken as
+    often as all others of their source at least. An empty table gives no rows; other columns play no part.
     """
     mix = Mix(docs, **options)
-    return mix.on().select(F.col("id").alias(mix.names[0]), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+    return mix.on().select(F.col("id").alias(mix.names[0]), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -33,7 +33,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(table(spark, sf_dir, "documents")).withColumn("shards", F.array_join("shards", ","))
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
