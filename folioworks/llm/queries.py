@@ -57,11 +57,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.credential_links(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.with_tokens(docs, VOCABULARY, decoded=True)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op1_line_dedup_both_ways": op1_line_dedup_both_ways}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op1_line_dedup_both_ways": lines.BOTH_WAYS_SQL, "op2_urls": urls.ORACLE_SQL, "op5_licences": licences.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op1_line_dedup_both_ways": op1_line_dedup_both_ways, "op9_secret_links": op9_secret_links}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op1_line_dedup_both_ways": lines.BOTH_WAYS_SQL, "op2_urls": urls.ORACLE_SQL, "op5_licences": licences.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL, "op9_secret_links": secrets.LINKS_SQL}

@@ -8,7 +8,7 @@ identifier or secret that overlaps a base span is that span's, and no candidate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.llm.words import row_key
 from folioworks.session import staged
@@ -23,35 +23,59 @@ HEX = r"[0-9a-f]{32,}"
 IDENT = r"""(?i:client_?id|user_?name|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}"""
 OPAQUE = r"[A-Za-z0-9/+]{40,}"
 ENDPOINT = r"""(?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mongodb|redis)://[^\x20\x09-\x0D"'<>]+"""
+# Who a secret may belong to; only in links, never a span of its own.
+ACCOUNT = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
 
 #: Kinds in the order of ties, and the role of each.
-KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
-ROLES = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "opaque": "secret", "endpoint": "place"}
+KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint", "account")
+ROLES = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "opaque": "secret", "endpoint": "place", "account": "id"}
+#: A text can only match a kind if it holds one of these (lower-cased); kinds without any are tried on every text.
+CLUES = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "ident": ("id", "user"), "endpoint": ("://",), "account": ("@",)}
 #: What must lie in a weak candidate's scope.
 NEEDS = {"ident": ("secret",), "opaque": ("id",), "endpoint": ("id", "secret")}
 #: Code points between two parts of one scope, at most.
 SCOPE = 200
 
+#: Matches that are placed at once: in one text they are summed up by chunks, and the chunks again.
+CHUNK = 64
+
 SPAN = "array<struct<start:long,rank:int,end:long>>"
 
 
 def found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0, most: int | None = None) -> Column:
     """Spans of ``pattern``'s leftmost non-overlapping matches, in code points, of which
     ``group`` has from ``least`` to ``most`` characters. A match starts where the pieces
-    between matches and the matches before it end."""
+    between matches and the matches before it end. Arrays are built by chunks, so that a
+    text's many matches aren't copied for each other one."""
     texts, rank = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), KINDS.index(kind)
-    parts = F.arrays_zip(texts.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(texts)).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
-    none = F.array().cast(SPAN)
+    lengths = lambda xs: F.transform(xs, F.length)
+    bounded = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else texts
+    parts = F.arrays_zip(lengths(texts).alias("m"), lengths(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(texts))).alias("before"), lengths(bounded).alias("g"))
+    none, zero = F.array().cast(SPAN), F.lit(0).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["m"])
-        keep = F.length(x["g"]) >= least if most is None else F.length(x["g"]).between(least, most)
+        start = acc["at"] + x["before"]
+        end = start + x["m"]
+        keep = x["g"] >= least if most is None else x["g"].between(least, most)
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))).cast(SPAN)
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def placed(parts: Column, at: Column) -> Column:
+        return F.aggregate(parts, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    chunk = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(parts)))).cast("int")
+    chunks = F.transform(F.sequence(F.lit(1), F.size(parts), chunk), lambda i: F.slice(parts, i, chunk))
+    width = lambda c: F.aggregate(c, zero, lambda n, x: n + x["before"] + x["m"])
+    starts = F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, c: F.struct((acc["at"] + width(c)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    many = F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), starts.alias("at")), lambda x: placed(x["c"], x["at"])))
+    walked = F.when(F.size(parts) <= CHUNK, placed(parts, zero)).otherwise(many)
+    clues = CLUES.get(kind)
+    told = F.lit(True)
+    if clues:
+        told = F.lit(False)
+        for clue in clues:
+            told = told | F.contains(F.lower(text), F.lit(clue))
+    return F.when(told & text.rlike(pattern), walked).otherwise(none)
 
 
 def render(spans: Column) -> Column:
@@ -85,6 +109,20 @@ def _linked(spotted: DataFrame) -> DataFrame:
     return full.where(F.col("n") == wanted).groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end")).cast(SPAN).alias("added"))
 
 
+def _weak(text: Column) -> Column:
+    return F.concat(found(text, IDENT, "ident"), found(text, OPAQUE, "opaque", 0, 40, 40), found(text, ENDPOINT, "endpoint"))
+
+
+def _base(text: Column) -> Column:
+    return F.concat(found(text, ASSIGN, "assign", 2, 8), found(text, ACCESS, "access"), found(text, HEX, "hex"))
+
+
+def _loose(spans: str) -> Column:
+    """Of the weak ``spans``, those that no base span has; addresses may hold one."""
+    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
+    return F.filter(spans, lambda w: (w["rank"] == KINDS.index("endpoint")) | apart(w))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``id_col``, base and added (arrays of start, rank of the kind in
     KINDS, end; code points, end exclusive). Whole texts are scanned.
@@ -93,11 +131,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     row has the spans of its like. An empty table gives no rows. Other columns play no part.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(found(t, ASSIGN, "assign", 2, 8), found(t, ACCESS, "access"), found(t, HEX, "hex"))
-    weak = F.concat(found(t, IDENT, "ident"), found(t, OPAQUE, "opaque", 0, 40, 40), found(t, ENDPOINT, "endpoint"))
-    rows = docs.select(F.col(id_col), row_key(id_col, text).alias("key"), base.alias("base"), weak.alias("weak"))
-    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
-    spotted = staged(rows.withColumn("weak", F.filter("weak", lambda w: (w["rank"] == KINDS.index("endpoint")) | apart(w))), "secrets")
+    rows = docs.select(F.col(id_col), row_key(id_col, text).alias("key"), _base(t).alias("base"), _weak(t).alias("weak"))
+    spotted = staged(rows.withColumn("weak", _loose("weak")), "secrets")
     loose = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
     alone = spotted.where(~loose).select(id_col, "base", F.array().cast(SPAN).alias("added"))
     held = spotted.where(loose)
@@ -105,28 +140,68 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return alone.unionByName(linked.select(id_col, "base", F.coalesce("added", F.array().cast(SPAN)).alias("added")))
 
 
+def credential_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id_col, part, secret, endpoint): for every identifier (access key, named identifier
+    or account) with a complement in its scope, the nearest secret and the nearest address,
+    as kind:start:end; null where none is within SCOPE code points.
+
+    Of what starts at or before the identifier that counts which ends last, of what starts
+    later that which starts first; the nearer of both wins, the earlier of equals. Each part
+    looks at one neighbour on either side, so nothing grows with pairs. Null and empty texts
+    have no links, repeated rows have theirs each time, an empty table gives no rows, and
+    other columns play no part.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _base(t).alias("base"), F.concat(_weak(t), found(t, ACCOUNT, "account")).alias("weak"))
+    roles = F.create_map(*(F.lit(x) for n, k in enumerate(KINDS) for x in (n, ROLES[k])))
+    kinds = F.array(*map(F.lit, KINDS))
+    several = rows.where(F.size("base") + F.size("weak") > 1).select("id", "row", F.explode(F.concat("base", _loose("weak"))).alias("p")).select("id", "row", "p.*")
+    parts = staged(several.withColumn("role", roles[F.col("rank")]), "parts")  # row numbers are fixed here
+    order = Window.partitionBy("id", "row").orderBy("start", "rank")
+    named = lambda x: F.concat_ws(":", kinds[x["rank"]], x["start"], x["end"])
+
+    made = parts
+    for role in ("secret", "place"):
+        of = F.col("role") == role
+        before = F.max(F.when(of, F.struct("end", (-F.col("start")).alias("s"), (-F.col("rank")).alias("r"))))
+        after = F.min(F.when(of, F.struct("start", "rank", "end")))
+        made = made.withColumn(f"{role}_before", before.over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        made = made.withColumn(f"{role}_after", after.over(order.rowsBetween(1, Window.unboundedFollowing)))
+    picked = made.where("role = 'id'")
+    for role in ("secret", "place"):
+        b, a = F.col(f"{role}_before"), F.col(f"{role}_after")
+        back = F.when(b.isNotNull(), F.greatest(F.lit(0), F.col("start") - b["end"]))
+        ahead = F.when(a.isNotNull(), F.greatest(F.lit(0), a["start"] - F.col("end")))
+        first = F.coalesce(back, F.lit(SCOPE + 1)) <= F.coalesce(ahead, F.lit(SCOPE + 1))
+        near = F.when(first & (back <= SCOPE), F.concat_ws(":", kinds[(-b["r"]).cast("int")], -b["s"], b["end"])).when(~first & (ahead <= SCOPE), named(a))
+        picked = picked.withColumn(role, near)
+    part = named({c: F.col(c) for c in ("rank", "start", "end")})
+    return picked.where("secret is not null or place is not null").select(F.col("id").alias(id_col), part.alias("part"), "secret", F.col("place").alias("endpoint"))
+
+
 def digest(secrets: DataFrame, id_col: str = "doc_id") -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return secrets.select(id_col, count("assign"), count("access"), count("hex"), F.sha2(render(F.col("base")), 256).alias("base_sha256"), render(F.concat("base", "added")).alias("spans"))
 
 
-def _sql() -> str:
+def _sql(links: bool = False) -> str:
     """The same in DuckDB's SQL: every candidate against every part of its document."""
     text = "select doc_id, coalesce(text, '') as t from documents"
     patterns = {"assign": (ASSIGN, 2, 8, None), "access": (ACCESS, 0, 0, None), "hex": (HEX, 0, 0, None), "ident": (IDENT, 0, 0, None), "opaque": (OPAQUE, 0, 40, 40), "endpoint": (ENDPOINT, 0, 0, None)}
+    patterns |= {"account": (ACCOUNT, 0, 0, None)} if links else {}
     each = []
-    for rank, kind in enumerate(KINDS):
-        pattern, group, least, most = patterns[kind]
+    for kind, (pattern, group, least, most) in patterns.items():
+        rank = KINDS.index(kind)
         p = pattern.replace("'", "''")
         each.append(f"""
             select doc_id, {rank} as rank, '{kind}' as kind, unnest(range(1, len(ms) + 1)) as i, ms, ps, gs
             from (select doc_id, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as ps, regexp_extract_all(t, '{p}', {group}) as gs from docs)
         """)
     bounds = " ".join(f"when '{k}' then length(gs[i]) >= {least}" + (f" and length(gs[i]) <= {most}" if most else "") for k, (_, _, least, most) in patterns.items())
-    role = "case kind " + " ".join(f"when '{k}' then '{r}'" for k, r in ROLES.items()) + " end"
+    role = "case kind " + " ".join(f"when '{k}' then '{ROLES[k]}'" for k in patterns) + " end"
     near = lambda r: f"exists (select 1 from parts p where p.doc_id = c.doc_id and p.role = '{r}' and c.e >= p.s - {SCOPE} and c.s <= p.e + {SCOPE})"
     needs = " ".join(f"when '{k}' then " + " and ".join(near(r) for r in v) for k, v in NEEDS.items())
-    return f"""
+    parts = f"""
     with docs as ({text}),
     matched as ({" union all ".join(each)}),
     placed as (
@@ -139,7 +214,11 @@ def _sql() -> str:
       select * from base
       union all
       select * from spans w where rank >= 3 and (kind = 'endpoint' or not exists (select 1 from base b where b.doc_id = w.doc_id and b.s < w.e and b.e > w.s))
-    ),
+    )
+    """
+    if links:
+        return parts + _links_sql()
+    return f"""{parts.rstrip()},
     kept as (select doc_id, kind, rank, s, e from base union all select doc_id, kind, rank, s, e from parts c where rank >= 3 and case kind {needs} end)
     select d.doc_id,
       count(*) filter (where kind = 'assign')::bigint as n_assign,
@@ -152,4 +231,23 @@ def _sql() -> str:
     """
 
 
+def _links_sql() -> str:
+    near = []
+    for role in ("secret", "place"):
+        near.append(f"""
+            (select max({{'e': p.e, 's': -p.s, 'r': -p.rank, 'kind': p.kind}}) from parts p where p.doc_id = i.doc_id and p.role = '{role}' and (p.s < i.s or (p.s = i.s and p.rank <= i.rank))) as {role}_b,
+            (select min({{'s': p.s, 'r': p.rank, 'e': p.e, 'kind': p.kind}}) from parts p where p.doc_id = i.doc_id and p.role = '{role}' and (p.s > i.s or (p.s = i.s and p.rank > i.rank))) as {role}_a""")
+    far = SCOPE + 1
+    back, ahead = (lambda r: f"case when {r}_b is null then {far} else greatest(0, s - {r}_b.e) end"), (lambda r: f"case when {r}_a is null then {far} else greatest(0, {r}_a.s - e) end")
+    pick = lambda r: f"""case when {back(r)} <= {ahead(r)}
+        then case when {back(r)} <= {SCOPE} then {r}_b.kind || ':' || (-{r}_b.s) || ':' || {r}_b.e end
+        else case when {ahead(r)} <= {SCOPE} then {r}_a.kind || ':' || {r}_a.s || ':' || {r}_a.e end end"""
+    return f""",
+    ids as (select i.*, {','.join(near)} from parts i where i.role = 'id'),
+    told as (select doc_id, kind || ':' || s || ':' || e as part, {pick('secret')} as secret, {pick('place')} as endpoint from ids)
+    select * from told where secret is not null or endpoint is not null
+    """
+
+
 ORACLE_SQL = _sql()
+LINKS_SQL = _sql(links=True)
