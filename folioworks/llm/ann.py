@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by largest inner product, with score-aware quantisation.
 
-Vectors are coded four bits for each pair of components. What decides the order of inner
-products is the part of the coding error that is parallel to the vector, so codebooks and
-codes minimise an anisotropic loss that weighs the parallel part of the error higher than
-the rest. A search adds table entries for all codes of a block, and what scores best there
-is ranked again by exact inner products in double precision.
+Directions of vectors are coded four bits for each pair of components. What decides the
+order of inner products is the part of the coding error that is parallel to the vector, so
+codebooks and codes minimise an anisotropic loss that weighs the parallel part of the error
+higher than the rest. A search adds table entries for all codes of a block, times the norm,
+and what scores best there is ranked again by exact inner products of the original vectors
+in double precision.
 """
 
 from __future__ import annotations
@@ -18,14 +19,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioworks.session import staged
 
-#: Vectors, by a hash of their ids, that the codebooks are fitted on at most; all are indexed.
+#: Vectors of one length, by a hash of their ids, that the codebooks are fitted on at most; all are indexed.
 SAMPLE = 4096
 CENTRES, PART = 16, 2
 #: Cosine above which a score matters: sets how much more the parallel error weighs.
 THRESHOLD = 0.2
 ROUNDS = 3
-#: Rows of a block; a block's share that is ranked exactly, and at least this many.
-BLOCK, QUERIES, SHARE, LEAST = 8192, 1024, 64, 96
+#: Vectors and queries of a block at most. A vector is shipped once for each block of queries and the other way
+#: round, so that both are as large as a task can hold (some 50 MB); small tables are cut finer, to use all cores.
+BLOCK, QUERIES, FINE = 1 << 16, 1 << 14, 1 << 12
+#: A block's share that is ranked exactly, and at least this many.
+SHARE, LEAST = 64, 96
+#: Queries whose tables are scanned together.
+TOGETHER = 64
 
 
 def parallel_weight(dims: int, threshold: float = THRESHOLD) -> float:
@@ -106,83 +112,107 @@ def tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (each[:, ::2, :, None] + each[:, 1::2, None, :]).reshape(len(queries), -1, CENTRES**2).astype(np.float32)
 
 
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and norms, without overflow on the way."""
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = vectors / most
+    norm = np.linalg.norm(scaled, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        return scaled / norm, np.minimum(norm * most, np.finfo(float).max)[:, 0]
+
+
 def best_in_block(vectors: np.ndarray, codes: np.ndarray, first_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query: rows and exact scores of the block's best ``k``, of those that the
     table scan puts first. Ties go to the smaller first id."""
     n = len(vectors)
     depth = min(n, max(LEAST, 2 * k) + n // SHARE)
     bytes_of = np.ascontiguousarray(codes.T.astype(np.intp))
-    exact = vectors.astype(np.float64)
-    for table, query in zip(tables(queries, books), queries.astype(np.float64)):
+    norms = directions(vectors)[1]
+    weight = (norms / norms.max()).astype(np.float32)[:, None]
+    for start in range(0, len(queries), TOGETHER):
+        some = queries[start : start + TOGETHER]
+        table = np.ascontiguousarray(tables(directions(some)[0], books).transpose(1, 2, 0))
         score = table[0][bytes_of[0]]
         for entries, column in zip(table[1:], bytes_of[1:]):
             score += entries[column]
-        rows = np.argpartition(score, n - depth)[n - depth :]
-        found = exact[rows] @ query
-        order = np.lexsort((first_ids[rows], -found))[:k]
-        yield rows[order], found[order]
+        score *= weight
+        top = np.argpartition(np.ascontiguousarray(score.T), n - depth, axis=1)[:, n - depth :]
+        for query, rows in zip(some, top):
+            found = vectors[rows] @ query
+            order = np.lexsort((first_ids[rows], -found))[:k]
+            yield rows[order], found[order]
 
 
-def _coded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """Adds code and vec (float32 bytes) in place of embedding."""
-    eta = parallel_weight(books.shape[0] * PART)
+def _coded(vectors: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
+    """Adds code and vec (doubles as bytes) in place of embedding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                raw = np.asarray(batch.column(2).flatten(), np.float32).reshape(batch.num_rows, -1)
-                code = packed(assign(padded(raw.astype(np.float64)), books, eta))
+            sizes = batch.column(3).to_numpy()
+            for n in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                raw = np.asarray(part.column(2).flatten(), np.float64).reshape(part.num_rows, -1)
+                unit = padded(directions(raw)[0])
+                code = packed(assign(unit, books[int(n)], parallel_weight(unit.shape[1])))
                 made = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (code, raw)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["no", "ids", "code", "vec"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made, part.column(3)], names=["no", "ids", "code", "vec", "n"])
 
-    return vectors.select("no", "ids", "embedding").mapInArrow(run, "no long, ids array<long>, code binary, vec binary")
+    return vectors.select("no", "ids", "embedding", "n").mapInArrow(run, "no long, ids array<long>, code binary, vec binary, n int")
 
 
 def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, score): for each row that the condition ``queries`` picks, the
     ``k`` rows with the largest inner product that the index finds, itself apart.
 
-    Rows without an id, and vectors that are null, zero, not of the most frequent length or
-    hold null or non-finite components take no part. Equal vectors are indexed once with
-    their k + 1 smallest ids: more can't be among the nearest, as ties go to smaller ids.
-    Repeated rows count once. Blocks of vectors meet blocks of queries; neither all vectors
-    nor all queries come together anywhere. Empty tables, and tables without queries, give no rows.
+    Rows without an id, and vectors that are null, empty, zero or hold null or non-finite
+    components take no part; vectors of different lengths have no inner product and are
+    searched apart. Equal vectors are indexed once with their k + 1 smallest ids: more can't
+    be among the nearest, as ties go to smaller ids. Repeated rows count once, and other
+    columns play no part. Blocks of vectors meet blocks of queries; neither all vectors nor
+    all queries come together anywhere. Empty tables, and tables without queries, give no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("embedding"), F.expr(f"coalesce({queries}, false)").alias("asks"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("embedding"), F.expr(f"coalesce({queries}, false)").alias("asks"))
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     sound = rows.where("id is not null and size(embedding) > 0").where(finite & F.exists("embedding", lambda x: x != 0))
-    dims = sound.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if dims is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    sound = sound.where(F.size("embedding") == dims.n)
     alike = Window.partitionBy("embedding").orderBy("id")
     few = sound.withColumn("nth", F.dense_rank().over(alike)).where(F.col("nth") <= k + 1)
     distinct = few.groupBy("embedding").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    numbered = staged(distinct.withColumn("no", F.xxhash64("embedding")).withColumn("first", F.col("ids")[0]), "vectors")
-    sample = numbered.orderBy(F.xxhash64("first"), "no").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    books = fit(np.array(sample.tolist(), np.float32))
-
-    asking = sound.where("asks").select("id", "embedding").distinct()
-    asked = numbered.select("embedding", "no", "first").join(asking.select("embedding").distinct(), "embedding", "left_semi")
-    counts = [max(1, -(-x.count() // size)) for x, size in ((numbered, BLOCK), (asked, QUERIES))]
-    blocks = lambda n: F.pmod(F.xxhash64("no", "first"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = _coded(numbered, books).withColumn("first", F.col("ids")[0]).withColumn("b", blocks(counts[0])).withColumn("q", each(counts[1]))
-    ask = asked.withColumn("q", blocks(counts[1])).withColumn("b", each(counts[0])).select("no", "first", "embedding", "q", "b")
+    numbered = staged(distinct.select("embedding", "ids", F.xxhash64("embedding").alias("no"), F.col("ids")[0].alias("first"), F.size("embedding").alias("n")), "vectors")
+    asking = staged(sound.where("asks").select("id", "embedding").distinct(), "asking")
+    asked = numbered.select("embedding", "no", "first", "n").join(asking.select("embedding").distinct(), "embedding", "left_semi")
+
+    counts = {r.n: [r.vectors, 0] for r in numbered.groupBy("n").agg(F.count("*").alias("vectors")).collect()}  # one row a length
+    for r in asked.groupBy("n").agg(F.count("*").alias("queries")).collect():
+        counts[r.n][1] = r.queries
+    counts = {n: c for n, c in counts.items() if c[1]}
+    if not counts:
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    cores = spark.sparkContext.defaultParallelism
+    blocks = lambda size: max(-(-size // BLOCK), min(-(-size // FINE), cores))
+    cut = F.broadcast(spark.createDataFrame([(n, blocks(v), -(-q // QUERIES)) for n, (v, q) in counts.items()], "n int, n_b int, n_q int"))
+    nth = F.row_number().over(Window.partitionBy("n").orderBy(F.xxhash64("first"), "no"))
+    picked = numbered.where(F.col("n").isin(list(counts))).withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("n", "embedding").toPandas()
+    books = {int(n): fit(directions(np.array(x["embedding"].tolist(), np.float64))[0]) for n, x in picked.groupby("n")}
+
+    block = lambda n: F.pmod(F.xxhash64("no", "first"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = _coded(numbered.join(cut.select("n"), "n", "left_semi"), books).join(cut, "n").withColumn("first", F.col("ids")[0])
+    base = base.withColumn("b", block(F.col("n_b"))).withColumn("q", each(F.col("n_q"))).drop("n_b", "n_q")
+    ask = asked.join(cut, "n").withColumn("q", block(F.col("n_q"))).withColumn("b", each(F.col("n_b"))).select("no", "first", "embedding", "n", "q", "b")
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"no": [], "first": [], "ids": [], "score": []})
-        stored = np.frombuffer(b"".join(left["vec"]), np.float32).reshape(len(left), -1)
+        stored = np.frombuffer(b"".join(left["vec"]), np.float64).reshape(len(left), -1)
         codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-        wanted = np.array(right["embedding"].tolist(), np.float32)
-        found = list(best_in_block(stored, codes, left["first"].to_numpy(), wanted, books, k + 1))
+        wanted = np.array(right["embedding"].tolist(), np.float64)
+        found = list(best_in_block(stored, codes, left["first"].to_numpy(), wanted, books[int(left["n"].iloc[0])], k + 1))
         at, sizes = np.concatenate([r for r, _ in found]), [len(r) for r, _ in found]
         out = {"no": np.repeat(right["no"].to_numpy(), sizes), "first": np.repeat(right["first"].to_numpy(), sizes)}
         return pd.DataFrame(out | {"ids": left["ids"].to_numpy()[at], "score": np.concatenate([s for _, s in found])})
 
-    hits = base.groupBy("q", "b").cogroup(ask.groupBy("q", "b")).applyInPandas(scan, "no long, first long, ids array<long>, score double")
+    hits = base.groupBy("n", "q", "b").cogroup(ask.groupBy("n", "q", "b")).applyInPandas(scan, "no long, first long, ids array<long>, score double")
     best = Window.partitionBy("no", "first").orderBy(F.desc("score"), "id")
     ids = hits.select("no", "first", "score", F.explode("ids").alias("id")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
     lists = ids.groupBy("no", "first").agg(F.collect_list(F.struct("id", "score")).alias("hits"))
