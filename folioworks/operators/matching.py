@@ -63,18 +63,21 @@ def attribute_references(objects: DataFrame, references: DataFrame, letters: str
     """J-10, T-14: objects (id, text) to their reference (k, reference) by word signatures.
 
     Coverage of a key is the share of its signatures that a text has. Both sides are exploded
-    and joined on signatures, so the work grows with shared words, not with objects times
-    keys. The best key is accepted from ``accept`` on, unless another reference comes closer
-    than ``margin``. Rows: id, reference, coverage, outcome (attributed, ambiguous, unmatched).
+    and joined on signatures, and hits are counted by numbers: a key's text comes back only
+    where it orders keys that cover alike. The best key is accepted from ``accept`` on, unless
+    another reference comes closer than ``margin``. Rows: id, reference, coverage, outcome
+    (attributed, ambiguous, unmatched).
     """
     rows = objects if skip is None else objects.where(~F.coalesce(skip, F.lit(False)))
-    asked = rows.select("id", F.explode(word_signatures(F.col("text"), letters)).alias("sig"))
-    keys = references.select("k", "reference", word_signatures(F.col("k"), letters).alias("sigs"))
-    sized = keys.select("k", "reference", F.greatest(F.size("sigs"), F.lit(1)).alias("n"), F.explode("sigs").alias("sig"))
-    hits = asked.join(sized, "sig").groupBy("id", "k", "reference", "n").agg(F.count("*").alias("hits"))
-    scored = hits.select("id", "k", "reference", (F.col("hits") / F.col("n")).alias("coverage"))
+    asked = rows.select("id", F.explode(word_signatures(F.col("text"), letters)).alias("sig")).select("id", F.xxhash64("sig").alias("sig"))
+    keys = references.distinct().select(F.xxhash64("k", "reference").alias("no"), "k", "reference", word_signatures(F.col("k"), letters).alias("sigs"))
+    sizes = keys.select("no", "k", "reference", F.greatest(F.size("sigs"), F.lit(1)).alias("n"))
+    posted = keys.select("no", F.explode("sigs").alias("sig")).select("no", F.xxhash64("sig").alias("sig"))
+    hits = asked.join(posted, "sig").groupBy("id", "no").agg(F.count("*").alias("hits"))
+    scored = hits.join(sizes.select("no", "n"), "no").select("id", "no", (F.col("hits") / F.col("n")).alias("coverage"))
+    two = scored.withColumn("_r", F.rank().over(Window.partitionBy("id").orderBy(F.desc("coverage")))).where("_r <= 2")
     order = Window.partitionBy("id").orderBy(F.desc("coverage"), "k", "reference")
-    best = scored.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
+    best = two.join(sizes.drop("n"), "no").withColumn("rn", F.row_number().over(order)).where("rn <= 2")
     pair = best.groupBy("id").agg(F.max(F.when(F.col("rn") == 1, F.struct("reference", "coverage"))).alias("a"), F.max(F.when(F.col("rn") == 2, F.struct("reference", "coverage"))).alias("b"))
     near = (F.col("b.reference") != F.col("a.reference")) & (F.col("a.coverage") - F.col("b.coverage") < margin)
     outcome = F.when(F.coalesce("a.coverage", F.lit(0.0)) < accept, "unmatched").when(F.coalesce(near, F.lit(False)), "ambiguous").otherwise("attributed")

@@ -73,9 +73,12 @@ def keyword_presence(rows: DataFrame, words: list[str], text: str, key: str, exa
 
 def retention(files: DataFrame, name: str, duplicate: str, stamp: str, size: str) -> tuple[DataFrame, DataFrame]:
     """A-12: per original name the newest original stays, else the newest duplicate; files
-    with keep, and the bytes that each name frees."""
-    order = Window.partitionBy(name).orderBy(duplicate, F.desc(stamp))
-    ranked = files.withColumn("keep", F.row_number().over(order) == 1)
+    with keep, and the bytes that each name frees. A name's files are never brought together:
+    its best one is a maximum, joined back. Rows alike in every column are one file."""
+    place = F.struct((~F.col(duplicate)).alias("own"), F.col(stamp).alias("stamp"), F.xxhash64(*files.columns).alias("row"))
+    best = files.groupBy(F.col(name).alias("_name")).agg(F.max(place).alias("_best"))
+    met = files.withColumn("_place", place).join(best, F.col(name).eqNullSafe(F.col("_name")))
+    ranked = met.withColumn("keep", F.col("_place").eqNullSafe(F.col("_best"))).select(*files.columns, "keep")
     return ranked, ranked.groupBy(name).agg(F.sum(F.when(F.col("keep"), 0).otherwise(F.col(size))).alias("freed"), F.sum(F.when(F.col("keep"), 0).otherwise(1)).alias("files"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.functions.text import search_word
@@ -24,20 +26,59 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, total(a, b) / norm)
 
 
-def vector_top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "object_id", vector: str = "vector", same: tuple[str, ...] = (), most_queries: int = 4096) -> DataFrame:
+#: Points and queries of a block, and queries that are scored at once.
+POINTS, QUERIES, TOGETHER = 1 << 15, 1 << 12, 32
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of matching components, summed up in their order."""
+    total = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for i in range(a.shape[-1]):
+        total += a[..., i] * b[..., i]
+    return total
+
+
+def vector_top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "object_id", vector: str = "vector", same: tuple[str, ...] = ()) -> DataFrame:
     """K-03: for each query (query_id, q, and the columns ``same``) the ``k`` nearest points
     by cosine, of those that agree in ``same`` where the query has a value.
 
-    The queries, at most ``most_queries`` of them (checked as the plan runs), go to the points;
-    each task cuts to its own best before anything is shuffled.
+    Blocks of queries meet blocks of points, each pair of blocks in one task, which cuts to its
+    own best before anything is shuffled again. Vectors that are null or hold nulls, zero
+    vectors and vectors of another length have no score.
     """
-    few = queries.withColumn("_n", F.count("*").over(Window.partitionBy()))
-    few = few.withColumn("query_id", F.when(F.col("_n") <= most_queries, F.col("query_id")).otherwise(F.raise_error(F.lit(f"over {most_queries} queries: ask in parts")).cast(queries.schema["query_id"].dataType))).drop("_n")
-    on = F.lit(True)
-    for c in same:
-        on = on & (F.col(f"q.{c}").isNull() | (F.col(f"q.{c}") == F.col(f"p.{c}")))
-    met = points.alias("p").join(F.broadcast(few).alias("q"), on, "inner")
-    scored = met.select("q.query_id", F.col(f"p.{key}").alias(key), cosine(F.col(f"p.{vector}"), F.col("q.q")).alias("score")).where("score is not null")
+    whole = lambda c: F.forall(c, lambda x: F.coalesce(~F.isnan(x), F.lit(False)))
+    p = points.where(whole(F.col(vector))).select(F.col(key), F.col(vector).cast("array<double>").alias("_v"), *same)
+    q = queries.where(whole(F.col("q"))).select("query_id", F.col("q").cast("array<double>").alias("_v"), *same)
+    n_p, n_q = (max(1, -(-x.count() // size)) for x, size in ((points, POINTS), (queries, QUERIES)))
+    n_p = max(n_p, min(-(-n_p * POINTS // 2048), points.sparkSession.sparkContext.defaultParallelism))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = p.withColumn("_p", block(key, n_p)).withColumn("_q", each(n_q)).groupBy("_p", "_q", F.size("_v"))
+    right = q.withColumn("_q", block("query_id", n_q)).withColumn("_p", each(n_p)).groupBy("_p", "_q", F.size("_v"))
+
+    def best(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(stored) and len(asked):
+            keys, matrix = stored[key].to_numpy(), np.array(stored["_v"].tolist())
+            norms = np.sqrt(_in_order(matrix, matrix))
+            for start in range(0, len(asked), TOGETHER):
+                some = asked.iloc[start : start + TOGETHER]
+                wanted = np.array(some["_v"].tolist())
+                size = norms[None] * np.sqrt(_in_order(wanted, wanted))[:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.where(size > 0, _in_order(wanted[:, None], matrix[None]) / size, -np.inf)
+                for c in same:
+                    free = some[c].isna().to_numpy()[:, None]
+                    scores[~(free | (some[c].to_numpy()[:, None] == stored[c].to_numpy()[None]))] = -np.inf
+                for query, row in zip(some["query_id"], scores):
+                    at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    at = at[row[at] > -np.inf]
+                    at = at[np.lexsort((keys[at], -row[at]))][:k]
+                    found += [(query, keys[i], row[i]) for i in at]
+        return pd.DataFrame(found, columns=["query_id", key, "score"])
+
+    types = dict(queries.select("query_id").dtypes) | dict(points.select(key).dtypes)
+    scored = left.cogroup(right).applyInPandas(best, f"query_id {types['query_id']}, `{key}` {types[key]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -45,16 +86,22 @@ def vector_top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "obje
 def exact_search(objects: DataFrame, queries: DataFrame, k: int = 3, key: str = "id", title: str = "title", fields: tuple[str, ...] = ("title",)) -> DataFrame:
     """K-04: queries (query_id, number, tokens) to the objects whose title holds the number
     with no digit beside it, by how many tokens stand in the fields as whole words: none are
-    dropped if there are tokens, only the best tier stays, of it the first ``k`` by id."""
+    dropped if there are tokens, only the best tier stays, of it the first ``k`` by id.
+
+    Objects and queries meet on number and word, so objects that share no word are never
+    paired; queries without tokens meet the first ``k`` objects of their number only."""
     words = F.array_distinct(F.transform(F.split(F.concat_ws(" ", *fields), r"\s+"), search_word))
     numbers = F.array_distinct(F.regexp_extract_all(F.col(title), F.lit(r"(\d+)"), F.lit(1)))
     rows = objects.select(F.col(key).alias("id"), words.alias("_words"), F.explode(numbers).alias("number"))
-    met = rows.join(queries.withColumn("number", F.col("number").cast("string")), "number")
-    n = F.size(F.array_intersect("_words", "tokens"))
-    tiers = met.select("query_id", "id", "tokens", n.alias("matched")).where((F.size("tokens") == 0) | (F.col("matched") > 0))
-    top = tiers.withColumn("_best", F.max("matched").over(Window.partitionBy("query_id"))).where(F.col("matched") == F.col("_best"))
-    order = Window.partitionBy("query_id").orderBy("id")
-    return top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "matched", "rank", F.lit(1.0).alias("score"))
+    asked = queries.select("query_id", F.col("number").cast("string").alias("number"), F.array_distinct("tokens").alias("tokens"))
+    told = asked.select("query_id", "number", F.explode("tokens").alias("_word"))
+    matched = rows.select("id", "number", F.explode("_words").alias("_word")).join(told, ["number", "_word"]).groupBy("query_id", "id").agg(F.count("*").cast("int").alias("matched"))
+    first = rows.select("id", "number").withColumn("_n", F.row_number().over(Window.partitionBy("number").orderBy("id"))).where(F.col("_n") <= k)
+    plain = asked.where(F.size("tokens") == 0).join(first, "number").select("query_id", "id", F.lit(0).alias("matched"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "id")
+    top = matched.unionByName(plain).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = F.max("matched").over(Window.partitionBy("query_id"))
+    return top.withColumn("_best", best).where("matched = _best").select("query_id", "id", "matched", "rank", F.lit(1.0).alias("score"))
 
 
 def hybrid_merge(exact: DataFrame, semantic: DataFrame, key: str = "id") -> DataFrame:
@@ -87,16 +134,21 @@ def with_family(objects: DataFrame, families: DataFrame, kind: str = "object_typ
 
 def staged_scope(objects: DataFrame, queries: DataFrame, levels: list[str], key: str = "id") -> DataFrame:
     """P-01: for each query the objects that agree on the most levels, the first of which is
-    required and joined on; a level counts only if those above it agree. Wider scopes are used
-    only where the narrower are empty."""
-    met = objects.alias("o").join(queries.alias("q"), F.col(f"o.{levels[0]}") == F.col(f"q.{levels[0]}"))
-    depth, so_far = F.lit(1), F.lit(True)
-    for level in levels[1:]:
-        so_far = so_far & F.coalesce(F.col(f"o.{level}") == F.col(f"q.{level}"), F.lit(False))
-        depth = depth + so_far.cast("int")
-    found = met.select("q.query_id", F.col(f"o.{key}").alias(key), depth.alias("depth"))
-    deepest = found.groupBy("query_id").agg(F.max("depth").alias("_most"))
-    return found.join(deepest, "query_id").where(F.col("depth") == F.col("_most")).drop("_most")
+    required; a level counts only if those above it agree. Rows: query_id, ``key``, depth and
+    the objects' other columns.
+
+    Queries meet objects at the deepest level first; only those that find none there go on to
+    the next wider one, so wide scopes are made for no other query."""
+    rest = [c for c in objects.columns if c not in levels]
+    open_, found = queries, None
+    for depth in range(len(levels), 0, -1):
+        on = levels[:depth]
+        here = objects.groupBy(*on).agg(F.lit(1).alias("_here")).drop("_here")
+        met = open_.join(here, on, "left_semi") if depth > 1 else open_
+        hits = met.select("query_id", *on).join(objects, on).select("query_id", *rest, F.lit(depth).alias("depth"))
+        found = hits if found is None else found.unionByName(hits)
+        open_ = open_.join(here, on, "left_anti")
+    return found.select("query_id", key, "depth", *(c for c in rest if c != key))
 
 
 def tier_order(results: DataFrame, tiers: DataFrame, kind: str = "object_type") -> DataFrame:
@@ -107,10 +159,11 @@ def tier_order(results: DataFrame, tiers: DataFrame, kind: str = "object_type")
 
 def controlled_expansion(objects: DataFrame, seeds: DataFrame, negative: DataFrame) -> DataFrame:
     """P-03: objects that share a tag with a query's seeds, but for those that a negative link
-    (query_id, id) names or that are not for use."""
+    names (query_id and id; without a query_id column: for every query) or that are not for use."""
     tags = seeds.select("query_id", F.explode("tags").alias("tag")).distinct()
     near = objects.where(~F.coalesce("not_for_use", F.lit(False))).select("id", F.explode("tags").alias("tag")).join(tags, "tag").select("query_id", "id").distinct()
-    return near.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").join(negative, ["query_id", "id"], "left_anti")
+    banned = [c for c in ("query_id", "id") if c in negative.columns]
+    return near.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").join(negative, banned, "left_anti")
 
 
 def eligibility(results: DataFrame, rules: dict[str, str]) -> DataFrame:

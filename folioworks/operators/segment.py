@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.functions.text import clean_label, fold_digits, strip
+from folioworks.operators.numbering import row_numbers
 
 # An article's heading line, and how a numbered principle begins.
 ARTICLE = r"^\s*(?:المادة|مادة)\s+([0-9٠-٩]+(?:\s+مكرر(?:اً|ا|ة)?(?:\s*\([^)]*\))?)?)\s*$"
@@ -70,17 +71,21 @@ def heading_stack(rows: DataFrame, key: str = "doc_id", pos: str = "pos", text:
 
 def pack_parts(docs: DataFrame, most: int, slack: int = 15_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """G-05: lines packed into parts that close once they reach ``most`` characters; texts of
-    up to most + slack stay whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    up to most + slack stay whole. Lengths alone are summed up to find where parts end."""
+    lines = F.split(text, "\n")
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(-1).alias("size"), F.lit(0).alias("n"))
 
     def add(acc: Column, line: Column) -> Column:
-        grown = F.when(acc["n"] == 0, line).otherwise(F.concat(acc["open"], F.lit("\n"), line))
-        full = F.length(grown) >= most
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"), F.when(full, "").otherwise(grown).alias("open"), F.when(full, 0).otherwise(acc["n"] + 1).alias("n"))
+        size, n = acc["size"] + 1 + F.length(line), acc["n"] + 1
+        full = size >= most
+        return F.struct(F.when(full, F.concat(acc["ends"], F.array(n))).otherwise(acc["ends"]).alias("ends"), F.when(full, -1).otherwise(size).alias("size"), n.alias("n"))
 
-    end = lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-    parts = F.when(F.length(text) <= most + slack, F.array(F.col(text))).otherwise(F.aggregate(F.split(text, "\n"), start, add, end))
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("part", "body"))
+    last = lambda acc: F.when(acc["size"] >= 0, F.concat(acc["ends"], F.array(acc["n"]))).otherwise(acc["ends"])
+    ends = F.aggregate(lines, start, add, last)
+    cut = docs.where(F.col(text).isNotNull()).select(key, F.col(text), lines.alias("_lines"), F.when(F.length(text) > most + slack, ends).alias("_ends"))
+    since = F.concat(F.array(F.lit(0)), F.slice("_ends", 1, F.size("_ends") - 1))
+    packed = F.zip_with(since, "_ends", lambda a, b: F.array_join(F.slice("_lines", a + 1, b - a), "\n"))
+    return cut.select(key, F.posexplode(F.when(F.col("_ends").isNull(), F.array(F.col(text))).otherwise(packed)).alias("part", "body"))
 
 
 def text_windows(docs: DataFrame, width: int = 90_000, stride: int = 80_000, most: int | None = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -101,9 +106,10 @@ def page_plan(parts: DataFrame, size: int = 15, before: int = 4, after: int = 6,
     return rows.select(key, part, "page", ((F.col("page") > F.col("_f")) & (F.col("page") <= F.col("_l"))).alias("own"))
 
 
-def work_batches(rows: DataFrame, size: int, group: list[str], order: list[str]) -> DataFrame:
-    """G-08: adds batch_no: ``size`` rows of a group at a time, in order."""
-    return rows.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size).cast("int"))
+def work_batches(rows: DataFrame, size: int, group: list[str], key: str) -> DataFrame:
+    """G-08: adds batch_no: ``size`` rows of a group at a time, in order of an integer key."""
+    numbered = row_numbers(rows, group, key, "_n")
+    return numbered.withColumn("batch_no", F.floor((F.col("_n") - 1) / size).cast("int")).drop("_n")
 
 
 # How well a source was read, best first.

@@ -268,7 +268,7 @@ def page_plan(d: Tables) -> DataFrame:
 
 @query("select source, doc_id, ((row_number() over (partition by source order by doc_id) - 1) // 12)::int as batch_no from documents")
 def work_batches(d: Tables) -> DataFrame:
-    return segment.work_batches(d.documents.select("source", "doc_id"), 12, ["source"], ["doc_id"])
+    return segment.work_batches(d.documents.select("source", "doc_id"), 12, ["source"], "doc_id")
 
 
 @query("""

@@ -39,7 +39,7 @@ def _top(d: Tables, k: int = 10, step: int = 97) -> DataFrame:
     points = d.embeddings.select(F.col("vec_id").alias("object_id"), F.col("embedding").alias("vector"), "label")
     asked = F.col("vec_id") % step == 0
     queries = d.embeddings.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("label"))
-    return retrieval.vector_top_k(points, queries, k, same=("label",), most_queries=1 << 20)
+    return retrieval.vector_top_k(points, queries, k, same=("label",))
 
 
 @query(TOPK_SQL + "select query_id, object_id, round(score, 4) as score, rank::int as rank from r where rank <= 10")
@@ -116,7 +116,7 @@ def hybrid_merge_whole(d: Tables) -> DataFrame:
     items = d.benchmark.select(F.col("item_id").alias("query_id"))
     asked = d.embeddings.join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("q"))
     points = d.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    semantic = retrieval.vector_top_k(points, asked, 10, key="id", most_queries=1 << 20)
+    semantic = retrieval.vector_top_k(points, asked, 10, key="id")
     return retrieval.hybrid_merge(_exact_whole(d), semantic).select("query_id", "id", "tier", "position")
 
 
@@ -146,15 +146,23 @@ scope as (select * from (select *, max(depth) over (partition by query_id) as mo
 """
 
 
-def _scope(d: Tables) -> DataFrame:
+LEVELS = ["lang", "source"]
+
+
+def _asking(d: Tables) -> DataFrame:
     langs = F.array(*map(F.lit, ("en", "fr", "de", "es")))
-    queries = d.benchmark.select(F.col("item_id").alias("query_id"), F.get(langs, F.col("item_id") % 4).alias("lang"), F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")).alias("source"))
-    return retrieval.staged_scope(d.documents.select(F.col("doc_id").alias("id"), "lang", "source"), queries, ["lang", "source"])
+    return d.benchmark.select(F.col("item_id").alias("query_id"), F.get(langs, F.col("item_id") % 4).alias("lang"), F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")).alias("source"))
+
+
+def _scopes(d: Tables) -> DataFrame:
+    """Scopes with what they hold, summed up by level before any query meets them."""
+    groups = d.documents.groupBy(*LEVELS).agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.sum("doc_id").alias("total"))
+    return retrieval.staged_scope(groups, _asking(d), LEVELS)
 
 
 @query(SCOPE_SQL + "select query_id, depth, count(*) as n, min(id) as first_id, sum(id)::bigint as total from scope group by all")
 def stage_retrieval(d: Tables) -> DataFrame:
-    return _scope(d).groupBy("query_id", "depth").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("total"))
+    return _scopes(d).groupBy("query_id", "depth").agg(F.sum("n").alias("n"), F.min("id").alias("first_id"), F.sum("total").alias("total"))
 
 
 @query("""
@@ -177,7 +185,7 @@ select query_id, count(*) as n from near n where not exists (select 1 from seeds
 def controlled_expansion(d: Tables) -> DataFrame:
     objects = d.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("tags")).withColumn("not_for_use", F.col("id") % 11 == 0)
     seeds = d.orders.where("o_orderkey % 500 = 0").select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("id")).join(objects.select("id", "tags"), "id")
-    blocked = seeds.select("query_id").distinct().withColumn("m", F.lit(0)).join(objects.where("id % 13 = 0").select("id", F.lit(0).alias("m")), "m").select("query_id", "id")
+    blocked = objects.where("id % 13 = 0").select("id")
     return retrieval.controlled_expansion(objects, seeds, blocked).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
@@ -192,8 +200,7 @@ def controlled_expansion_whole(d: Tables) -> DataFrame:
     """Every order is a seed of its query."""
     objects = d.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("tags")).withColumn("not_for_use", F.col("id") % 11 == 0)
     seeds = d.orders.select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("id")).join(objects.select("id", "tags"), "id")
-    asked = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("query_id")
-    blocked = objects.where("id % 13 = 0").select(asked, "id")
+    blocked = objects.where("id % 13 = 0").select("id")
     return retrieval.controlled_expansion(objects, seeds, blocked).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
@@ -233,7 +240,10 @@ select e.query_id, e.id, wanted, s.id is not null as found, (s.id is not null) =
 """)
 def regression_cases(d: Tables) -> DataFrame:
     e = d.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") * 5).alias("id"), (F.col("item_id") % 2 == 0).alias("wanted"))
-    return retrieval.regression_report(_scope(d), e)
+    scopes = _scopes(d).select("query_id", "depth").distinct().join(_asking(d).select("query_id", *(F.col(c).alias(f"_{c}") for c in LEVELS)), "query_id")
+    met = e.select("query_id", "id").distinct().join(d.documents.select(F.col("doc_id").alias("id"), *LEVELS), "id").join(scopes, "query_id")
+    agree = (F.col("lang") == F.col("_lang")) & ((F.col("depth") < 2) | (F.col("source") == F.col("_source")))
+    return retrieval.regression_report(met.where(agree), e)
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.functions.text import normalize_text
 from folioworks.operators import audit, classify, index, matching, tables
+from folioworks.operators.numbering import row_numbers
 from folioworks.plans.registry import Tables, query
 
 #: labels as objects: quality gives a status, toxic a type.
@@ -214,7 +215,8 @@ def known_duplicates_whole(d: Tables) -> DataFrame:
 
 @query("select o_orderkey as object_id, rank, round(score, 4) as score, o_orderstatus from (select vec_id as object_id, row_number() over (order by vec_id) as rank, round(embedding[1]::double, 6) as score from embeddings where label = 3) h join orders on o_orderkey = h.object_id")
 def hydrate_hits(d: Tables) -> DataFrame:
-    hits = d.embeddings.where("label = 3").select(F.col("vec_id").alias("object_id"), F.row_number().over(Window.orderBy("vec_id")).alias("rank"), F.round(F.col("embedding")[0].cast("double"), 6).alias("score"))
+    hits = d.embeddings.where("label = 3").select(F.col("vec_id").alias("object_id"), F.round(F.col("embedding")[0].cast("double"), 6).alias("score"))
+    hits = row_numbers(hits, [], "object_id", "rank")
     return matching.hydrate(hits, d.orders.select(F.col("o_orderkey").alias("object_id"), "o_orderstatus"))
 
 
@@ -319,7 +321,7 @@ def assignment_integrity(d: Tables) -> DataFrame:
 @query("select doc_id as id, lang, case when doc_id in (select doc_id from labels) then 'L' || (doc_id % 7) end as law, case when doc_id in (select doc_id from labels) then 2 else 1 end as n_keys from documents")
 def apply_attribution(d: Tables) -> DataFrame:
     law = F.concat(F.lit("L"), (F.col("doc_id") % 7).cast("string"))
-    sections = d.labels.groupBy(law.alias("law")).agg(F.collect_list("doc_id").alias("ids")).select("ids", F.create_map(F.lit("law"), F.col("law")).alias("patch"))
+    sections = d.labels.select(F.array("doc_id").alias("ids"), F.create_map(F.lit("law"), law).alias("patch"))
     objects = d.documents.select(F.col("doc_id").alias("id"), "lang", F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
     return matching.apply_sections(objects, sections).select("id", "lang", F.col("metadata")["law"].alias("law"), F.size("metadata").alias("n_keys"))
 
@@ -425,7 +427,7 @@ def edge_neighbours(d: Tables) -> DataFrame:
 @query("select doc_id as id, case when toxic = 1 then 'reassess' end as flag, case when toxic = 1 then lang end as reason from documents left join labels using (doc_id)")
 def reassessment_flags(d: Tables) -> DataFrame:
     flagged = d.labels.where("toxic = 1").join(d.documents.select("doc_id", "lang"), "doc_id")
-    flags = flagged.groupBy(F.col("lang").alias("reason")).agg(F.collect_list("doc_id").alias("objects")).withColumn("flag", F.lit("reassess"))
+    flags = flagged.select(F.array("doc_id").alias("objects"), F.lit("reassess").alias("flag"), F.col("lang").alias("reason"))
     return matching.reassessment_flags(d.documents.select(F.col("doc_id").alias("id")), flags)
 
 
