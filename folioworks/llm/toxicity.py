@@ -3,8 +3,9 @@
 Features are rates of a text, not its words: how dense words of a lexicon are, whether the
 second person stands near them, capitals, punctuation, and words that hide their letters.
 Beside a short list of insults there is a learned lexicon: words and beginnings of words that
-the labels tie to toxic texts. It, the trees and the calibration are fitted on three disjoint
-parts of the labelled rows, so that none judges what it has learned by heart.
+the labels tie to toxic texts. All labelled rows of a bounded sample serve the lexicon, the
+trees and the calibration: by folds, so that each row's features come from a lexicon that has
+not seen it, and its score for the calibration from trees that have not seen it.
 """
 
 from __future__ import annotations
@@ -13,27 +14,28 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.llm.batches import map_texts
 from folioworks.session import staged
 
-#: Labelled rows that a model is fitted on, at most: those whose ids hash lowest.
+#: Labelled ids that a model is fitted on, at most: those that hash lowest, each with one text.
 SAMPLE = 24_000
 #: From this score on a text counts as toxic.
 CUT = 0.3
-#: Shares of the sample, in percent: lexicon, trees; the rest calibrates.
-LEXICON_SHARE, TREES_SHARE = 50, 30
+#: Folds of the sample.
+FOLDS = 6
 #: The sample is small whatever the corpus: more partitions would only add tasks to each of the trees' jobs.
 TREE_PARTITIONS = 6
 #: Lengths of word beginnings that may enter the lexicon, and what it asks of an entry.
 STEMS = (4, 5, 6, 7, 8)
-LEAST_DOCS, LEAST_Z, LEAST_SHARE, MOST_ENTRIES = 4, 4.0, 0.4, 20_000
+LEAST_DOCS, LEAST_Z, LEAST_SHARE, MOST_ENTRIES = 3, 3.3, 0.4, 20_000
 STRONG = 0.6
 
 # Insults and second-person words of the corpus's languages.
@@ -101,33 +103,47 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text: str = "text"
     return map_texts(docs, run, "features array<double>", text)
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Rows (text, toxic 0/1) to entries and their share of toxic texts, shrunk to the base rate.
+def learn_lexicons(rows: DataFrame, folds: int = FOLDS) -> list[dict[str, float]]:
+    """Rows (text, toxic 0/1, fold) to folds + 1 lexicons: without each fold, and of all rows.
+    A lexicon has entries and their share of toxic texts, shrunk to the base rate.
 
-    Each task sums up its own rows; the driver gets the entries that pass alone, at most
-    MOST_ENTRIES of them (of the bounded sample, the most telling).
+    Each task sums up its own rows, all folds at once; the driver gets the entries that pass
+    alone, at most MOST_ENTRIES a lexicon (of the bounded sample, the most telling).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         toxic: Counter = Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = set().union(*map(grams, set(WORD.findall((text or "").lower()))))
+            for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = [(g, fold) for g in set().union(*map(grams, set(WORD.findall((text or "").lower()))))]
                 seen.update(found)
                 if label:
                     toxic.update(found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[g] for g in seen], pa.int64())], names=["gram", "n", "bad"])
-
-    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
-    if not total.n or not total.bad:
-        return {}
-    base = total.bad / total.n
-    counts = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "gram string, n long, bad long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    z = (F.col("bad") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base) + 0.5)
-    share = (F.col("bad") + base) / (F.col("n") + 1)
-    told = counts.select("gram", z.alias("z"), share.alias("share"), "bad").where((F.col("bad") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z) & (F.col("share") >= LEAST_SHARE))
-    return {r.gram: r.share for r in told.orderBy(F.desc("z"), "gram").limit(MOST_ENTRIES).collect()}
+        made = ([g for g, _ in seen], [f for _, f in seen], list(seen.values()), [toxic[x] for x in seen])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["gram", "fold", "n", "bad"])
+
+    sizes = {r.fold: (r.n, r.bad) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).collect()}
+    total = tuple(sum(x[i] for x in sizes.values()) for i in (0, 1))
+    summed = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold")).mapInArrow(run, "gram string, fold int, n long, bad long")
+    own = lambda c, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}_{f}")
+    counts = summed.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *(own(c, f) for c in ("n", "bad") for f in range(folds))).where(F.col("bad") >= LEAST_DOCS)
+    told = []
+    for f in [*range(folds), None]:
+        n_rows, n_bad = (t - (sizes.get(f, (0, 0))[i]) for i, t in enumerate(total))
+        if not 0 < n_bad < n_rows:
+            continue
+        base = n_bad / n_rows
+        n, bad = (F.col(c) if f is None else F.col(c) - F.col(f"{c}_{f}") for c in ("n", "bad"))
+        z, share = (bad - n * base) / F.sqrt(n * base * (1 - base) + 0.5), (bad + base) / (n + 1)
+        told.append(F.when((bad >= LEAST_DOCS) & (z >= LEAST_Z) & (share >= LEAST_SHARE), F.struct(F.lit(folds if f is None else f).alias("which"), z.alias("z"), share.alias("share"))))
+    lexicons: list[dict[str, float]] = [{} for _ in range(folds + 1)]
+    if told:
+        each = counts.select("gram", F.explode(F.array_compact(F.array(*told))).alias("x")).select("gram", "x.*")
+        best = each.withColumn("nth", F.row_number().over(Window.partitionBy("which").orderBy(F.desc("z"), "gram"))).where(F.col("nth") <= MOST_ENTRIES)
+        for r in best.collect():
+            lexicons[r.which][r.gram] = r.share
+    return lexicons
 
 
 class ToxicityModel:
@@ -152,34 +168,43 @@ class ToxicityModel:
         return made.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
 
 
+def _grown(rows: DataFrame) -> GBTClassificationModel:
+    shape = {"maxDepth": 3, "maxIter": 24, "stepSize": 0.2, "minInstancesPerNode": 4, "seed": 8}
+    learner = GBTClassifier(featuresCol="_vector", labelCol="toxic", predictionCol="_prediction", checkpointInterval=-1, **shape)
+    learner = learner.setProbabilityCol("_probability").setRawPredictionCol("_rawPrediction")
+    return learner.fit(rows.withColumn("_vector", array_to_vector("features")).coalesce(TREE_PARTITIONS))
+
+
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> ToxicityModel:
-    """A model from at most ``sample`` labelled rows; ``may_learn`` (over labels) leaves rows out.
+    """A model from at most ``sample`` labelled ids; ``may_learn`` (over labels) leaves rows out.
 
-    Rows without id or label are left out, and of several labels for one id the highest counts.
-    Without any toxic or any clean label the score is the share of toxic ones (none: 0).
+    Rows without id or label are left out, and of several labels for one id the highest counts;
+    of several texts of one id the one that hashes lowest. Without any toxic or any clean label
+    the score is the share of toxic ones (none, or an empty table: 0).
     """
     told = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
     told = told if may_learn is None else told.where(may_learn)
-    chosen = told.groupBy(id_col).agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col).limit(sample)
-    texts = docs.select(F.col(id_col), F.col(text).alias("text"))
-    rows = staged(texts.join(F.broadcast(chosen), id_col).withColumn("part", F.pmod(F.hash("_h", F.lit(7)), F.lit(100))).select("text", "toxic", "part"), "labelled")
+    chosen = told.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").withColumn("_t", F.xxhash64("text"))
+    one = texts.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("_t"))).where("_n = 1")  # cut in each task before the shuffle
+    rows = staged(one.select("text", "toxic", F.pmod(F.hash("_h", F.lit(7)), F.lit(FOLDS)).alias("fold")), "labelled")
     parts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     base = parts.get(1, 0) / max(1, sum(parts.values()))
     if len(parts) < 2:
         return ToxicityModel({}, None, None, base)
-    lexicon = learn_lexicon(rows.where(F.col("part") < LEXICON_SHARE))
-    rest = staged(with_features(rows.where(F.col("part") >= LEXICON_SHARE), lexicon), "features")
-    grown = rest.where(F.col("part") < LEXICON_SHARE + TREES_SHARE).coalesce(TREE_PARTITIONS)
-    if grown.select("toxic").distinct().count() < 2:
-        return ToxicityModel(lexicon, None, None, base)
-    shape = {"maxDepth": 3, "maxIter": 24, "stepSize": 0.2, "minInstancesPerNode": 8, "seed": 8}
-    learner = GBTClassifier(featuresCol="_vector", labelCol="toxic", predictionCol="_prediction", checkpointInterval=-1, **shape)
-    learner = learner.setProbabilityCol("_probability").setRawPredictionCol("_rawPrediction")
-    model = ToxicityModel(lexicon, learner.fit(grown.withColumn("_vector", array_to_vector("features"))), None, base)
-    held = model._raw(rest.where(F.col("part") >= LEXICON_SHARE + TREES_SHARE))
-    if not held.isEmpty():
-        regression = IsotonicRegression(featuresCol="_raw", labelCol="toxic", predictionCol="_calibrated")
-        model.calibration = regression.fit(held.withColumn("toxic", F.col("toxic").cast("double")))
+    lexicons = learn_lexicons(rows)
+    apart = (with_features(rows.where(F.col("fold") == f), lexicons[f]) for f in range(FOLDS))
+    seen = staged(reduce(DataFrame.unionByName, apart), "features")
+    half = F.col("fold") % 2 == 0
+    held = []
+    for mine in (half, ~half):
+        if seen.where(mine).select("toxic").distinct().count() == 2:
+            held.append(ToxicityModel({}, _grown(seen.where(mine)), None, base)._raw(seen.where(~mine)).select("_raw", "toxic"))
+    model = ToxicityModel(lexicons[-1], _grown(seen), None, base)
+    if held:
+        # Rows of one raw score are one weighted point, so that no task gets them all.
+        points = reduce(DataFrame.unionByName, held).groupBy("_raw").agg(F.avg("toxic").alias("toxic"), F.count("*").cast("double").alias("_weight"))
+        model.calibration = IsotonicRegression(featuresCol="_raw", labelCol="toxic", predictionCol="_calibrated", weightCol="_weight").fit(points)
     return model
 
 
@@ -191,8 +216,10 @@ def learnable(id_col: str = "doc_id") -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, held_out, score (0 to 1) and predicted (score of CUT or more).
 
-    Whole texts are scored, null and empty ones too; equal texts have equal scores. A null id
-    is not held out. Only texts make a score; labels fit the model on rows that are not held out.
+    Whole texts are scored, null and empty ones too; equal texts have equal scores, and repeated
+    rows stay repeated. A null id is not held out. Only texts make a score; labels fit the model
+    on rows that are not held out. An empty table gives no rows; other columns play no part,
+    also those named score, features or toxic.
     """
     model = fit(docs, labels, learnable(id_col), id_col, text)
     scored = model.score(docs.select(F.col(id_col), F.col(text).alias("text")))
