@@ -50,6 +50,7 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 
 WORD = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"[A-Za-z]+(?:[0-9@$*#!|.\-]{1,2}[A-Za-z]+)+")
+MAY_HIDE = re.compile(r"[A-Za-z][0-9@$*#!|.\-]{1,2}[A-Za-z]")
 CAPITALS, SMALL, SIGNS, DIGITS = (bytes(x) for x in (range(65, 91), range(97, 123), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], range(48, 58)))
 NAMES = (
     "log_words", "learned_mean", "learned_most", "learned_three", "strong_count", "strong_rate", "strong_kinds", "insult_count", "insult_rate",
@@ -67,28 +68,31 @@ def grams(word: str) -> set[str]:
 
 def features(text: str, lexicon: dict[str, float], kept: dict[str, float]) -> list[float]:
     data, words = text.encode("utf-8", "replace"), WORD.findall(text.lower())
-    n, weights = len(words) or 1, []
-    for w in words:
+    counts, n, total, top, strong = Counter(words), len(words) or 1, 0.0, [], set()
+    for w, count in counts.items():
         if (x := kept.get(w)) is None:
             if len(kept) >= KEPT:
                 kept.clear()
             x = kept[w] = max((lexicon[g] for g in grams(w) if g in lexicon), default=0.0)
-        weights.append(x)
-    top = sorted(weights, reverse=True)[:3]
-    insults = [i for i, w in enumerate(words) if w in INSULTS]
-    strong = [i for i, x in enumerate(weights) if x >= STRONG]
-    second = [w in SECOND_PERSON for w in words]
-    marked = sorted({*insults, *strong})
-    near = sum(any(second[max(0, i - NEAR) : i + NEAR + 1]) for i in marked)
+        if x:
+            total += x * count
+            top += [x] * min(count, 3)
+            if x >= STRONG:
+                strong.add(w)
+    top = sorted(top, reverse=True)[:3]
+    insults, second = INSULTS & counts.keys(), SECOND_PERSON & counts.keys()
+    n_insults, n_second, n_strong = (sum(counts[w] for w in some) for some in (insults, second, strong))
+    marked = [i for i, w in enumerate(words) if w in insults or w in strong] if insults or strong else []
+    near = sum(any(w in second for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in marked) if second else 0
     size = len(data) or 1
     without = lambda signs: size - len(data.translate(None, signs)) if data else 0
     capitals, small = without(CAPITALS), without(SMALL)
     tokens = text.split()
-    hidden = [x for x in HIDDEN.findall(text) if any(c in "0123456789@$*#!|" for c in x) or "." in x]
+    hidden = [x for x in (HIDDEN.findall(text) if MAY_HIDE.search(text) else ()) if any(c in "0123456789@$*#!|" for c in x) or "." in x]
     unhidden = sum(re.sub("[^a-z]", "", x.lower().translate(LEET)) in INSULTS for x in hidden)
     return [
-        math.log1p(len(words)), sum(weights) / n, top[0] if top else 0.0, sum(top) / 3, math.log1p(len(strong)), len(strong) / n, len({words[i] for i in strong}) / n,
-        math.log1p(len(insults)), len(insults) / n, near / (len(marked) or 1), sum(second) / n, capitals / (capitals + small or 1), sum(map(str.isupper, tokens)) / (len(tokens) or 1),
+        math.log1p(len(words)), total / n, top[0] if top else 0.0, sum(top) / 3, math.log1p(n_strong), n_strong / n, len(strong) / n,
+        math.log1p(n_insults), n_insults / n, near / (len(marked) or 1), n_second / n, capitals / (capitals + small or 1), sum(map(str.isupper, tokens)) / (len(tokens) or 1),
         (data.count(b"!") + data.count(b"?")) / size, without(SIGNS) / size, without(DIGITS) / size, len(hidden) / n, float(unhidden),
     ]
 
