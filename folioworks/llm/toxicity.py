@@ -97,14 +97,14 @@ def features(text: str, lexicon: dict[str, float], kept: dict[str, float]) -> li
     ]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, and with features (array of doubles in NAMES' order)."""
+def with_features(docs: DataFrame, lexicon: dict[str, float], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` without ``text``, unless ``keep_text``, and with features (array of doubles in NAMES' order)."""
 
     def run(texts: Iterable[bytes]) -> Iterable[tuple]:
         kept: dict[str, float] = {}
         return ((features(x.decode("utf-8", "replace"), lexicon, kept),) for x in texts)
 
-    return map_texts(docs, run, "features array<double>", text)
+    return map_texts(docs, run, "features array<double>", text, keep_text)
 
 
 def learn_lexicons(rows: DataFrame, folds: int = FOLDS) -> list[dict[str, float]]:
@@ -154,9 +154,9 @@ class ToxicityModel:
     def __init__(self, lexicon: dict[str, float], trees: GBTClassificationModel | None, calibration: IsotonicRegressionModel | None, base: float):
         self.lexicon, self.trees, self.calibration, self.base = lexicon, trees, calibration, base
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` without ``text``, and with score."""
-        rows = with_features(docs, self.lexicon, text)
+    def score(self, docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+        """``docs`` without ``text``, unless ``keep_text``, and with score."""
+        rows = with_features(docs, self.lexicon, text, keep_text)
         return self._scored(rows).drop("features")
 
     def _raw(self, rows: DataFrame) -> DataFrame:

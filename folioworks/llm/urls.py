@@ -9,6 +9,7 @@ digest that is found counts only if the stored string is the same.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +24,8 @@ from folioworks.llm.words import row_key
 from folioworks.session import shared_dir
 
 SEED = 42
-#: Larger rule sets are joined on digests instead of being sent to every executor.
-LOCAL_BYTES = 256 << 20
+#: Larger rule sets are joined on digests instead: the file is made on the driver, where a rule's row takes many times its bytes.
+LOCAL_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,14 +48,19 @@ def normal_rules(rules: DataFrame) -> DataFrame:
     return keyed.withColumn("digest", F.xxhash64("key"))
 
 
+def _record(key: str, rule: str, verdict: str) -> bytes:
+    k, r = key.encode(), rule.encode()
+    return struct.pack("<II", len(k), len(r)) + k + r + verdict.encode()
+
+
 class DigestFile:
     """Layout, little-endian: n and the number of path lengths; the lengths; n digests in
-    order; n + 1 starts of records; records of key, rule and verdict with tabs between."""
+    order; n + 1 starts of records; records: bytes of key and rule, then key, rule, verdict."""
 
     @staticmethod
     def pack(rows: list[tuple[str, str, str, str]]) -> bytes:
         """rows: key, rule, verdict, path."""
-        keyed = sorted((xxhash.xxh64_intdigest(k.encode(), SEED), f"{k}\t{rule}\t{verdict}".encode()) for k, rule, verdict, _ in rows)
+        keyed = sorted((xxhash.xxh64_intdigest(k.encode(), SEED), _record(k, rule, verdict)) for k, rule, verdict, _ in rows)
         lengths = sorted({len(path) for *_, path in rows})
         starts = np.cumsum([0, *(len(x) for _, x in keyed)])
         numbers = [len(keyed), len(lengths), *lengths, *(h for h, _ in keyed), *starts.tolist()]
@@ -67,8 +73,10 @@ class DigestFile:
         self.lengths, self.digests, self.starts = head[:m].tolist(), head[m : m + n], head[m + n :]
         self.records = words[16 + 8 * (m + n + n + 1) :]
 
-    def record(self, i: int) -> list[str]:
-        return bytes(self.records[int(self.starts[i]) : int(self.starts[i + 1])]).decode().split("\t")
+    def record(self, i: int) -> tuple[str, str, str]:
+        data = bytes(self.records[int(self.starts[i]) : int(self.starts[i + 1])])
+        k, r = struct.unpack_from("<II", data)
+        return data[8 : 8 + k].decode(), data[8 + k : 8 + k + r].decode(), data[8 + k + r :].decode()
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str | None]]:
         """The longest rule that fits each url, and its verdict."""
