@@ -11,6 +11,8 @@ place where the template may lie, and there exact shingle containment decides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioworks.llm.words import row_key
@@ -18,7 +20,7 @@ from folioworks.session import staged
 
 SHINGLE, WINDOW, STRIDE, BANDS = 5, 6, 2, 10
 LEAST = 0.8
-#: Template windows times bands are sent to tasks; more templates than this must go in several scans.
+#: Template windows times bands that one scan sends to tasks; more templates go in several scans.
 MOST_BAND_VALUES = 200_000
 WORDS = r"[^\p{L}\p{N}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,7 +90,15 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, id_col: s
     Null, empty and short texts have none. Rows with equal id and text have one key and the
     same places, given once. Empty tables give no rows; other columns play no part.
     """
-    return _scan(_windowed(docs, templates, id_col, text), templates).select("id", "key", "licence", "start", "containment")
+    each = [_scan(_windowed(docs, part, id_col, text), part).select("id", "key", "licence", "start", "containment") for part in _parts(docs.sparkSession, templates)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _parts(spark: SparkSession, templates: DataFrame | None) -> list[DataFrame]:
+    """The templates in as many parts as keep each to about half of MOST_BAND_VALUES values."""
+    known = staged((default_templates(spark) if templates is None else templates).select("licence", "notice"), "templates")
+    n = -(-2 * known.agg(F.sum(F.greatest(F.size(words(F.col("notice"))) - SHINGLE + 1, F.lit(0)) * BANDS).alias("n")).first().n // MOST_BAND_VALUES) if not known.isEmpty() else 1
+    return [known.where(F.pmod(F.xxhash64("licence", "notice"), F.lit(n)) == i) for i in range(n)] if n > 1 else [known]
 
 
 def _bands(spark: SparkSession, templates: DataFrame | None) -> DataFrame:
@@ -98,10 +108,7 @@ def _bands(spark: SparkSession, templates: DataFrame | None) -> DataFrame:
 def _windowed(docs: DataFrame, templates: DataFrame | None, id_col: str, text: str) -> DataFrame:
     """Every row's id and key; of rows with a window that collides, words and those windows."""
     values: dict[int, set[int]] = {b: set() for b in range(BANDS)}
-    found = _bands(docs.sparkSession, templates).select("band", "value").distinct().limit(MOST_BAND_VALUES + 1).collect()
-    if len(found) > MOST_BAND_VALUES:
-        raise ValueError(f"templates have over {MOST_BAND_VALUES} band values: scan with parts of them")
-    for r in found:
+    for r in _bands(docs.sparkSession, templates).select("band", "value").distinct().collect():  # a part's, bounded
         values[r.band].add(r.value)
 
     def collides(hashes: Column):
@@ -135,11 +142,16 @@ def _scan(windowed: DataFrame, templates: DataFrame | None) -> DataFrame:
 
 
 def licence_report(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_licences and licences (names, sorted, with commas)."""
-    windowed = _windowed(docs, templates, id_col, text)
-    per_key = _scan(windowed, templates).groupBy("key").agg(F.sort_array(F.collect_set("licence")).alias("names"))
+    """One row per row of ``docs``: id, n_licences and licences (names, sorted, with commas).
+
+    Null, empty and short texts have none, repeated rows have theirs each, and an empty table
+    gives no rows. Other columns play no part.
+    """
+    scans = [(part, _windowed(docs, part, id_col, text)) for part in _parts(docs.sparkSession, templates)]
+    found = reduce(DataFrame.unionByName, [_scan(windowed, part).select("key", "licence") for part, windowed in scans])
+    per_key = found.groupBy("key").agg(F.sort_array(F.collect_set("licence")).alias("names"))
     names = F.coalesce("names", F.array().cast("array<string>"))
-    return windowed.select("id", "key").join(per_key, "key", "left").select(F.col("id").alias(id_col), F.size(names).alias("n_licences"), F.array_join(names, ",").alias("licences"))
+    return scans[0][1].select("id", "key").join(per_key, "key", "left").select(F.col("id").alias(id_col), F.size(names).alias("n_licences"), F.array_join(names, ",").alias("licences"))
 
 
 def _sql() -> str:
