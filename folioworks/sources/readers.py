@@ -137,7 +137,7 @@ def with_blocks(files: DataFrame, content: str = "content", ext: str = "ext") ->
         try:
             found = reader(bytes(data or b"")) if reader else None
             return name, None if found is None else [{"text": t, "style": s, "bold": b} for t, s, b in found], None if reader else "unsupported"
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError) as e:
+        except Exception as e:  # whatever is wrong with one file is that file's row
             return name, None, f"{type(e).__name__}: {e}"[:200]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
