@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -59,6 +60,8 @@ NAMES = (
 #: Words whose weight a worker keeps at hand.
 KEPT = 1 << 18
 NEAR = 4
+#: Entries that a task sums up before it sends them on.
+HELD = 1 << 17
 
 
 def grams(word: str) -> set[str]:
@@ -111,21 +114,25 @@ def learn_lexicons(rows: DataFrame, folds: int = FOLDS) -> list[dict[str, float]
     """Rows (text, toxic 0/1, fold) to folds + 1 lexicons: without each fold, and of all rows.
     A lexicon has entries and their share of toxic texts, shrunk to the base rate.
 
-    Each task sums up its own rows, all folds at once; the driver gets the entries that pass
+    Each task sums up its own rows, up to HELD entries at a time; the driver gets the entries that pass
     alone, at most MOST_ENTRIES a lexicon (of the bounded sample, the most telling).
     """
 
+    def summed_up(counts: dict[tuple[int, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for (fold, label), seen in counts.items():
+            n = np.fromiter(seen.values(), np.int64, len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(np.full(len(n), fold, np.int32)), pa.array(n), pa.array(n * label)], names=["gram", "fold", "n", "bad"])
+        counts.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        toxic: Counter = Counter()
+        counts: dict[tuple[int, int], Counter] = {}
         for batch in batches:
-            for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = [(g, fold) for g in set().union(*map(grams, set(WORD.findall((text or "").lower()))))]
-                seen.update(found)
-                if label:
-                    toxic.update(found)
-        made = ([g for g, _ in seen], [f for _, f in seen], list(seen.values()), [toxic[x] for x in seen])
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["gram", "fold", "n", "bad"])
+            for text, label, fold in zip(*(batch.column(i) for i in range(3))):
+                found = set().union(*map(grams, set(WORD.findall((text.as_py() or "").lower()))))
+                counts.setdefault((fold.as_py(), label.as_py()), Counter()).update(found)
+                if sum(map(len, counts.values())) > HELD:
+                    yield from summed_up(counts)
+        yield from summed_up(counts)
 
     sizes = {r.fold: (r.n, r.bad) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).collect()}
     total = tuple(sum(x[i] for x in sizes.values()) for i in (0, 1))
