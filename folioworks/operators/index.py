@@ -76,3 +76,20 @@ def reconcile_counts(objects: DataFrame, index: DataFrame, group: str, key: str,
 def missing_objects(objects: DataFrame, index: DataFrame, key: str = "id", link: str = "object_id") -> DataFrame:
     """J-07: the objects to embed and write again."""
     return objects.join(index.select(F.col(link).alias("_k")).where("_k is not null").distinct(), F.col(key) == F.col("_k"), "left_anti")
+
+
+def rebuilt(objects: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, version: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M-11: the whole index anew from its objects: points, rejected objects, and what
+    ``reconcile`` still finds between both (a sound rebuild leaves the rejected ones alone).
+    Write the points elsewhere, look at the rest, then swap (``tables.replace``)."""
+    points, rejected = embed(objects, encoder, model, version, **options)
+    return points, rejected, reconcile(objects, points.select("point_id", "object_id"))
+
+
+def repaired(objects: DataFrame, index: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, version: str, **options) -> tuple[DataFrame, DataFrame]:
+    """J-07: the index with points for the objects that it lacks and without those of objects
+    that are gone or unnamed, and the objects that were rejected. Sound points stay as they are."""
+    ids = objects.select(F.col("id").alias("object_id")).distinct()
+    kept = index.join(ids, "object_id", "left_semi").select(index.columns)
+    points, rejected = embed(missing_objects(objects, kept), encoder, model, version, **options)
+    return kept.unionByName(points, allowMissingColumns=True), rejected

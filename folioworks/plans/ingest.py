@@ -43,6 +43,13 @@ def canonical_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met, unknown.select("path", "reason").unionByName(empty.select("path", "reason"))
 
 
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key: that of the file which comes first by _order, so that a retry picks the same."""
+    rest = [c for c in rows.columns if c not in (key, "_order")]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rest), "_order").alias("_row")).select(key, "_row.*")
+    return first.select([c for c in rows.columns if c != "_order"])
+
+
 def ingest(files: DataFrame, sources: DataFrame, objects: DataFrame, run_at: Column) -> Ingested:
     """Changes to the tables from files: duplicates (of a file of this run that comes first, or
     of a known source of the same branch and topic) make a batch row and nothing else."""
@@ -56,20 +63,21 @@ def ingest(files: DataFrame, sources: DataFrame, objects: DataFrame, run_at: Col
     fresh = told.where("duplicate_of is null")
     title = F.coalesce("title", F.regexp_replace("file_name", r"\.[^.]+$", ""))
     parts = classify.sections(fresh.withColumn("object_type", F.lit(None).cast("string")).withColumn("title", title), key="batch_id", text="body")
-    fields = fresh.select("batch_id", "key", "branch", "topic", "subtopic", "micro_issue", "verification_status", "id_prefix", F.col("file_name").alias("_file"))
+    fields = fresh.select("batch_id", "key", "branch", "topic", "subtopic", "micro_issue", "verification_status", "id_prefix", "modified", "path")
     met = parts.join(fields, "batch_id")
     kind, status = F.col("object_type"), F.col("verification_status")
     made = met.select(
         object_id(kind, F.col("local_id"), F.col("body"), F.col("id_prefix")).alias("id"), "object_type", "branch", "topic", "subtopic", "micro_issue", "title", F.col("body").alias("original_text"),
         normalize_text(F.col("body")).alias("normalized_text"), F.col("key").alias("source_key"), "verification_status", F.lit(None).cast("string").alias("temporal_scope"),
         F.create_map(F.lit("batch_id"), F.col("batch_id"), F.lit("local_id"), F.col("local_id")).alias("metadata"), run_at.alias("created_at"), run_at.alias("updated_at"),
-        classify.authority_status(kind, status).alias("authority_status"), classify.citable(kind, status).alias("usable_as_citation"),
+        classify.authority_status(kind, status).alias("authority_status"), classify.citable(kind, status).alias("usable_as_citation"), F.struct("modified", "path").alias("_order"),
     )
-    made = made.dropDuplicates(["id"])  # equal sections of one source are one object
+    made = _first(made, "id")  # equal sections of one source are one object
     new_sources = fresh.select(
         F.col("key").alias("source_key"), "source_type", title.alias("title"), "file_name", "sha256", "verification_status", F.create_map(F.lit("format"), F.col("source_format")).alias("metadata"),
-        run_at.alias("created_at"), run_at.alias("updated_at"), "content_sha256", "branch", "topic", F.col("batch_id").alias("first_batch_id"),
-    ).dropDuplicates(["source_key"])
+        run_at.alias("created_at"), run_at.alias("updated_at"), "content_sha256", "branch", "topic", F.col("batch_id").alias("first_batch_id"), F.struct("modified", "path").alias("_order"),
+    )
+    new_sources = _first(new_sources, "source_key")
     counts = made.groupBy(F.col("metadata")["batch_id"].alias("batch_id")).agg(F.count("*").cast("int").alias("object_count"))
     batches = told.join(counts, "batch_id", "left").select(
         "batch_id", F.col("key").alias("source_key"), F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("completed").alias("status"), F.coalesce("object_count", F.lit(0)).alias("object_count"),

@@ -255,6 +255,23 @@ def repair_list(d: Tables) -> DataFrame:
     return index.reconcile(d.documents.select(F.col("doc_id").alias("id")), points)
 
 
+@query("""
+select doc_id::varchar as object_id, case when doc_id in (select doc_id from labels where doc_id % 9 > 0) then -1 else length(text) + 9 end::double as size from documents where not starts_with(text, 'query: ')
+union all select doc_id::varchar, -1 from documents where starts_with(text, 'query: ') and doc_id in (select doc_id from labels where doc_id % 9 > 0)
+""")
+def index_repair(d: Tables) -> DataFrame:
+    """An index of most labelled documents and of some that are gone; what is missing is encoded by its length."""
+    objects = d.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("original_text"))
+    stray = d.labels.where("doc_id % 50 = 0").select((F.col("doc_id") + 10_000_000).cast("string").alias("object_id"))
+    held = d.labels.where("doc_id % 9 > 0").select(F.col("doc_id").cast("string").alias("object_id")).distinct().union(stray).withColumn("vector", F.array(F.lit(-1.0).cast("float")))
+
+    def encoder():
+        return lambda texts: [[float(len(x))] for x in texts]
+
+    points, _ = index.repaired(objects, held, encoder, "length", "1")
+    return points.select("object_id", F.col("vector")[0].cast("double").alias("size"))
+
+
 @query("select vec_id, label from embeddings where vec_id not in (select doc_id from labels) and not (label = 4 and vec_id % 2 = 0) and vec_id % 5 > 0")
 def index_deletes(d: Tables) -> DataFrame:
     points = d.embeddings.select("vec_id", F.col("vec_id").alias("object_id"), "label")

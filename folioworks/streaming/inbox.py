@@ -64,8 +64,10 @@ def compact(spark: SparkSession, root: str, version: int) -> None:
         table.write.mode("overwrite").parquet(f"{_base_path(root, t)}/v={version}")
 
 
-def watch_inbox(spark: SparkSession, folder: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def watch_inbox(spark: SparkSession, folder: str, root: str, checkpoint: str, every: str | None = None, compact_every: int = 20) -> StreamingQuery:
     """R-01, R-02, R-06: ingests what is new in a folder; each micro-batch appends its changes.
+    Every ``compact_every`` micro-batches they are folded into a base, so that a micro-batch
+    reads a base and a bounded number of changes.
 
     A replayed micro-batch has the same number, sees the tables as of the one before and
     writes its changes again in their place, so nothing happens twice; bad files are failed
@@ -80,6 +82,8 @@ def watch_inbox(spark: SparkSession, folder: str, root: str, checkpoint: str, ev
         for t, changes in (("sources", made.sources), ("knowledge_objects", made.objects), ("ingestion_batches", made.batches)):
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[t]().fields]
             changes.select(columns).write.mode("overwrite").parquet(f"{_changes_path(root, t)}/v={number}")
+        if number % compact_every == compact_every - 1:
+            compact(spark, root, number)
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()

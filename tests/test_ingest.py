@@ -12,9 +12,9 @@ from folioworks.schemas import TABLES
 from folioworks.sources import readers
 from folioworks.streaming import inbox
 
-LINES = ["المادة 1", "تثبت الحضانة للأم ما لم يقض القاضي بغير ذلك لمصلحة المحضون.", "المادة 2", "يسقط حق الحاضنة في الحضانة إذا تزوجت بأجنبي عن المحضون."]
-SIDECAR = {"source_type": "legislation", "verification_status": "source_verified", "branch": "test", "topic": "t", "classification_title": "الحضانة وسقوطها"}
-NOISY = "المـــادة 1\r\nتثبت   الحضانة للأم ما لم يقض القاضي بغير ذلك لمصلحة المحضون.\r\n\r\n\r\n\r\nالمادة 2\r\nيسقط حق ‏الحاضنة في الحضانة إذا تزوجت بأجنبي عن المحضون."
+LINES = ["المادة 1", "يفتح السوق أبوابه كل صباح ما لم يعلن المجلس عطلة عامة.", "المادة 2", "ترفع الحواجز عن الطريق إذا انتهت أعمال الصيانة قبل موعدها."]
+SIDECAR = {"source_type": "legislation", "verification_status": "source_verified", "branch": "test", "topic": "t", "classification_title": "الأسواق والطرق"}
+NOISY = "المـــادة 1\r\nيفتح   السوق أبوابه كل صباح ما لم يعلن المجلس عطلة عامة.\r\n\r\n\r\n\r\nالمادة 2\r\nترفع الحواجز \u200fعن الطريق إذا انتهت أعمال الصيانة قبل موعدها."
 
 
 def docx(lines):
