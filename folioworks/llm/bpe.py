@@ -23,8 +23,8 @@ from tokenizers import Tokenizer
 
 from folioworks.llm.batches import map_texts
 
-#: Words and fragments kept per worker; what is kept is dropped when it is full.
-KEPT = 1 << 19
+#: Words and fragments kept per worker. When that many words are kept they become the older ones, and those go: words that recur stay.
+KEPT = 1 << 17
 #: Up to this many symbols a scan for the best merge costs less than a heap.
 SHORT = 32
 NO_MERGE = (1 << 40, -1)
@@ -66,6 +66,7 @@ class WordBpe:
         self.joined = self._joined(vocab)
         self.joined_rows = self.joined.tolist()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fragments: dict[tuple[bytes, bool], list[int]] = {}
 
     def _joined(self, vocab: dict[str, int]) -> np.ndarray:
@@ -151,10 +152,12 @@ class WordBpe:
         known, out = self.words, []
         for w in self.word.findall(text.lower()):
             if (ids := known.get(w)) is None:
-                ids = self._word(w.encode())
+                if (ids := self.older.get(w)) is None:
+                    ids = self._word(w.encode())
                 if len(w) <= 64:
                     if len(known) >= KEPT:
-                        known.clear()
+                        known, self.older = {}, known
+                        self.words = known
                     known[w] = ids
             out.append(ids)
         return out
