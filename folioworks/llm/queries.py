@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from folioworks.llm import ann, bpe, lexical, licences, lines, media, mixing, packing, secrets, simhash, toxicity, urls
+from folioworks.llm import ann, bpe, lexical, licences, lines, media, mixing, packing, phrases, secrets, simhash, toxicity, urls
 from folioworks.llm.words import table
 
 #: A file that every executor has.
@@ -68,6 +68,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,5 +80,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op1_line_dedup_both_ways": op1_line_dedup_both_ways, "op9_secret_links": op9_secret_links, "op12_lexical": op12_lexical, "op13_packing": op13_packing}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op1_line_dedup_both_ways": lines.BOTH_WAYS_SQL, "op2_urls": urls.ORACLE_SQL, "op5_licences": licences.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL, "op9_secret_links": secrets.LINKS_SQL, "op12_lexical": lexical.ORACLE_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op1_line_dedup_both_ways": op1_line_dedup_both_ways, "op9_secret_links": op9_secret_links, "op11_phrases": op11_phrases, "op12_lexical": op12_lexical, "op13_packing": op13_packing}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op1_line_dedup_both_ways": lines.BOTH_WAYS_SQL, "op2_urls": urls.ORACLE_SQL, "op5_licences": licences.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL, "op9_secret_links": secrets.LINKS_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL}
