@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.functions.text import merged, word_signatures
+from folioworks.session import staged
 
 
 def with_sidecars(docs: DataFrame, sidecars: DataFrame, path: str = "path", suffix: str = ".json") -> DataFrame:
@@ -37,9 +38,9 @@ def known_duplicates(docs: DataFrame, sources: DataFrame, objects: DataFrame, sc
     return met.join(counts, met["known_source"] == counts["source_key"], "left").drop(counts["source_key"]).withColumn("object_count", F.coalesce("object_count", F.lit(0)))
 
 
-def hydrate(hits: DataFrame, objects: DataFrame, key: str = "object_id", rank: str = "rank", score: str = "score") -> DataFrame:
-    """J-03: hits with their objects in hit order; hits without an object go."""
-    return hits.join(objects, key).withColumn(score, F.round(score, 4)).orderBy(rank)
+def hydrate(hits: DataFrame, objects: DataFrame, key: str = "object_id", score: str = "score") -> DataFrame:
+    """J-03: hits with their objects, ``rank`` telling the order; hits without an object go."""
+    return hits.join(objects, key).withColumn(score, F.round(score, 4))
 
 
 def unique_key_match(left: DataFrame, right: DataFrame, key: str, protected: Column | None = None) -> DataFrame:
@@ -62,27 +63,33 @@ def first_match(left: DataFrame, right: DataFrame, key: str, first: str) -> Data
 def attribute_references(objects: DataFrame, references: DataFrame, letters: str, accept: float = 0.55, margin: float = 0.05, skip: Column | None = None) -> DataFrame:
     """J-10, T-14: objects (id, text) to their reference (k, reference) by word signatures.
 
-    Coverage of a key is the share of its signatures that a text has. Both sides are exploded
-    and joined on signatures, and hits are counted by numbers: a key's text comes back only
-    where it orders keys that cover alike. The best key is accepted from ``accept`` on, unless
-    another reference comes closer than ``margin``. Rows: id, reference, coverage, outcome
-    (attributed, ambiguous, unmatched).
+    Coverage of a key is the share of its signatures that a text has. The best key is accepted
+    from ``accept`` on, unless another reference comes closer than ``margin``; coverage below
+    both is not told. A text that covers so much of a key's n signatures has one of any
+    n - least + 1 of them, so a key is posted under its rarest ones only: frequent words bring
+    no candidates. Candidates are verified on all signatures of both. Rows: id, reference,
+    coverage, outcome (attributed, ambiguous, unmatched).
     """
     rows = objects if skip is None else objects.where(~F.coalesce(skip, F.lit(False)))
-    asked = rows.select("id", F.explode(word_signatures(F.col("text"), letters)).alias("sig")).select("id", F.xxhash64("sig").alias("sig"))
-    keys = references.distinct().select(F.xxhash64("k", "reference").alias("no"), "k", "reference", word_signatures(F.col("k"), letters).alias("sigs"))
-    sizes = keys.select("no", "k", "reference", F.greatest(F.size("sigs"), F.lit(1)).alias("n"))
-    posted = keys.select("no", F.explode("sigs").alias("sig")).select("no", F.xxhash64("sig").alias("sig"))
-    hits = asked.join(posted, "sig").groupBy("id", "no").agg(F.count("*").alias("hits"))
-    scored = hits.join(sizes.select("no", "n"), "no").select("id", "no", (F.col("hits") / F.col("n")).alias("coverage"))
-    two = scored.withColumn("_r", F.rank().over(Window.partitionBy("id").orderBy(F.desc("coverage")))).where("_r <= 2")
-    order = Window.partitionBy("id").orderBy(F.desc("coverage"), "k", "reference")
-    best = two.join(sizes.drop("n"), "no").withColumn("rn", F.row_number().over(order)).where("rn <= 2")
+    hashed = lambda c: F.transform(word_signatures(F.col(c), letters), lambda s: F.xxhash64(s))
+    told = staged(rows.select("id", hashed("text").alias("own")), "signatures")
+    keys = references.distinct().select(F.xxhash64("k", "reference").alias("no"), "k", "reference", hashed("k").alias("sigs"))
+    keys = staged(keys.where(F.size("sigs") > 0).withColumn("n", F.size("sigs")), "keys")
+    least = F.ceil(F.col("n") * (accept - margin) - 1e-9).cast("int")
+    posted = keys.select("no", F.greatest(least, F.lit(1)).alias("least"), "n", F.explode("sigs").alias("sig"))
+    asked = told.select("id", F.explode("own").alias("sig"))
+    often = asked.join(posted.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.count("*").alias("often"))
+    rarity = F.row_number().over(Window.partitionBy("no").orderBy(F.coalesce("often", F.lit(0)), "sig"))
+    prefix = posted.join(often, "sig", "left").withColumn("nth", rarity).where("nth <= n - least + 1 and often is not null").select("sig", "no")
+    met = asked.join(prefix, "sig").select("id", "no").distinct().join(told, "id").join(keys, "no")
+    share = F.size(F.array_intersect("own", "sigs")) / F.col("n")
+    scored = met.select("id", "k", "reference", "n", share.alias("coverage")).where(F.col("coverage") >= accept - margin - 1e-9)
+    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("coverage"), "k", "reference"))).where("rn <= 2")
     pair = best.groupBy("id").agg(F.max(F.when(F.col("rn") == 1, F.struct("reference", "coverage"))).alias("a"), F.max(F.when(F.col("rn") == 2, F.struct("reference", "coverage"))).alias("b"))
     near = (F.col("b.reference") != F.col("a.reference")) & (F.col("a.coverage") - F.col("b.coverage") < margin)
     outcome = F.when(F.coalesce("a.coverage", F.lit(0.0)) < accept, "unmatched").when(F.coalesce(near, F.lit(False)), "ambiguous").otherwise("attributed")
-    told = rows.select("id").join(pair, "id", "left").withColumn("outcome", outcome)
-    return told.select("id", F.when(F.col("outcome") == "attributed", F.col("a.reference")).alias("reference"), F.col("a.coverage").alias("coverage"), "outcome")
+    judged = rows.select("id").join(pair, "id", "left").withColumn("outcome", outcome)
+    return judged.select("id", F.when(F.col("outcome") == "attributed", F.col("a.reference")).alias("reference"), F.col("a.coverage").alias("coverage"), "outcome")
 
 
 def apply_sections(objects: DataFrame, sections: DataFrame) -> DataFrame:

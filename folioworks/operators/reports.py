@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioworks.operators.numbering import WIDTH, carried, met_by, row_numbers, with_cells
+from folioworks.session import staged
+
 
 def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
     """A-01, A-02, A-10, A-13: rows by the keys, largest first."""
@@ -47,19 +50,31 @@ def reading_trigger(chunks: DataFrame, key: str, parts: str = "part", low: float
     return seen.withColumn("read_again", again)
 
 
-def sequence_report(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """A-09: per group least, greatest, number of distinct and of repeated numbers, and the
-    numbers that are missing in between. Gaps are found between neighbours, so a group's
-    numbers are sorted and never spread out in full."""
+def sequence_report(rows: DataFrame, group: str, number: str, chunk: int = 1000) -> DataFrame:
+    """A-09: per group least, greatest, number of distinct and of repeated numbers, how many are
+    missing in between, and the gaps, ``chunk`` to a row (chunk: 0, 1, ...; a group without gaps
+    has one row). Gaps are found between neighbours: within cells of the numbers by one window,
+    over their borders from the cells' least numbers, so no group is sorted in one task."""
     per = rows.where(F.col(number).isNotNull()).groupBy(group, F.col(number).cast("long").alias("n")).agg(F.count("*").alias("copies"))
-    after = F.lead("n").over(Window.partitionBy(group).orderBy("n"))
-    gap = F.when(after - F.col("n") > 1, F.concat((F.col("n") + 1).cast("string"), F.lit("-"), (after - 1).cast("string")))
-    marked = per.withColumn("gap", gap).withColumn("lost", F.coalesce(after - F.col("n") - 1, F.lit(0)))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("n", "gap"))))
-    return marked.groupBy(group).agg(
+    celled = staged(with_cells(staged(per, "numbers"), "n"), "numbers")
+    firsts = celled.groupBy(group, "_cell").agg(F.min("n").alias("_n"))
+    over = firsts.select(group, "_cell", F.lead("_n").over(Window.partitionBy(group).orderBy("_cell")).alias("_over"))
+    inside = celled.withColumn("_after", F.lead("n").over(Window.partitionBy(group, "_cell").orderBy("n")))
+    met = met_by(inside, over, [group, "_cell"]).withColumn("_after", F.coalesce("_after", "_over"))
+    stats = met.groupBy(group).agg(
         F.min("n").alias("least"), F.max("n").alias("greatest"), F.count("*").alias("n_distinct"), F.sum(F.when(F.col("copies") > 1, 1).otherwise(0)).alias("n_repeated"),
-        F.sum("lost").alias("n_missing"), F.array_join(F.transform(ordered, lambda g: g["gap"]), ",").alias("gaps"),
+        F.sum(F.coalesce(F.col("_after") - F.col("n") - 1, F.lit(0))).alias("n_missing"),
     )
+    gaps = row_numbers(met.where(F.col("_after") - F.col("n") > 1).select(group, "n", "_after"), [group], "n", "nth")
+    shown = F.concat((F.col("n") + 1).cast("string"), F.lit("-"), (F.col("_after") - 1).cast("string"))
+    chunks = gaps.groupBy(group, F.floor((F.col("nth") - 1) / chunk).cast("int").alias("chunk")).agg(_joined(F.array_sort(F.collect_list(F.struct("n", shown.alias("x"))))).alias("gaps"))
+    on = F.col(f"s.{group}").eqNullSafe(F.col(f"c.{group}"))
+    return stats.alias("s").join(chunks.alias("c"), on, "left").select("s.*", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("gaps", F.lit("")).alias("gaps"))
+
+
+def _joined(pairs: Column) -> Column:
+    """The second parts of (order, text) pairs."""
+    return F.array_join(F.transform(pairs, lambda p: p["x"]), ",")
 
 
 def keyword_presence(rows: DataFrame, words: list[str], text: str, key: str, examples: int = 2) -> DataFrame:
@@ -88,10 +103,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-def id_list(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """A-16, A-20: per group its ids in order, in one string, and their number."""
+def id_list(rows: DataFrame, group: str, key: str, chunk: int = 1000) -> DataFrame:
+    """A-16: per group its ids (integers) in order, ``chunk`` to a row: (group, chunk, ids, n),
+    so that a group of any size is read and written by many tasks."""
+    numbered = row_numbers(rows.where(F.col(key).isNotNull()).select(group, key), [group], key, "nth")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",")
-    return rows.groupBy(group).agg(ids.alias("ids"), F.count(key).alias("n"))
+    return numbered.groupBy(group, F.floor((F.col("nth") - 1) / chunk).cast("int").alias("chunk")).agg(ids.alias("ids"), F.count(key).alias("n"))
 
 
 def facet(rows: DataFrame, column: str) -> DataFrame:
@@ -128,15 +145,15 @@ def first_and_last(rows: DataFrame, group: str, order: str, value: str, n: int =
     return low.unionByName(high)
 
 
-def neighbourhood(rows: DataFrame, group: str, order: str, matches: Column, reach: int = 3) -> DataFrame:
-    """W-02: rows within ``reach`` places of a match in their group's order, with the distance
-    to the nearest one. Two running places, no join."""
-    w = Window.partitionBy(group).orderBy(order)
-    placed = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_hit", F.when(F.coalesce(matches, F.lit(False)), F.col("_rn")))
-    back = F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_hit", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = placed.withColumn("distance", F.least(F.col("_rn") - back, ahead - F.col("_rn")))
-    return near.where(F.col("distance") <= reach).drop("_rn", "_hit")
+def neighbourhood(rows: DataFrame, group: str, order: str, matches: Column, reach: int = 3, width: int = WIDTH) -> DataFrame:
+    """W-02: rows within ``reach`` places of a match in their group's order (an integer), with
+    the distance to the nearest one. Places are numbered over cells and cut into cells of
+    ``width`` places again; matches are carried over the cells' borders."""
+    placed = row_numbers(rows.withColumn("_hit", F.coalesce(matches, F.lit(False))), [group], order, "_rn", width)
+    celled = staged(placed.withColumn("_cell", F.floor((F.col("_rn") - 1) / width)), "places")
+    near = carried(celled, [group], "_cell", "_rn", F.when(F.col("_hit"), F.col("_rn")), "_before", "_after")
+    told = near.withColumn("distance", F.least(F.col("_rn") - F.col("_before"), F.col("_after") - F.col("_rn")))
+    return told.where(F.col("distance") <= reach).drop("_rn", "_hit", "_cell", "_before", "_after")
 
 
 def latest(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioworks.functions.text import search_word
+from folioworks.operators.nearest import vector_top_k  # noqa: F401  one of this module's operators
+from folioworks.operators.numbering import row_numbers
+from folioworks.session import staged
 
 
 def top_newest(rows: DataFrame, at: str, key: str, n: int, most: int) -> DataFrame:
@@ -26,61 +27,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, total(a, b) / norm)
 
 
-#: Points and queries of a block, and queries that are scored at once.
-POINTS, QUERIES, TOGETHER = 1 << 15, 1 << 12, 32
-
-
-def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products of matching components, summed up in their order."""
-    total = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
-    for i in range(a.shape[-1]):
-        total += a[..., i] * b[..., i]
-    return total
-
-
-def vector_top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "object_id", vector: str = "vector", same: tuple[str, ...] = ()) -> DataFrame:
-    """K-03: for each query (query_id, q, and the columns ``same``) the ``k`` nearest points
-    by cosine, of those that agree in ``same`` where the query has a value.
-
-    Blocks of queries meet blocks of points, each pair of blocks in one task, which cuts to its
-    own best before anything is shuffled again. Vectors that are null or hold nulls, zero
-    vectors and vectors of another length have no score.
-    """
-    whole = lambda c: F.forall(c, lambda x: F.coalesce(~F.isnan(x), F.lit(False)))
-    p = points.where(whole(F.col(vector))).select(F.col(key), F.col(vector).cast("array<double>").alias("_v"), *same)
-    q = queries.where(whole(F.col("q"))).select("query_id", F.col("q").cast("array<double>").alias("_v"), *same)
-    n_p, n_q = (max(1, -(-x.count() // size)) for x, size in ((points, POINTS), (queries, QUERIES)))
-    n_p = max(n_p, min(-(-n_p * POINTS // 2048), points.sparkSession.sparkContext.defaultParallelism))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = p.withColumn("_p", block(key, n_p)).withColumn("_q", each(n_q)).groupBy("_p", "_q", F.size("_v"))
-    right = q.withColumn("_q", block("query_id", n_q)).withColumn("_p", each(n_p)).groupBy("_p", "_q", F.size("_v"))
-
-    def best(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(stored) and len(asked):
-            keys, matrix = stored[key].to_numpy(), np.array(stored["_v"].tolist())
-            norms = np.sqrt(_in_order(matrix, matrix))
-            for start in range(0, len(asked), TOGETHER):
-                some = asked.iloc[start : start + TOGETHER]
-                wanted = np.array(some["_v"].tolist())
-                size = norms[None] * np.sqrt(_in_order(wanted, wanted))[:, None]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.where(size > 0, _in_order(wanted[:, None], matrix[None]) / size, -np.inf)
-                for c in same:
-                    free = some[c].isna().to_numpy()[:, None]
-                    scores[~(free | (some[c].to_numpy()[:, None] == stored[c].to_numpy()[None]))] = -np.inf
-                for query, row in zip(some["query_id"], scores):
-                    at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    at = at[row[at] > -np.inf]
-                    at = at[np.lexsort((keys[at], -row[at]))][:k]
-                    found += [(query, keys[i], row[i]) for i in at]
-        return pd.DataFrame(found, columns=["query_id", key, "score"])
-
-    types = dict(queries.select("query_id").dtypes) | dict(points.select(key).dtypes)
-    scored = left.cogroup(right).applyInPandas(best, f"query_id {types['query_id']}, `{key}` {types[key]}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+#: Tasks that the objects of one word of one number are dealt over.
+SALTS = 8
 
 
 def exact_search(objects: DataFrame, queries: DataFrame, k: int = 3, key: str = "id", title: str = "title", fields: tuple[str, ...] = ("title",)) -> DataFrame:
@@ -88,14 +36,33 @@ def exact_search(objects: DataFrame, queries: DataFrame, k: int = 3, key: str =
     with no digit beside it, by how many tokens stand in the fields as whole words: none are
     dropped if there are tokens, only the best tier stays, of it the first ``k`` by id.
 
-    Objects and queries meet on number and word, so objects that share no word are never
-    paired; queries without tokens meet the first ``k`` objects of their number only."""
+    A query's tokens are taken from the rarest on. Objects with the rarest one are counted
+    first; the most that one of them matches bounds the tier from below. An object that matches
+    as many of n tokens has one of the n - tier + 1 rarest, so frequent words bring in no
+    candidates of their own. Candidates are counted on the asked words that they hold. Queries
+    without tokens meet the first ``k`` objects of their number only."""
     words = F.array_distinct(F.transform(F.split(F.concat_ws(" ", *fields), r"\s+"), search_word))
     numbers = F.array_distinct(F.regexp_extract_all(F.col(title), F.lit(r"(\d+)"), F.lit(1)))
     rows = objects.select(F.col(key).alias("id"), words.alias("_words"), F.explode(numbers).alias("number"))
     asked = queries.select("query_id", F.col("number").cast("string").alias("number"), F.array_distinct("tokens").alias("tokens"))
-    told = asked.select("query_id", "number", F.explode("tokens").alias("_word"))
-    matched = rows.select("id", "number", F.explode("_words").alias("_word")).join(told, ["number", "_word"]).groupBy("query_id", "id").agg(F.count("*").cast("int").alias("matched"))
+    told = asked.select("query_id", "number", F.explode("tokens").alias("word"))
+    every = rows.select("id", "number", F.explode("_words").alias("word"))
+    posted = staged(every.join(told.select("number", "word").distinct(), ["number", "word"], "left_semi"), "postings")
+    held = posted.groupBy("number", "id").agg(F.collect_set("word").alias("held"))
+    often = posted.groupBy("number", "word").agg(F.count("*").alias("n"))
+    rarity = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "word"))
+    found = told.join(often, ["number", "word"]).withColumn("nth", rarity).withColumn("of", F.count("*").over(Window.partitionBy("query_id")))
+    found = staged(found.select("query_id", "number", "word", "nth", "of"), "tokens")
+    salted = posted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    counted = F.size(F.array_intersect("held", "tokens")).alias("matched")
+
+    def matches(some: DataFrame) -> DataFrame:
+        each = some.select("query_id", "number", "word", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        candidates = salted.join(each, ["number", "word", "salt"]).select("query_id", "number", "id").distinct()
+        return candidates.join(held, ["number", "id"]).join(asked.select("query_id", "tokens"), "query_id").select("query_id", "id", counted)
+
+    tier = matches(found.where("nth = 1")).groupBy("query_id").agg(F.max("matched").alias("tier"))
+    matched = matches(found.join(tier, "query_id").where("nth <= of - tier + 1"))
     first = rows.select("id", "number").withColumn("_n", F.row_number().over(Window.partitionBy("number").orderBy("id"))).where(F.col("_n") <= k)
     plain = asked.where(F.size("tokens") == 0).join(first, "number").select("query_id", "id", F.lit(0).alias("matched"))
     order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "id")
@@ -157,13 +124,34 @@ def tier_order(results: DataFrame, tiers: DataFrame, kind: str = "object_type")
     return ranked.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("tier"), F.desc("score"), "id")))
 
 
+def _bitmaps(rows: DataFrame, key: str) -> DataFrame:
+    """(key, word, bits): the queries (n: their numbers) of each key, 64 to a word."""
+    return rows.groupBy(key, F.floor(F.col("n") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("n", F.lit(64)).cast("int"))).alias("bits"))
+
+
 def controlled_expansion(objects: DataFrame, seeds: DataFrame, negative: DataFrame) -> DataFrame:
     """P-03: objects that share a tag with a query's seeds, but for those that a negative link
-    names (query_id and id; without a query_id column: for every query) or that are not for use."""
-    tags = seeds.select("query_id", F.explode("tags").alias("tag")).distinct()
-    near = objects.where(~F.coalesce("not_for_use", F.lit(False))).select("id", F.explode("tags").alias("tag")).join(tags, "tag").select("query_id", "id").distinct()
-    banned = [c for c in ("query_id", "id") if c in negative.columns]
-    return near.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").join(negative, banned, "left_anti")
+    names (query_id and id; without a query_id column: for every query) or that are not for use.
+
+    Queries are numbered and kept as bits: a tag has the queries whose seeds bear it, an object
+    the union over its tags, less those of which it is a seed or that a link forbids. There
+    is a row for every object and 64 queries, none for each query, tag and object. Query ids
+    are integers."""
+    queries = staged(row_numbers(seeds.select("query_id").distinct(), [], "query_id", "n").withColumn("n", F.col("n") - 1), "queries")
+    numbered = seeds.join(queries, "query_id")
+    tags = _bitmaps(numbered.select("n", F.explode("tags").alias("tag")), "tag")
+    usable = objects.where(~F.coalesce("not_for_use", F.lit(False)))
+    if "query_id" not in negative.columns:
+        usable = usable.join(negative.select("id"), "id", "left_anti")
+    near = usable.select("id", F.explode(F.array_distinct("tags")).alias("tag")).join(tags, "tag").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    out = numbered.select("id", "n")
+    if "query_id" in negative.columns:
+        out = out.unionByName(negative.join(queries, "query_id").select("id", "n"))
+    left = near.join(_bitmaps(out, "id").withColumnRenamed("bits", "_out"), ["id", "word"], "left")
+    bits = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_out", F.lit(0).cast("long"))))
+    each = left.select("id", F.col("word") * 64, bits.alias("bits")).toDF("id", "base", "bits").where("bits <> 0")
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1))
+    return each.select("id", "base", at.alias("bit")).select("id", (F.col("base") + F.col("bit")).alias("n")).join(queries, "n").select("query_id", "id")
 
 
 def eligibility(results: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -186,11 +174,15 @@ def regression_report(results: DataFrame, expectations: DataFrame) -> DataFrame:
     return met.withColumn("found", found).withColumn("passed", F.col("found") == F.col("wanted")).drop("_hit")
 
 
-def reasoning_trace(judged: DataFrame) -> DataFrame:
-    """P-09: per query what was used and what was excluded with its reasons."""
+def reasoning_trace(judged: DataFrame, size: int = 1000) -> DataFrame:
+    """P-09: per query what was used and what was excluded with its reasons, by id, in numbered
+    chunks of ``size``: (query_id, chunk, used, excluded), one of both lists empty where the
+    other one goes on. Ids are integers."""
+    told = row_numbers(judged.select("query_id", "id", "reasons", "eligible"), ["query_id", "eligible"], "id", "nth")
     item = F.struct("id", "reasons")
-    used = F.sort_array(F.collect_list(F.when(F.col("eligible"), F.col("id"))))
-    return judged.groupBy("query_id").agg(used.alias("used"), F.array_sort(F.collect_list(F.when(~F.col("eligible"), item))).alias("excluded"))
+    used = F.array_sort(F.collect_list(F.when(F.col("eligible"), F.col("id"))))
+    excluded = F.array_sort(F.collect_list(F.when(~F.col("eligible"), item)))
+    return told.groupBy("query_id", F.floor((F.col("nth") - 1) / size).cast("int").alias("chunk")).agg(used.alias("used"), excluded.alias("excluded"))
 
 
 def entry_strategy(queries: DataFrame, strategy: DataFrame, objects: DataFrame) -> DataFrame:

@@ -56,11 +56,11 @@ def batch_names(d: Tables) -> DataFrame:
 
 
 @query("""
-select conv_id, turn, trim(left(text, 30)) as label, (row_number() over (partition by conv_id order by turn))::varchar || '- ' || trim(left(text, 30)) as renumbered
+select conv_id, turn, trim(split_part(text, chr(10), 1)) as label, (row_number() over (partition by conv_id order by turn))::varchar || '- ' || trim(split_part(text, chr(10), 1)) as renumbered
 from conversations
 """)
 def labels_and_numbers(d: Tables) -> DataFrame:
-    text = F.trim(F.left("text", F.lit(30)))
+    text = F.trim(F.substring_index("text", "\n", 1))
     numbered = F.concat((F.col("turn") + 7).cast("string"), F.lit(" - "), text)
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return d.conversations.select("conv_id", "turn", t.clean_label(numbered).alias("label"), t.renumber(numbered, nth).alias("renumbered"))
@@ -206,7 +206,7 @@ named as (
   select s.*, a.text as t1, b.text as t2 from seen s
   left join conversations a on a.conv_id = s.conv_id and a.turn = s.p1 left join conversations b on b.conv_id = s.conv_id and b.turn = s.p2
 )
-select conv_id, min(turn) as turn, max(trim(left(t1, 40), ' ' || chr(10))) as heading_1, max(case when p2 > coalesce(p1, -1) then trim(left(t2, 40), ' ' || chr(10)) end) as heading_2, string_agg(text, chr(10) order by turn) as body
+select conv_id, min(turn) as turn, max(trim(split_part(t1, chr(10), 1))) as heading_1, max(case when p2 > coalesce(p1, -1) then trim(split_part(t2, chr(10), 1)) end) as heading_2, string_agg(text, chr(10) order by turn) as body
 from named where lvl is null group by conv_id, g having bool_or(is_item)
 """
 
@@ -214,7 +214,7 @@ from named where lvl is null group by conv_id, g having bool_or(is_item)
 @query(STACK_SQL)
 def heading_stack(d: Tables) -> DataFrame:
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2)
-    text = F.when(level.isNotNull(), F.trim(F.left("text", F.lit(40)))).otherwise(F.col("text"))
+    text = F.when(level.isNotNull(), F.trim(F.substring_index("text", "\n", 1))).otherwise(F.col("text"))
     rows = d.conversations.select("conv_id", "turn", text.alias("text"), level.alias("level"), ((F.col("role") == "assistant") & (F.col("turn") % 4 == 1)).alias("is_item"))
     return segment.heading_stack(rows, "conv_id", "turn").drop("heading_3")
 
@@ -236,19 +236,11 @@ def pack_parts(d: Tables) -> DataFrame:
     return segment.pack_parts(d.documents, 2000, 0).select("doc_id", "part", F.length("body").cast("long").alias("n_chars"))
 
 
-@query("""
-with n as (select doc_id, text, unnest(range(0, least(ceil(length(text) / 800.0)::int, 8))) as w from documents where text is not null)
-select doc_id, w::int as window_no, substr(text, w * 800 + 1, 900) as body from n
-""")
-def text_windows(d: Tables) -> DataFrame:
-    return segment.text_windows(d.documents, 900, 800, 8).withColumnRenamed("window", "window_no")
-
-
 @query("""
 with n as (select doc_id, text, unnest(range(0, ceil(length(text) / 800.0)::int)) as w from documents where text is not null)
 select doc_id, w::int as window_no, substr(text, w * 800 + 1, 900) as body from n
 """)
-def text_windows_whole(d: Tables) -> DataFrame:
+def text_windows(d: Tables) -> DataFrame:
     return segment.text_windows(d.documents, 900, 800, None).withColumnRenamed("window", "window_no")
 
 
@@ -283,12 +275,12 @@ def merge_parts(d: Tables) -> DataFrame:
 
 
 @query("""
-with c as (select conv_id, turn // 2 as part, turn, left(text, 12) as title from conversations)
+with c as (select conv_id, turn // 2 as part, turn, split_part(text, chr(10), 1) as title from conversations)
 select p.conv_id, p.part, coalesce((select string_agg(title, '|' order by turn) from (select title, turn from c where c.conv_id = p.conv_id and c.part < p.part order by turn desc limit 3)), '') as tail
 from (select distinct conv_id, part from c) p
 """)
 def context_tail(d: Tables) -> DataFrame:
-    rows = d.conversations.select("conv_id", F.floor(F.col("turn") / 2).alias("part"), "turn", F.left("text", F.lit(12)).alias("title"))
+    rows = d.conversations.select("conv_id", F.floor(F.col("turn") / 2).alias("part"), "turn", F.substring_index("text", "\n", 1).alias("title"))
     return segment.context_tail(rows, 3, "conv_id", "part", "turn").select("conv_id", "part", F.array_join("tail", "|").alias("tail"))
 
 

@@ -66,10 +66,11 @@ def reading_trigger(d: Tables) -> DataFrame:
 
 @query("""
 with p as (select o_custkey % 50 as g, o_orderkey // 7 as n, count(*) as copies from orders group by 1, 2),
-m as (select *, lead(n) over (partition by g order by n) as nx from p)
-select g, min(n) as least, max(n) as greatest, count(*) as n_distinct, count(*) filter (where copies > 1) as n_repeated, coalesce(sum(greatest(nx - n - 1, 0)), 0)::bigint as n_missing,
-  coalesce(string_agg((n + 1) || '-' || (nx - 1), ',' order by n) filter (where nx - n > 1), '') as gaps
-from m group by g
+m as (select *, lead(n) over (partition by g order by n) as nx from p),
+stats as (select g, min(n) as least, max(n) as greatest, count(*) as n_distinct, count(*) filter (where copies > 1) as n_repeated, coalesce(sum(greatest(nx - n - 1, 0)), 0)::bigint as n_missing from m group by g),
+numbered as (select *, (row_number() over (partition by g order by n) - 1) // 1000 as chunk from m where nx - n > 1),
+chunks as (select g, chunk, string_agg((n + 1) || '-' || (nx - 1), ',' order by n) as gaps from numbered group by 1, 2)
+select s.*, coalesce(chunk, 0)::int as chunk, coalesce(gaps, '') as gaps from stats s left join chunks c on c.g is not distinct from s.g
 """)
 def sequence_gaps(d: Tables) -> DataFrame:
     rows = d.orders.select((F.col("o_custkey") % 50).alias("g"), F.floor(F.col("o_orderkey") / 7).alias("k"))
@@ -102,7 +103,10 @@ def truth_report(d: Tables) -> DataFrame:
     return reports.table_counts({t: getattr(d, t) for t in TABLE_NAMES})
 
 
-@query("select source, string_agg(doc_id::varchar, ',' order by doc_id) as ids, count(*) as n from documents group by source")
+@query("""
+with n as (select source, doc_id, (row_number() over (partition by source order by doc_id) - 1) // 1000 as chunk from documents)
+select source, chunk::int as chunk, string_agg(doc_id::varchar, ',' order by doc_id) as ids, count(*) as n from n group by 1, 2
+""")
 def id_lists(d: Tables) -> DataFrame:
     return reports.id_list(d.documents, "source", "doc_id")
 
@@ -134,11 +138,11 @@ def folder_counts(d: Tables) -> DataFrame:
 
 
 @query("""
-with r as (select source, left(text, 30) as title, row_number() over (partition by source order by doc_id) as a, row_number() over (partition by source order by doc_id desc) as b from documents)
+with r as (select source, split_part(text, chr(10), 1) as title, row_number() over (partition by source order by doc_id) as a, row_number() over (partition by source order by doc_id desc) as b from documents)
 select source, 'first' as side, a::int as rn, title from r where a <= 3 union all select source, 'last', b::int, title from r where b <= 3
 """)
 def first_last_titles(d: Tables) -> DataFrame:
-    return reports.first_and_last(d.documents.select("source", "doc_id", F.left("text", F.lit(30)).alias("title")), "source", "doc_id", "title")
+    return reports.first_and_last(d.documents.select("source", "doc_id", F.substring_index("text", "\n", 1).alias("title")), "source", "doc_id", "title")
 
 
 @query("""

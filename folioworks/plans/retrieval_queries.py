@@ -30,62 +30,28 @@ def _cosine(a: str, b: str) -> str:
 
 
 TOPK_SQL = f"""
-with s as (select q.vec_id as query_id, p.vec_id as object_id, p.label, {_cosine('p.embedding', 'q.embedding')} as score from embeddings p join embeddings q on q.vec_id % 97 = 0 and (q.vec_id % 2 = 1 or p.label = q.label)),
+with s as (select q.vec_id as query_id, p.vec_id as object_id, p.label, {_cosine('p.embedding', 'q.embedding')} as score from embeddings p join embeddings q on q.vec_id % 100 = 0 and (q.vec_id % 2 = 1 or p.label = q.label)),
 r as (select query_id, object_id, score, row_number() over (partition by query_id order by score desc, object_id) as rank from s)
 """
 
 
-def _top(d: Tables, k: int = 10, step: int = 97) -> DataFrame:
+def _top(d: Tables, k: int = 10) -> DataFrame:
     points = d.embeddings.select(F.col("vec_id").alias("object_id"), F.col("embedding").alias("vector"), "label")
-    asked = F.col("vec_id") % step == 0
+    asked = F.col("vec_id") % 100 == 0
     queries = d.embeddings.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("label"))
     return retrieval.vector_top_k(points, queries, k, same=("label",))
 
 
 @query(TOPK_SQL + "select query_id, object_id, round(score, 4) as score, rank::int as rank from r where rank <= 10")
 def vector_topk(d: Tables) -> DataFrame:
-    return _top(d).withColumn("score", F.round("score", 4))
-
-
-@query(TOPK_SQL.replace("% 97", "% 100") + "select query_id, object_id, round(score, 4) as score, rank::int as rank from r where rank <= 10")
-def vector_topk_hundredths(d: Tables) -> DataFrame:
     """The stated query set: every id divisible by 100."""
-    return _top(d, step=100).withColumn("score", F.round("score", 4))
-
-
-EXACT_SQL = r"""
-with rows as (select doc_id as id, string_split_regex(left(text, 200), '\s+') as ws, doc_id % 40 as number from documents),
-words as (select id, number, list_distinct(list_transform(ws, lambda w: regexp_replace(regexp_replace(w, '^[().,:?]+', ''), '[().,:?]+$', ''))) as ws from rows),
-queries as (select item_id as query_id, item_id % 40 as number, list_distinct(string_split_regex(left(text, 60), '\s+')) as toks from benchmark),
-m as (select query_id, id, len(list_intersect(ws, toks))::int as matched from words join queries using (number)),
-t as (select *, max(matched) over (partition by query_id) as best from m where matched > 0),
-exact as (select query_id, id, matched, row_number() over (partition by query_id order by id)::int as rank, 1.0::double as score from t where matched = best)
-"""
+    return _top(d).withColumn("score", F.round("score", 4))
 
 
 def _exact(d: Tables) -> DataFrame:
-    objects = d.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("No "), (F.col("doc_id") % 40).cast("string")).alias("title"), F.left("text", F.lit(200)).alias("opening"))
-    queries = d.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("number"), F.array_distinct(F.split(F.left("text", F.lit(60)), r"\s+")).alias("tokens"))
-    return retrieval.exact_search(objects, queries, 3, fields=("opening",))
-
-
-@query(EXACT_SQL + "select query_id, id, matched, rank, score from exact where rank <= 3")
-def exact_search(d: Tables) -> DataFrame:
-    return _exact(d)
-
-
-SEMANTIC_SQL = "semantic as (select item_id as query_id, doc_id as id, 0.5::double as score, row_number() over (partition by item_id order by doc_id)::int as rank from benchmark join documents on doc_id % 40 = item_id % 40 and doc_id < 400)"
-
-
-@query(EXACT_SQL + ", " + SEMANTIC_SQL + """
-, joined as (select query_id, id, score, rank, 0 as tier from exact where rank <= 3 union all select query_id, id, score, rank, 1 from semantic s where not exists (select 1 from exact e where e.rank <= 3 and e.query_id = s.query_id and e.id = s.id))
-select query_id, id, tier, row_number() over (partition by query_id order by tier, rank, id)::int as position from joined
-""")
-def hybrid_merge(d: Tables) -> DataFrame:
-    q = d.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("n"))
-    docs = d.documents.where("doc_id < 400").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("n"))
-    semantic = q.join(docs, "n").select("query_id", "id", F.lit(0.5).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy("id")).alias("rank"))
-    return retrieval.hybrid_merge(_exact(d), semantic).select("query_id", "id", "tier", "position")
+    objects = d.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("No "), (F.col("doc_id") % 40).cast("string")).alias("title"), "text")
+    queries = d.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("number"), F.array_distinct(F.split("text", r"\s+")).alias("tokens"))
+    return retrieval.exact_search(objects, queries, 3, fields=("text",))
 
 
 @query(r"""
@@ -95,29 +61,18 @@ m as (select query_id, id, count(*)::int as matched from words join queries usin
 t as (select *, max(matched) over (partition by query_id) as best from m)
 select query_id, id, matched, row_number() over (partition by query_id order by id)::int as rank, 1.0::double as score from t where matched = best qualify rank <= 3
 """)
-def exact_search_whole(d: Tables) -> DataFrame:
-    return _exact_whole(d)
-
-
-def _exact_whole(d: Tables) -> DataFrame:
-    """exact_search over whole texts: shared words meet one by one and are counted per pair."""
-    words = F.array_distinct(F.transform(F.split("text", r"\s+"), search_word))
-    objects = d.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("number"), F.explode(words).alias("token"))
-    asked = d.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("number"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("token"))
-    matched = objects.join(asked, ["number", "token"]).groupBy("query_id", "id").agg(F.count("*").cast("int").alias("matched"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "id")
-    top = matched.withColumn("rank", F.row_number().over(order)).where("rank <= 3").withColumn("_best", F.max("matched").over(Window.partitionBy("query_id")))
-    return top.where("matched = _best").select("query_id", "id", "matched", "rank", F.lit(1.0).alias("score"))
+def exact_search(d: Tables) -> DataFrame:
+    return _exact(d)
 
 
 @query()
-def hybrid_merge_whole(d: Tables) -> DataFrame:
+def hybrid_merge(d: Tables) -> DataFrame:
     """Semantic results are the nearest ten of all vectors; SQL is too slow for the words and the vectors at once."""
     items = d.benchmark.select(F.col("item_id").alias("query_id"))
     asked = d.embeddings.join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("q"))
     points = d.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     semantic = retrieval.vector_top_k(points, asked, 10, key="id")
-    return retrieval.hybrid_merge(_exact_whole(d), semantic).select("query_id", "id", "tier", "position")
+    return retrieval.hybrid_merge(_exact(d), semantic).select("query_id", "id", "tier", "position")
 
 
 @query("""
@@ -176,19 +131,6 @@ def tier_order(d: Tables) -> DataFrame:
     return retrieval.tier_order(r, tiers).where("position <= 5").select("query_id", "id", "object_type", "position")
 
 
-@query("""
-with tags as (select l_orderkey as id, l_suppkey as tag from lineitem group by 1, 2),
-seeds as (select o_custkey % 20 as query_id, o_orderkey as id from orders where o_orderkey % 500 = 0),
-near as (select distinct s.query_id, b.id from seeds s join tags a on a.id = s.id join tags b on b.tag = a.tag where b.id % 11 > 0)
-select query_id, count(*) as n from near n where not exists (select 1 from seeds s where s.query_id = n.query_id and s.id = n.id) and not (n.id % 13 = 0) group by 1
-""")
-def controlled_expansion(d: Tables) -> DataFrame:
-    objects = d.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("tags")).withColumn("not_for_use", F.col("id") % 11 == 0)
-    seeds = d.orders.where("o_orderkey % 500 = 0").select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("id")).join(objects.select("id", "tags"), "id")
-    blocked = objects.where("id % 13 = 0").select("id")
-    return retrieval.controlled_expansion(objects, seeds, blocked).groupBy("query_id").agg(F.count("*").alias("n"))
-
-
 @query("""
 with tags as (select l_orderkey as id, l_suppkey as tag from lineitem group by 1, 2),
 seeds as (select o_custkey % 20 as query_id, o_orderkey as id from orders where o_orderkey in (select id from tags)),
@@ -196,7 +138,7 @@ asked as (select distinct query_id, tag from seeds join tags using (id)),
 near as (select distinct query_id, id from asked join tags using (tag) where id % 11 > 0)
 select query_id, count(*) as n from near n where not exists (select 1 from seeds s where s.query_id = n.query_id and s.id = n.id) and not (n.id % 13 = 0) group by 1
 """)
-def controlled_expansion_whole(d: Tables) -> DataFrame:
+def controlled_expansion(d: Tables) -> DataFrame:
     """Every order is a seed of its query."""
     objects = d.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("tags")).withColumn("not_for_use", F.col("id") % 11 == 0)
     seeds = d.orders.select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("id")).join(objects.select("id", "tags"), "id")
@@ -217,10 +159,14 @@ def eligibility(d: Tables) -> DataFrame:
     return _judged(d).select("id", F.array_join("reasons", ",").alias("reasons"), "eligible")
 
 
-@query(JUDGED_SQL + "select query_id, coalesce(string_agg(id::varchar, ',' order by id) filter (where len(reasons) = 0), '') as used, coalesce(string_agg(id || ':' || array_to_string(reasons, '+'), ',' order by id) filter (where len(reasons) > 0), '') as excluded from j group by 1")
+@query(JUDGED_SQL + """
+, numbered as (select *, (row_number() over (partition by query_id, len(reasons) = 0 order by id) - 1) // 1000 as chunk from j)
+select query_id, chunk::int as chunk, coalesce(string_agg(id::varchar, ',' order by id) filter (where len(reasons) = 0), '') as used,
+  coalesce(string_agg(id || ':' || array_to_string(reasons, '+'), ',' order by id) filter (where len(reasons) > 0), '') as excluded from numbered group by 1, 2
+""")
 def reasoning_trace(d: Tables) -> DataFrame:
     shown = F.transform("excluded", lambda x: F.concat_ws(":", x["id"].cast("string"), F.array_join(x["reasons"], "+")))
-    return retrieval.reasoning_trace(_judged(d)).select("query_id", F.array_join(F.transform("used", lambda x: x.cast("string")), ",").alias("used"), F.array_join(shown, ",").alias("excluded"))
+    return retrieval.reasoning_trace(_judged(d)).select("query_id", "chunk", F.array_join(F.transform("used", lambda x: x.cast("string")), ",").alias("used"), F.array_join(shown, ",").alias("excluded"))
 
 
 @query("""
@@ -246,25 +192,13 @@ def regression_cases(d: Tables) -> DataFrame:
     return retrieval.regression_report(met.where(agree), e)
 
 
-@query("""
-with s as (select p_brand as question_type, list_sort(list(distinct p_type)) as families from part group by 1)
-select c_custkey as query_id, (f.i - 1)::int as step, families[f.i] as family, count(*) as n
-from customer join s on question_type = 'Brand#' || (c_custkey % 5 + 1), unnest(range(1, len(families) + 1)) as f(i) join part on p_type = families[f.i] and p_size < 3 where c_custkey % 50 = 0 group by all
-""")
-def entry_strategy(d: Tables) -> DataFrame:
-    strategy = d.part.groupBy(F.col("p_brand").alias("question_type")).agg(F.array_sort(F.collect_set("p_type")).alias("families"))
-    queries = d.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 5 + 1).cast("string")).alias("question_type"))
-    objects = d.part.where("p_size < 3").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("family"))
-    return retrieval.entry_strategy(queries, strategy, objects).groupBy("query_id", "step", "family").agg(F.count("*").alias("n"))
-
-
 @query("""
 with s as (select p_brand as question_type, list_sort(list(distinct p_type)) as families from part group by 1),
 c as (select p_type as family, count(*) as n from part group by 1),
 steps as (select question_type, (f.i - 1)::int as step, families[f.i] as family from s, unnest(range(1, len(families) + 1)) as f(i))
 select c_custkey as query_id, step, family, n from customer join steps on question_type = 'Brand#' || (c_custkey % 5 + 1) join c using (family)
 """)
-def entry_strategy_whole(d: Tables) -> DataFrame:
+def entry_strategy(d: Tables) -> DataFrame:
     """All customers and parts: objects are counted per question type before the customers join."""
     strategy = d.part.groupBy(F.col("p_brand").alias("question_type")).agg(F.array_sort(F.collect_set("p_type")).alias("families"))
     counts = d.part.groupBy(F.col("p_type").alias("family")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("id"))

@@ -101,25 +101,12 @@ def optional_filter_counts(d: Tables) -> DataFrame:
     return kept.groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
-@query("""
-with t as (select doc_id, lang, case when doc_id % 2 = 0 then source end as topic from documents)
-select a.doc_id, count(*) as n from t a join t b on a.lang = b.lang and a.topic is not distinct from b.topic where a.doc_id % 10 = 0 and b.doc_id % 10 = 1 group by a.doc_id
-union all select a.doc_id, count(*) from t a join t b on a.lang = b.lang and a.topic is not distinct from b.topic where a.doc_id % 10 = 3 and b.doc_id % 10 = 1 group by a.doc_id
-""")
-def null_safe_lookup(d: Tables) -> DataFrame:
-    """D-09."""
-    t = d.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("topic"))
-    b = t.where("doc_id % 10 = 1").groupBy("lang", "topic").agg(F.count("*").alias("n")).alias("b")
-    a = t.where("doc_id % 10 in (0, 3)").alias("a")
-    return a.join(b, (F.col("a.lang") == F.col("b.lang")) & F.col("a.topic").eqNullSafe(F.col("b.topic"))).select("doc_id", "n")
-
-
 @query("""
 with t as (select doc_id, lang, case when doc_id % 2 = 0 then source end as topic from documents)
 select doc_id, n from t a join (select lang, topic, count(*) as n from t group by all) b on a.lang = b.lang and a.topic is not distinct from b.topic
 """)
-def null_safe_lookup_whole(d: Tables) -> DataFrame:
-    """Every document against the numbers of all."""
+def null_safe_lookup(d: Tables) -> DataFrame:
+    """D-09: every document against the numbers of all."""
     t = d.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("topic"))
     b = t.groupBy("lang", "topic").agg(F.count("*").alias("n")).alias("b")
     return t.alias("a").join(b, (F.col("a.lang") == F.col("b.lang")) & F.col("a.topic").eqNullSafe(F.col("b.topic"))).select("doc_id", "n")
@@ -189,23 +176,12 @@ def sidecar_join(d: Tables) -> DataFrame:
     return matching.with_sidecars(docs, side).drop("path")
 
 
-@query("""
-with s as (select min(doc_id) as first_id, lang, sha256(text) as digest from documents where doc_id < 500 group by 2, 3),
-c as (select s.first_id, count(t.turn) as n from s left join conversations t on t.conv_id = s.first_id group by 1)
-select d.doc_id, s.first_id as known_source, c.n as object_count from documents d join s on s.lang = d.lang and s.digest = sha256(d.text) join c on c.first_id = s.first_id where d.doc_id >= 500
-""")
-def known_duplicates(d: Tables) -> DataFrame:
-    docs = d.documents.select("doc_id", F.col("lang").alias("branch"), F.lit(None).cast("string").alias("topic"), F.sha2("text", 256).alias("content_sha256"))
-    first = docs.where("doc_id < 500").groupBy("content_sha256", "branch", "topic").agg(F.min("doc_id").alias("source_key")).withColumn("first_batch_id", F.col("source_key"))
-    return matching.known_duplicates(docs.where("doc_id >= 500"), first, d.conversations.select(F.col("conv_id").alias("source_key"))).select("doc_id", "known_source", "object_count")
-
-
 @query("""
 with s as (select min(doc_id) as first_id, lang, sha256(text) as digest from documents where doc_id in (select doc_id from labels) group by 2, 3),
 c as (select s.first_id, count(t.turn) as n from s left join conversations t on t.conv_id = s.first_id group by 1)
 select d.doc_id, s.first_id as known_source, c.n as object_count from documents d join s on s.lang = d.lang and s.digest = sha256(d.text) join c on c.first_id = s.first_id where d.doc_id not in (select doc_id from labels)
 """)
-def known_duplicates_whole(d: Tables) -> DataFrame:
+def known_duplicates(d: Tables) -> DataFrame:
     """Labelled documents are the known sources of all others."""
     docs = d.documents.select("doc_id", F.col("lang").alias("branch"), F.lit(None).cast("string").alias("topic"), F.sha2("text", 256).alias("content_sha256"))
     labelled = d.labels.select("doc_id").distinct()
@@ -317,7 +293,7 @@ cover as (select d.id, text as k, b.id as item, count(*) / max(z.n) as c from si
 ranked as (select *, row_number() over (partition by id order by c desc, k, (item % 7)::varchar) as rn from cover),
 pair as (select id, max(c) filter (where rn = 1) as c1, max(c) filter (where rn = 2) as c2, max((item % 7)::varchar) filter (where rn = 1) as r1, max((item % 7)::varchar) filter (where rn = 2) as r2 from ranked where rn <= 2 group by id),
 told as (select doc_id as id, case when coalesce(c1, 0) < 0.55 then 'unmatched' when r2 is not null and r1 <> r2 and c1 - c2 < 0.05 then 'ambiguous' else 'attributed' end as outcome, r1, c1 from documents left join pair on pair.id = doc_id)
-select id, case when outcome = 'attributed' then r1 end as reference, round(c1, 6) as coverage, outcome from told
+select id, case when outcome = 'attributed' then r1 end as reference, case when c1 >= 0.5 then round(c1, 6) end as coverage, outcome from told
 """)
 def reference_attribution(d: Tables) -> DataFrame:
     objects = d.documents.select(F.col("doc_id").alias("id"), "text")
