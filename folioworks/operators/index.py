@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioworks.functions.text import point_id
+from folioworks.session import staged
 
 PASSAGE, QUERY = "passage: ", "query: "
 PAYLOAD = ("title", "object_type", "branch", "topic", "subtopic", "micro_issue", "source_key")
@@ -78,12 +79,27 @@ def missing_objects(objects: DataFrame, index: DataFrame, key: str = "id", link:
     return objects.join(index.select(F.col(link).alias("_k")).where("_k is not null").distinct(), F.col(key) == F.col("_k"), "left_anti")
 
 
-def rebuilt(objects: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, version: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M-11: the whole index anew from its objects: points, rejected objects, and what
-    ``reconcile`` still finds between both (a sound rebuild leaves the rejected ones alone).
-    Write the points elsewhere, look at the rest, then swap (``tables.replace``)."""
+def verified(objects: DataFrame, points: DataFrame, text: str = "original_text", key: str = "id") -> DataFrame:
+    """M-11: (key, side) of what is wrong with the points of objects: what ``reconcile`` finds,
+    objects whose text is not what their point was made of (changed), points that share an
+    object (repeated), and points without a whole vector (vectorless)."""
+    of = F.sha2(prefixed(F.col(text)), 256)
+    passages = objects.select(F.col(key).cast("string").alias("key"), of.alias("_hash")).where("_hash is not null")
+    held = points.where("object_id is not null").select(F.col("object_id").cast("string").alias("key"), "content_hash", "vector")
+    changed = held.join(passages, "key").where(~F.col("content_hash").eqNullSafe(F.col("_hash"))).select("key", F.lit("changed").alias("side")).distinct()
+    repeated = held.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.lit("repeated").alias("side"))
+    whole = F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+    vectorless = held.where(~whole).select("key", F.lit("vectorless").alias("side")).distinct()
+    return reconcile(objects, points, key).unionByName(changed).unionByName(repeated).unionByName(vectorless)
+
+
+def rebuilt(objects: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, version: str, spoil: Callable[[DataFrame], DataFrame] | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M-11: the whole index anew from its objects: points, written to the shared folder and read
+    back, the rejected objects, and what is wrong with the written points by ``verified`` (only
+    the rejected ones missing: swap them in by ``tables.replace``). ``spoil`` changes what is written, to see that it is found."""
     points, rejected = embed(objects, encoder, model, version, **options)
-    return points, rejected, reconcile(objects, points.select("point_id", "object_id"))
+    written = staged(spoil(points) if spoil else points, "index")
+    return written, rejected, verified(objects, written, options.get("text", "original_text"), options.get("key", "id"))
 
 
 def repaired(objects: DataFrame, index: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, version: str, **options) -> tuple[DataFrame, DataFrame]:

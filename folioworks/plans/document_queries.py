@@ -20,6 +20,19 @@ def content_digest(d: Tables) -> DataFrame:
     return d.documents.select("doc_id", t.content_digest(F.col("text")).alias("digest"), F.length(t.normalize_text(F.col("text"))).alias("n"))
 
 
+@query("""
+select doc_id, sha256(replace(text, chr(10), chr(10) || chr(10))) as digest, length(replace(text, chr(10), chr(10) || chr(10)))::int as n from documents where trim(text) <> ''
+""")
+def normal_forms(d: Tables) -> DataFrame:
+    """T-01, T-06 over texts with everything that the normal form takes away: what is left is
+    the text as it was, with a blank line between lines."""
+    x = F.col("text")
+    for old, new in (("fi", "\ufb01"), ("A", "\uff21"), ("e", "e\u200f"), ("a", "\u0640a"), (" ", "\u00a0 \t "), ("\n", " \r\n\t\r\n\r\r\n")):
+        x = F.replace(x, F.lit(old), F.lit(new))
+    noisy = d.documents.where("trim(text) <> ''").select("doc_id", F.concat(F.lit("\ufeff \r\n"), x, F.lit("\t\n\u200b")).alias("text"))
+    return noisy.select("doc_id", t.content_digest(F.col("text")).alias("digest"), F.length(t.normalize_text(F.col("text"))).alias("n"))
+
+
 @query("select doc_id, (('0x' || substr(sha256(source || '-' || doc_id), 1, 16))::ubigint & 9223372036854775807)::bigint as point_id from documents")
 def point_ids(d: Tables) -> DataFrame:
     return d.documents.select("doc_id", t.point_id(F.concat_ws("-", "source", F.col("doc_id").cast("string"))).alias("point_id"))
@@ -303,14 +316,36 @@ def _pages(d: Tables) -> DataFrame:
     return d.pages.select("page_id", F.lit(".html").alias("ext"), F.col("html").cast("binary").alias("content"), F.lit("page").alias("source_name"))
 
 
-@query()
+#: Comments and hidden elements go, block tags become marks, other tags nothing, entities characters.
+HTML_SQL = r"""
+with bare as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<head>.*?</head>', '', 'gs'), '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs') as x from pages),
+marked as (select page_id, regexp_replace(regexp_replace(x, '</?(p|div|section|article|li|ul|ol|tr|table|br|hr|h[1-6]|header|footer|blockquote|title|body|nav|pre)([ /][^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g') as x from bare),
+plain as (select page_id, replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as x from marked),
+blocks as (select page_id, list_filter(list_transform(string_split(x, chr(1)), lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> '') as b from plain)
+"""
+
+
+@query(HTML_SQL + "select page_id, (i - 1)::int as pos, b[i] as text from (select page_id, b, unnest(range(1, len(b) + 1)) as i from blocks)")
 def html_blocks(d: Tables) -> DataFrame:
     return readers.with_blocks(_pages(d)).select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.text")
 
 
-@query()
+@query(HTML_SQL + """
+, bodies as (select page_id, array_to_string(b, chr(10)) as body from blocks where len(b) > 0)
+select page_id, sha256(body) as content_sha256, length(body)::int as n_body, (length(body) + length('---
+' || 'source_name: page
+' || 'source_format: html
+' || 'source_sha256: 
+' || 'normalizer_version: 1
+' || 'warnings: []
+' || '---
+
+') + 64)::int as n_markdown from bodies
+""")
 def canonical_pages(d: Tables) -> DataFrame:
-    full, _ = readers.empty_bodies(readers.canonical(readers.with_blocks(_pages(d)), F.sha2(F.lit(""), 256)))
+    # Pages come as one large file: its rows are dealt out before they are decoded.
+    pages = _pages(d).repartition(d.spark.sparkContext.defaultParallelism)
+    full, _ = readers.empty_bodies(readers.canonical(readers.with_blocks(pages), F.sha2(F.lit(""), 256)))
     return full.select("page_id", "content_sha256", F.length(readers.to_markdown(full)).alias("n_markdown"), F.length("body").alias("n_body"))
 
 

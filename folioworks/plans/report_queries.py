@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from folioworks.functions.text import clean_label
 from folioworks.operators import reports
 from folioworks.plans.registry import Tables, query
-from folioworks.session import shared_dir
-from folioworks.streaming.inbox import batch_states, completed_within, completion, streamed_states
+from folioworks.session import forget_last_commit, shared_dir
+from folioworks.streaming import lifecycle
+from folioworks.streaming.inbox import batch_states, completed_within, completion
 
 
 @query("select lang, source, count(*) as n from documents group by all")
@@ -121,7 +122,9 @@ def prefix_total(d: Tables) -> DataFrame:
     return reports.prefix_total(d.part, "p_type", "S")
 
 
-@query()
+@query("""
+select count(*) as n, sum(strlen('{' || array_to_string(list_filter(['"doc_id":' || doc_id, '"text":' || to_json(text), '"lang":' || to_json(lang), '"source":' || to_json(source), '"n_chars":' || n_chars], lambda x: x is not null), ',') || '}'))::bigint as bytes from documents
+""")
 def size_estimate(d: Tables) -> DataFrame:
     return reports.size_estimate(d.documents)
 
@@ -199,16 +202,39 @@ def status_lifecycle(d: Tables) -> DataFrame:
     return _states(d)
 
 
+def _streamed(d: Tables, tracked: DataFrame | None = None) -> str:
+    """The events by time, in eight files of which a micro-batch takes two; the last one runs twice."""
+    at = f"{shared_dir(d.spark)}/lifecycle-{uuid.uuid4().hex}"
+    _changes(d.events).repartitionByRange(8, "at").write.parquet(f"{at}/events")
+    for _ in range(2):
+        events = d.spark.readStream.schema("batch_id long, status string, at timestamp").option("maxFilesPerTrigger", 2).parquet(f"{at}/events")
+        lifecycle.run_life(events, at, f"{at}/log", tracked)
+        forget_last_commit(d.spark, f"{at}/log")
+    return at
+
+
 @query(STATES_SQL + "select * from states")
 def stream_lifecycle(d: Tables) -> DataFrame:
-    events = d.spark.readStream.schema(d.events.schema).parquet(f"{d.sf_dir}/events.parquet*")
-    at = f"{shared_dir(d.spark)}/lifecycle-{uuid.uuid4().hex}"
-    return streamed_states(_changes(events), f"{at}/states", f"{at}/log")
+    """Keyed state over several micro-batches, one of them replayed."""
+    return lifecycle.states(d.spark, _streamed(d))
 
 
-@query(STATES_SQL + "select c_custkey % 20 as group_id, count(*) filter (where coalesce(status, '') not in ('completed', 'failed', 'duplicate')) as waiting, count(*) filter (where coalesce(status, '') not in ('completed', 'failed', 'duplicate')) = 0 as done from customer left join states on batch_id = c_custkey group by 1")
+COMPLETION_SQL = STATES_SQL + "select c_custkey % 20 as group_id, count(*) filter (where coalesce(status, '') not in ('completed', 'failed', 'duplicate')) as waiting, count(*) filter (where coalesce(status, '') not in ('completed', 'failed', 'duplicate')) = 0 as done from customer left join states on batch_id = c_custkey group by 1"
+
+
+def _tracked(d: Tables) -> DataFrame:
+    return d.customer.select(F.col("c_custkey").alias("batch_id"), (F.col("c_custkey") % 20).alias("group_id"))
+
+
+@query(COMPLETION_SQL)
 def completion_tracking(d: Tables) -> DataFrame:
-    return completion(_states(d), d.customer.select(F.col("c_custkey").alias("batch_id"), (F.col("c_custkey") % 20).alias("group_id")))
+    return completion(_states(d), _tracked(d))
+
+
+@query(COMPLETION_SQL)
+def stream_completion(d: Tables) -> DataFrame:
+    """The same from what each micro-batch turned terminal."""
+    return lifecycle.done(d.spark, _streamed(d, _tracked(d)), _tracked(d))
 
 
 @query("select event_id from events where event_type = 'purchase' and user_id::varchar like '1%' and ts > timestamp '2024-01-12 00:00:00' - interval 600 minutes")

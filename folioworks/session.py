@@ -51,3 +51,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the v=<n> folders under ``path`` that are whole."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    names = [f.getPath() for f in store.listStatus(at)]
+    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def forget_last_commit(spark: SparkSession, checkpoint: str) -> int | None:
+    """Takes the last micro-batch's commit from a stream's log, as a driver does that is lost
+    before it commits: the stream runs that micro-batch again. Returns its number."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    numbers = [int(f.getPath().getName()) for f in store.listStatus(at) if f.getPath().getName().isdigit()] if store.exists(at) else []
+    if not numbers:
+        return None
+    store.delete(jvm.org.apache.hadoop.fs.Path(at, str(max(numbers))), False)
+    return max(numbers)

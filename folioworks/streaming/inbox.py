@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioworks.plans.ingest import OBJECT_UPDATES, SOURCE_UPDATES, ingest
 from folioworks.schemas import TABLES, TERMINAL_STATES
+from folioworks.session import versions
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 #: The tables that the stream keeps: their keys, and what an upsert of a known key updates.
@@ -22,17 +23,6 @@ def _base_path(root: str, table: str) -> str:
     return f"{root}/base/{table}"
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the v=<n> folders that are whole."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(at):
-        return []
-    names = [f.getPath() for f in store.listStatus(at)]
-    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
 def folded(changes: DataFrame, table: str) -> DataFrame:
     """A table from its changes (with their version v): of a key, columns that an upsert
     updates come from the last change and the others from the first."""
@@ -46,9 +36,9 @@ def current_tables(spark: SparkSession, root: str, version: int) -> dict[str, Da
     """The tables as of a version: the newest base up to it and the changes since."""
     out = {}
     for t in STATE:
-        base = max((v for v in _versions(spark, _base_path(root, t)) if v <= version), default=-1)
+        base = max((v for v in versions(spark, _base_path(root, t)) if v <= version), default=-1)
         paths = [(f"{_base_path(root, t)}/v={base}", base)] if base >= 0 else []
-        paths += [(f"{_changes_path(root, t)}/v={v}", v) for v in _versions(spark, _changes_path(root, t)) if base < v <= version]
+        paths += [(f"{_changes_path(root, t)}/v={v}", v) for v in versions(spark, _changes_path(root, t)) if base < v <= version]
         if not paths:
             out[t] = spark.createDataFrame([], TABLES[t]())
             continue
@@ -64,8 +54,15 @@ def compact(spark: SparkSession, root: str, version: int) -> None:
         table.write.mode("overwrite").parquet(f"{_base_path(root, t)}/v={version}")
 
 
-def watch_inbox(spark: SparkSession, folder: str, root: str, checkpoint: str, every: str | None = None, compact_every: int = 20) -> StreamingQuery:
-    """R-01, R-02, R-06: ingests what is new in a folder; each micro-batch appends its changes.
+def packed_files(spark: SparkSession, folder: str, at_once: int = 100) -> DataFrame:
+    """A stream of files that come packed, many to a Parquet file with binaryFile's columns:
+    ``at_once`` Parquet files to a micro-batch. A folder of millions of small files is slow to list."""
+    return spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", at_once).parquet(folder)
+
+
+def watch_inbox(spark: SparkSession, folder: str | DataFrame, root: str, checkpoint: str, every: str | None = None, compact_every: int = 20) -> StreamingQuery:
+    """R-01, R-02, R-06: ingests what is new in a folder (or in a stream of binaryFile rows);
+    each micro-batch appends its changes.
     Every ``compact_every`` micro-batches they are folded into a base, so that a micro-batch
     reads a base and a bounded number of changes.
 
@@ -73,7 +70,7 @@ def watch_inbox(spark: SparkSession, folder: str, root: str, checkpoint: str, ev
     writes its changes again in their place, so nothing happens twice; bad files are failed
     batches, not exceptions. Without ``every`` the stream ends when it has seen all files.
     """
-    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(folder)
+    files = folder if isinstance(folder, DataFrame) else spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(folder)
 
     def step(batch: DataFrame, number: int) -> None:
         at = F.lit("2000-01-01").cast("timestamp") + F.make_dt_interval(F.lit(number))  # by number: replays agree
@@ -108,14 +105,3 @@ def completion(states: DataFrame, tracked: DataFrame, key: str = "batch_id", gro
 def completed_within(batches: DataFrame, now, minutes: int, source_like: str) -> DataFrame:
     """R-05: the completions of a source within a time bound; act on them in foreachBatch."""
     return batches.where((F.col("status") == "completed") & F.col("source_key").like(source_like) & (F.col("completed_at") > now - F.expr(f"interval {minutes} minutes")))
-
-
-def streamed_states(events: DataFrame, into: str, checkpoint: str) -> DataFrame:
-    """R-03 on a stream: runs until all input is seen; each micro-batch's states replace the
-    ones before, and a replayed micro-batch writes the same again."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(into)
-
-    stream = batch_states(events).writeStream.outputMode("complete").foreachBatch(write)
-    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return events.sparkSession.read.parquet(into)

@@ -29,7 +29,7 @@ def test_a_damaged_file_is_a_failed_batch_of_the_stream(spark, tmp_path):
     inbox.watch_inbox(spark, str(folder), str(root), str(tmp_path / "log"), compact_every=1).awaitTermination()
     states = {r.status: r for r in inbox.current_tables(spark, str(root), 0)["ingestion_batches"].collect()}
     assert set(states) == {"completed", "failed"} and "rror" in states["failed"].report["reason"]
-    assert inbox._versions(spark, inbox._base_path(str(root), "sources")) == [0]
+    assert inbox.versions(spark, inbox._base_path(str(root), "sources")) == [0]
 
 
 def test_two_files_of_one_source_always_give_the_same(spark, tmp_path):
