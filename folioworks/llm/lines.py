@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes.
 
-A window starts at every line and reaches as far as it needs to hold LEAST_WORDS words. The
-line with the smallest hash in a window is its fingerprint, so two runs of equal lines of
+A window starts at every line and reaches as far as it needs to hold LEAST_WORDS words, and
+one reaches as far back from every line. The line with the smallest hash in a window is its fingerprint, so two runs of equal lines of
 that many words are sure to share one, and a text has few of them. A fingerprint goes with
 the hashes of the lines around it, as far as its windows reach. Positions are joined on
 fingerprints that occur more than once: each position meets the earliest one that has the
@@ -46,9 +46,9 @@ def full_lines(data: bytes) -> tuple[list[int], list[int], list[bytes]]:
     return at, sizes, digests
 
 
-def window_spans(sizes: list[int], least_words: int, both_ways: bool) -> Iterable[tuple[int, int]]:
-    """(start, end), end exclusive: the shortest window from every line on, and with
-    ``both_ways`` the shortest one back from every line."""
+def window_spans(sizes: list[int], least_words: int) -> Iterable[tuple[int, int]]:
+    """(start, end), end exclusive: the shortest window from every line on, and the shortest
+    one back from every line."""
     spans: dict[tuple[int, int], None] = {}
     end, words = 0, 0
     for start, size in enumerate(sizes):
@@ -60,7 +60,7 @@ def window_spans(sizes: list[int], least_words: int, both_ways: bool) -> Iterabl
         spans[start, end] = None
         words -= size
     start, words = len(sizes), 0
-    for end in range(len(sizes) if both_ways else 0, 0, -1):
+    for end in range(len(sizes), 0, -1):
         while start and words < least_words:
             start -= 1
             words += sizes[start]
@@ -71,13 +71,13 @@ def window_spans(sizes: list[int], least_words: int, both_ways: bool) -> Iterabl
     return spans
 
 
-def marks(data: bytes, least_words: int = LEAST_WORDS, both_ways: bool = False) -> list[tuple]:
+def marks(data: bytes, least_words: int = LEAST_WORDS) -> list[tuple]:
     """Fingerprints of a text: (hash, (number among its full lines, how many lines of those
     around come before it, hashes of the lines around, windows whose minimum it is)). Windows
     are (first full line, 128 bits of all their lines)."""
     _, sizes, digests = full_lines(data)
     found: dict[int, list[tuple[int, int]]] = {}
-    for start, end in window_spans(sizes, least_words, both_ways):
+    for start, end in window_spans(sizes, least_words):
         found.setdefault(min(range(start, end), key=digests.__getitem__), []).append((start, end))
     out = []
     for least, spans in found.items():
@@ -101,20 +101,18 @@ def extended(own: list[int], at: int, around: list[int], offset: int) -> tuple[i
     return at - left, at + right
 
 
-def repeated_lines(data: bytes, anchors: Iterable[tuple[int, int, list[int]]], least_words: int = LEAST_WORDS, both_ways: bool = False) -> list[tuple[int, int]]:
+def repeated_lines(data: bytes, anchors: Iterable[tuple[int, int, list[int]]], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
     """Line ranges (start, end: numbers of the first and last line) that repeat what stands
     around ``anchors``: (full line, offset of its equal in around, around)."""
     numbers, sizes, digests = full_lines(data)
     own, out = [_signed(d) for d in digests], []
     for start, end in {extended(own, at, around, offset) for at, offset, around in anchors}:
-        if not both_ways:  # up to the end of the last window that starts and ends within the run
-            end = start + max((e for _, e in window_spans(sizes[start:end], least_words, False)), default=0)
         if sum(sizes[start:end]) >= least_words:
             out.append((numbers[start], numbers[end - 1]))
     return sorted(out)
 
 
-def repeated_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
+def repeated_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, anchors): for each row with fingerprints that an earlier place has, where they
     are and which lines stand around that place.
 
@@ -122,7 +120,7 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
 
     def run(texts: Iterable[bytes]) -> Iterable[tuple]:
-        return ((marks(x, least_words, both_ways),) for x in texts)
+        return ((marks(x, least_words),) for x in texts)
 
     rows = docs.select(row_key(id_col, text).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     marked = staged(map_texts(rows, run, f"marks {MARKS}").select("key", "id", F.explode("marks").alias("m")).select("key", "id", "m.print", "m.mark.*"), "marks")
@@ -137,7 +135,7 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return later.groupBy("key").agg(F.collect_set(F.struct("at", "first.offset", "first.around")).alias("anchors"))
 
 
-def _without(least_words: int, both_ways: bool) -> Callable:
+def _without(least_words: int) -> Callable:
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())]))
     def cut(texts: pd.Series, anchors: pd.Series) -> pd.DataFrame:
         kept, gone = [], []
@@ -147,7 +145,7 @@ def _without(least_words: int, both_ways: bool) -> Callable:
                 gone.append(0)
                 continue
             lines, out, upto, n = text.split("\n"), [], 0, 0
-            for start, end in repeated_lines(text.encode(), ((p["at"], p["offset"], list(p["around"])) for p in places), least_words, both_ways):
+            for start, end in repeated_lines(text.encode(), ((p["at"], p["offset"], list(p["around"])) for p in places), least_words):
                 out += lines[upto:start]
                 n += max(0, end + 1 - max(upto, start))
                 upto = max(upto, end + 1)
@@ -159,24 +157,23 @@ def _without(least_words: int, both_ways: bool) -> Callable:
     return cut
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``, and with n_removed,
     the lines that went (blank lines inside a run among them).
 
     Every deleted line stands, but for white space at its ends, in what is kept: the first
     occurrence of a line is in no later run. Runs below ``least_words`` words stay. All rows
-    stay, those whose every line went with an empty text. Null texts stay null. Windows start
-    at lines and grow forward only, so the last lines of a repeated run that hold fewer than
-    ``least_words`` words by themselves can stay; with ``both_ways`` every line of every such
-    run goes. Rows alike in id and text are one occurrence and lose the same lines. An empty
-    table gives no rows; other columns pass, but n_removed is replaced.
+    stay, those whose every line went with an empty text. Null texts stay null. Every line of
+    every later run goes, as windows reach both ways. Rows alike in id and text are one
+    occurrence and lose the same lines. An empty table gives no rows; other columns pass, but
+    n_removed is replaced.
     """
-    places = repeated_places(docs, id_col, text, least_words, both_ways)
+    places = repeated_places(docs, id_col, text, least_words)
     cols = [c for c in docs.columns if c != "n_removed"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), row_key(id_col, text).alias("key"))
     met = rows.join(places, "key", "left")
     old = F.col("row").getField(text)
-    done = met.withColumn("cut", _without(least_words, both_ways)(F.when(F.col("anchors").isNotNull(), old), F.col("anchors")))
+    done = met.withColumn("cut", _without(least_words)(F.when(F.col("anchors").isNotNull(), old), F.col("anchors")))
     kept = (F.coalesce("cut.text", old).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in cols)
     return done.select(*kept, F.coalesce("cut.n_removed", F.lit(0)).alias("n_removed"))
 
@@ -197,10 +194,16 @@ ends as (
   from full_lines f join full_lines g on g.doc_id = f.doc_id and g.s between f.s and f.s + {LEAST_WORDS} and g.c - f.c + f.n >= {LEAST_WORDS}
   group by f.doc_id, f.s, f.i
 ),
+backs as (
+  select f.doc_id, max(g.s) as s, f.s as e
+  from full_lines f join full_lines g on g.doc_id = f.doc_id and g.s between f.s - {LEAST_WORDS} and f.s and f.c - g.c + g.n >= {LEAST_WORDS}
+  group by f.doc_id, f.s
+),
+placed as (select p.doc_id, p.s, l.i, p.e from (select doc_id, s, e from ends union select doc_id, s, e from backs) p join full_lines l on l.doc_id = p.doc_id and l.s = p.s),
 windows as (
   select w.doc_id, w.s, w.i, max(g.i) as last, string_agg(g.bare, chr(10) order by g.s) as content
-  from ends w join full_lines g on g.doc_id = w.doc_id and g.s between w.s and w.e
-  group by w.doc_id, w.s, w.i
+  from placed w join full_lines g on g.doc_id = w.doc_id and g.s between w.s and w.e
+  group by w.doc_id, w.s, w.i, w.e
 ),
 ranked as (select *, row_number() over (partition by content order by doc_id, i) as nth from windows),
 gone as (select distinct l.doc_id, l.i from lines l join ranked r on r.doc_id = l.doc_id and r.nth > 1 and l.i between r.i and r.last),
@@ -209,19 +212,3 @@ counts as (select doc_id, count(*)::int as n_removed from gone group by doc_id)
 select s.doc_id, case when s.text is null then null else coalesce(k.text, '') end as text, coalesce(c.n_removed, 0) as n_removed
 from split s left join kept k on k.doc_id = s.doc_id left join counts c on c.doc_id = s.doc_id
 """
-
-#: The same with the windows that reach back from every line.
-BOTH_WAYS_SQL = (
-    ORACLE_SQL.replace(
-        "windows as (",
-        f"""backs as (
-  select f.doc_id, max(g.s) as s, f.s as e
-  from full_lines f join full_lines g on g.doc_id = f.doc_id and g.s between f.s - {LEAST_WORDS} and f.s and f.c - g.c + g.n >= {LEAST_WORDS}
-  group by f.doc_id, f.s
-),
-placed as (select p.doc_id, p.s, l.i, p.e from (select doc_id, s, e from ends union select doc_id, s, e from backs) p join full_lines l on l.doc_id = p.doc_id and l.s = p.s),
-windows as (""",
-    )
-    .replace("from ends w join", "from placed w join")
-    .replace("group by w.doc_id, w.s, w.i", "group by w.doc_id, w.s, w.i, w.e")
-)

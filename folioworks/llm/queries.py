@@ -20,10 +20,6 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op1_line_dedup_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ways=True)
-
-
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -80,5 +76,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op1_line_dedup_both_ways": op1_line_dedup_both_ways, "op9_secret_links": op9_secret_links, "op11_phrases": op11_phrases, "op12_lexical": op12_lexical, "op13_packing": op13_packing}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op1_line_dedup_both_ways": lines.BOTH_WAYS_SQL, "op2_urls": urls.ORACLE_SQL, "op5_licences": licences.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL, "op9_secret_links": secrets.LINKS_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_mix": op4_mix, "op5_licences": op5_licences, "op6_simhash": op6_simhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op9_secret_links": op9_secret_links, "op11_phrases": op11_phrases, "op12_lexical": op12_lexical, "op13_packing": op13_packing}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op2_urls": urls.ORACLE_SQL, "op5_licences": licences.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL, "op9_secret_links": secrets.LINKS_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL}

@@ -6,22 +6,19 @@ from folioworks.llm import lines
 
 
 def brute(rows, least):
-    """Deletes the lines of every window (least words or more, as short as can be) that an
-    earlier place has."""
+    """Deletes the lines of every window (least words or more, as short as can be, from a line on
+    or back from one) that an earlier place has."""
     seen, gone = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         parts = (text or "").split("\n")
         full = [(n, p.strip(), len(p.split())) for n, p in enumerate(parts) if p.split()]
+        words = lambda s, e: sum(n for _, _, n in full[s:e])
+        each = [(s, e) for s in range(len(full)) for e in range(s + 1, len(full) + 1) if words(s, e) >= least and (words(s, e - 1) < least or words(s + 1, e) < least)]
         drop = set()
-        for s in range(len(full)):
-            words, e = 0, s
-            while e < len(full) and words < least:
-                words += full[e][2]
-                e += 1
-            if words >= least:
-                key = tuple(p for _, p, _ in full[s:e])
-                if seen.setdefault(key, (i, s)) != (i, s):
-                    drop.update(range(full[s][0], full[e - 1][0] + 1))
+        for s, e in sorted(each):
+            key = tuple(p for _, p, _ in full[s:e])
+            if seen.setdefault(key, (i, s)) != (i, s):
+                drop.update(range(full[s][0], full[e - 1][0] + 1))
         gone[i] = (None if text is None else "\n".join(p for n, p in enumerate(parts) if n not in drop), len(drop))
     return gone
 
