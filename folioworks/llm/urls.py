@@ -62,16 +62,17 @@ class DigestFile:
         """rows: key, rule, verdict, path."""
         keyed = sorted((xxhash.xxh64_intdigest(k.encode(), SEED), _record(k, rule, verdict)) for k, rule, verdict, _ in rows)
         lengths = sorted({len(path) for *_, path in rows})
+        labels = max((k.removesuffix(path).count(".") + 1 for k, _, _, path in rows), default=0)
         starts = np.cumsum([0, *(len(x) for _, x in keyed)])
-        numbers = [len(keyed), len(lengths), *lengths, *(h for h, _ in keyed), *starts.tolist()]
+        numbers = [len(keyed), len(lengths), labels, *lengths, *(h for h, _ in keyed), *starts.tolist()]
         return np.array(numbers, "<u8").tobytes() + b"".join(x for _, x in keyed)
 
     def __init__(self, path: str):
         words = np.memmap(path, np.uint8, "r")
-        n, m = (int(x) for x in words[:16].view("<u8"))
-        head = words[16 : 16 + 8 * (m + n + n + 1)].view("<u8")
+        n, m, self.labels = (int(x) for x in words[:24].view("<u8"))
+        head = words[24 : 24 + 8 * (m + n + n + 1)].view("<u8")
         self.lengths, self.digests, self.starts = head[:m].tolist(), head[m : m + n], head[m + n :]
-        self.records = words[16 + 8 * (m + n + n + 1) :]
+        self.records = words[24 + 8 * (m + n + n + 1) :]
 
     def record(self, i: int) -> tuple[str, str, str]:
         data = bytes(self.records[int(self.starts[i]) : int(self.starts[i + 1])])
@@ -82,10 +83,10 @@ class DigestFile:
         """The longest rule that fits each url, and its verdict."""
         owner, keys = [], []
         for n, (host, path) in enumerate(zip(hosts, paths)):
-            labels = host.split(".")
             prefixes = [path[:k] for k in self.lengths if k <= len(path)]
-            for i in range(len(labels)):
-                suffix = ".".join(labels[i:])
+            suffix = None
+            for label in reversed(host.rsplit(".", self.labels)[-self.labels :] if self.labels else []):  # no rule has more labels
+                suffix = label if suffix is None else f"{label}.{suffix}"
                 keys += [suffix + p for p in prefixes]
                 owner += [n] * len(prefixes)
         rules, verdicts, best = [None] * len(hosts), [None] * len(hosts), [(-1, -1)] * len(hosts)
@@ -138,8 +139,8 @@ def _by_lookup(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for rule sets of any size: candidates meet rules by digest and string."""
     lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().collect()]  # at most a url's length
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    most = rules.agg(F.max(F.regexp_count("host", F.lit(r"\."))).alias("n")).first().n or 0
+    suffixes = F.array_distinct(F.array(*(F.substring_index("host", ".", -k) for k in range(1, most + 2))))  # no rule has more labels
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     asked = urls.select("host", "path").distinct()
