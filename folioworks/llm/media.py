@@ -154,9 +154,12 @@ def opened(file: bytes) -> tuple[np.ndarray, int]:
     if not head or not all(head[:2]) or head[2] != 8 or head[3] not in (GREY, RGB) or any(head[4:]):
         raise ValueError("not 8-bit grey or RGB without interlace")
     channels = 3 if head[3] == RGB else 1
-    body = np.frombuffer(zlib.decompress(b"".join(stream)), np.uint8)
-    if len(body) != head[1] * (head[0] * channels + 1):
+    size, inflate = head[1] * (head[0] * channels + 1), zlib.decompressobj()
+    body = np.frombuffer(inflate.decompress(b"".join(stream), size + 1), np.uint8)  # no more than the header allows, and one byte that tells of more
+    if len(body) != size:
         raise ValueError("wrong number of samples")
+    if not inflate.eof:
+        raise ValueError("the stream ends early")
     body = body.reshape(head[1], -1)
     if body[:, 0].max() > PAETH:
         raise ValueError("unknown row filter")
