@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioworks.llm.batches import map_texts
+from folioworks.llm.batches import bound_batches, map_texts
 from folioworks.session import staged
 
 #: Labelled ids that a model is fitted on, at most: those that hash lowest, each with one text.
@@ -118,6 +118,8 @@ def learn_lexicons(rows: DataFrame, folds: int = FOLDS) -> list[dict[str, float]
     alone, at most MOST_ENTRIES a lexicon (of the bounded sample, the most telling).
     """
 
+    bound_batches(rows.sparkSession)
+
     def summed_up(counts: dict[tuple[int, int], Counter]) -> Iterator[pa.RecordBatch]:
         for (fold, label), seen in counts.items():
             n = np.fromiter(seen.values(), np.int64, len(seen))
