@@ -23,7 +23,7 @@ HEX = r"[0-9a-f]{32,}"
 IDENT = r"""(?i:client_?id|user_?name|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}"""
 OPAQUE = r"[A-Za-z0-9/+]{40,}"
 ENDPOINT = r"""(?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mongodb|redis)://[^\x20\x09-\x0D"'<>]+"""
-# Who a secret may belong to; only in links, never a span of its own.
+# Who a secret may belong to.
 ACCOUNT = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
 
 #: Kinds in the order of ties, and the role of each.
@@ -32,7 +32,7 @@ ROLES = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "op
 #: A text can only match a kind if it holds one of these (lower-cased); kinds without any are tried on every text.
 CLUES = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "ident": ("id", "user"), "endpoint": ("://",), "account": ("@",)}
 #: What must lie in a weak candidate's scope.
-NEEDS = {"ident": ("secret",), "opaque": ("id",), "endpoint": ("id", "secret")}
+NEEDS = {"ident": ("secret",), "account": ("secret",), "opaque": ("id",), "endpoint": ("id", "secret")}
 #: Code points between two parts of one scope, at most.
 SCOPE = 200
 
@@ -63,12 +63,19 @@ def found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0,
     def placed(parts: Column, at: Column) -> Column:
         return F.aggregate(parts, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    chunk = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(parts)))).cast("int")
-    chunks = F.transform(F.sequence(F.lit(1), F.size(parts), chunk), lambda i: F.slice(parts, i, chunk))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  ``value`` is made once, not wherever it is used
     width = lambda c: F.aggregate(c, zero, lambda n, x: n + x["before"] + x["m"])
-    starts = F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, c: F.struct((acc["at"] + width(c)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    many = F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), starts.alias("at")), lambda x: placed(x["c"], x["at"])))
-    walked = F.when(F.size(parts) <= CHUNK, placed(parts, zero)).otherwise(many)
+
+    def many(parts: Column) -> Column:
+        chunk = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(parts)))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(1), F.size(parts), chunk), lambda i: F.slice(parts, i, chunk))
+        return bound(chunks, lambda cs: F.flatten(F.transform(F.arrays_zip(cs.alias("c"), starts(cs).alias("at")), lambda x: placed(x["c"], x["at"]))))
+
+    def starts(chunks: Column) -> Column:
+        step_on = lambda acc, c: F.struct((acc["at"] + width(c)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out")), step_on, lambda acc: acc["out"])
+
+    walked = bound(parts, lambda p: F.when(F.size(p) <= CHUNK, placed(p, zero)).otherwise(many(p)))
     clues = CLUES.get(kind)
     told = F.lit(True)
     if clues:
@@ -110,17 +117,26 @@ def _linked(spotted: DataFrame) -> DataFrame:
 
 
 def _weak(text: Column) -> Column:
-    return F.concat(found(text, IDENT, "ident"), found(text, OPAQUE, "opaque", 0, 40, 40), found(text, ENDPOINT, "endpoint"))
+    return F.concat(found(text, IDENT, "ident"), found(text, OPAQUE, "opaque", 0, 40, 40), found(text, ENDPOINT, "endpoint"), found(text, ACCOUNT, "account"))
 
 
 def _base(text: Column) -> Column:
     return F.concat(found(text, ASSIGN, "assign", 2, 8), found(text, ACCESS, "access"), found(text, HEX, "hex"))
 
 
-def _loose(spans: str) -> Column:
-    """Of the weak ``spans``, those that no base span has; addresses may hold one."""
-    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
-    return F.filter(spans, lambda w: (w["rank"] == KINDS.index("endpoint")) | apart(w))
+def _loose(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, base, weak, ...) with only those weak spans that no base span overlaps;
+    addresses may hold one. A row's spans are swept in order: a weak one is a base span's if
+    the furthest end of the base spans that start before its own end lies behind its start."""
+    crossing = rows.where((F.size("base") > 0) & F.exists("weak", lambda w: w["rank"] != KINDS.index("endpoint"))).select(key, "base", "weak").dropDuplicates([key])
+    each = crossing.select(key, F.explode(F.concat("base", "weak")).alias("p")).select(key, "p.*").withColumn("is_base", F.col("rank") < 3)
+    order = Window.partitionBy(key).orderBy(F.when(F.col("is_base"), F.col("start")).otherwise(F.col("end")), "is_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = each.withColumn("reach", F.max(F.when(F.col("is_base"), F.col("end"))).over(order)).where("not is_base")
+    free = (F.col("rank") == KINDS.index("endpoint")) | F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))
+    kept = swept.where(free).groupBy(key).agg(F.collect_list(F.struct("start", "rank", "end")).cast(SPAN).alias("_kept"))
+    judged = crossing.select(key).join(kept, key, "left").select(F.col(key).alias("_key"), F.coalesce("_kept", F.array().cast(SPAN)).alias("_kept"))
+    met = rows.join(judged, rows[key] == judged["_key"], "left")
+    return met.withColumn("weak", F.coalesce("_kept", "weak")).select(rows.columns)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +148,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col), row_key(id_col, text).alias("key"), _base(t).alias("base"), _weak(t).alias("weak"))
-    spotted = staged(rows.withColumn("weak", _loose("weak")), "secrets")
+    spotted = staged(_loose(staged(rows, "spans"), "key"), "secrets")
     loose = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
     alone = spotted.where(~loose).select(id_col, "base", F.array().cast(SPAN).alias("added"))
     held = spotted.where(loose)
@@ -152,12 +168,13 @@ def credential_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     other columns play no part.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _base(t).alias("base"), F.concat(_weak(t), found(t, ACCOUNT, "account")).alias("weak"))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _base(t).alias("base"), _weak(t).alias("weak"))
     roles = F.create_map(*(F.lit(x) for n, k in enumerate(KINDS) for x in (n, ROLES[k])))
     kinds = F.array(*map(F.lit, KINDS))
-    several = rows.where(F.size("base") + F.size("weak") > 1).select("id", "row", F.explode(F.concat("base", _loose("weak"))).alias("p")).select("id", "row", "p.*")
-    parts = staged(several.withColumn("role", roles[F.col("rank")]), "parts")  # row numbers are fixed here
-    order = Window.partitionBy("id", "row").orderBy("start", "rank")
+    several = staged(rows.where(F.size("base") + F.size("weak") > 1), "several")  # row numbers are fixed here
+    several = _loose(several, "row").select("id", "row", F.explode(F.concat("base", "weak")).alias("p")).select("id", "row", "p.*")
+    parts = staged(several.withColumn("role", roles[F.col("rank")]), "parts")
+    order, back_order = Window.partitionBy("row").orderBy("start", "rank"), Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank"))
     named = lambda x: F.concat_ws(":", kinds[x["rank"]], x["start"], x["end"])
 
     made = parts
@@ -166,7 +183,7 @@ def credential_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         before = F.max(F.when(of, F.struct("end", (-F.col("start")).alias("s"), (-F.col("rank")).alias("r"))))
         after = F.min(F.when(of, F.struct("start", "rank", "end")))
         made = made.withColumn(f"{role}_before", before.over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        made = made.withColumn(f"{role}_after", after.over(order.rowsBetween(1, Window.unboundedFollowing)))
+        made = made.withColumn(f"{role}_after", after.over(back_order.rowsBetween(Window.unboundedPreceding, -1)))
     picked = made.where("role = 'id'")
     for role in ("secret", "place"):
         b, a = F.col(f"{role}_before"), F.col(f"{role}_after")
@@ -187,8 +204,7 @@ def digest(secrets: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def _sql(links: bool = False) -> str:
     """The same in DuckDB's SQL: every candidate against every part of its document."""
     text = "select doc_id, coalesce(text, '') as t from documents"
-    patterns = {"assign": (ASSIGN, 2, 8, None), "access": (ACCESS, 0, 0, None), "hex": (HEX, 0, 0, None), "ident": (IDENT, 0, 0, None), "opaque": (OPAQUE, 0, 40, 40), "endpoint": (ENDPOINT, 0, 0, None)}
-    patterns |= {"account": (ACCOUNT, 0, 0, None)} if links else {}
+    patterns = {"assign": (ASSIGN, 2, 8, None), "access": (ACCESS, 0, 0, None), "hex": (HEX, 0, 0, None), "ident": (IDENT, 0, 0, None), "opaque": (OPAQUE, 0, 40, 40), "endpoint": (ENDPOINT, 0, 0, None), "account": (ACCOUNT, 0, 0, None)}
     each = []
     for kind, (pattern, group, least, most) in patterns.items():
         rank = KINDS.index(kind)

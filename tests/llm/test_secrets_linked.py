@@ -59,3 +59,31 @@ def test_links_of_nulls_repeats_and_empty(spark):
 def test_links_without_python(spark):
     plan = secrets.credential_links(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_very_many_matches_of_every_kind(spark):
+    """30,000 parts in one text: digest and links take no more than a sweep over them."""
+    text = " ".join(f"token=abcdefgh{i} a{i}@mail.example.com https://x.example/{i}" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.digest(secrets.find_secrets(docs)).first()
+    assert spans.n_assign == 10_000 and spans.spans.count("account:") == spans.spans.count("endpoint:") == 10_000
+    links = secrets.credential_links(docs).collect()
+    assert len(links) == 10_000 and all(r.secret.startswith("assign:") and r.endpoint.startswith("endpoint:") for r in links)
+
+
+def test_weak_parts_that_base_spans_hold_are_no_candidates(spark):
+    texts = [f"password: {OPAQUE}", "token=abcdefgh user_name: bob1", f"access_key_id={KEY} {OPAQUE}", "secret=abcdefgh@b.example.com x@y.example.com"]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert got[0] == "assign:0:50" and got[1] == "assign:0:14,ident:15:30"
+    assert got[2] == "access:14:34,opaque:35:75"
+    assert got[3] == "assign:0:15,account:30:45"
+
+
+def test_linking_adds_spans_to_the_given_tables(spark, monkeypatch):
+    at = "/root/testdata/sf0.1"
+    query = queries.QUERIES["op9_secrets"]
+    before = {r.doc_id: r.spans for r in query(spark, at).collect()}
+    monkeypatch.setattr(secrets, "_linked", lambda spotted: spotted.selectExpr("key", f"cast(array() as {secrets.SPAN}) as added").limit(0))
+    after = {r.doc_id: r.spans for r in query(spark, at).collect()}
+    gained = [i for i in before if before[i] != after[i]]
+    assert len(gained) >= 5 and all("account:" in before[i] for i in gained)
