@@ -11,8 +11,8 @@ from folioworks.session import staged
 
 
 def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
-    """A-01, A-02, A-10, A-13: rows by the keys, largest first."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *(F.asc_nulls_last(k) for k in keys))
+    """A-01, A-02, A-10, A-13: rows by the keys; sort what is shown, largest first."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def topic_tree(rows: DataFrame, levels: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from folioworks.operators import index
 from folioworks.plans.ingest import canonical_files
 from folioworks.plans.registry import Tables, query
 from folioworks.session import forget_last_commit, shared_dir, staged
-from folioworks.sources import readers, writers
+from folioworks.sources import exports, readers, writers
 from folioworks.streaming import inbox
 
 LINES_SQL = "array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
@@ -120,3 +120,14 @@ def index_rebuild(d: Tables) -> DataFrame:
     sound = points.where((n % 43 > 0) & (n < 10_000_000)).select(F.lit("point").alias("kind"), F.col("object_id").alias("key"), "content_hash", *(F.coalesce(F.col("vector")[i], F.lit(-1.0)).cast("double").alias(c) for i, c in enumerate(("size", "n_e"))))
     rest = rejected.select(F.lit("rejected").alias("kind"), F.col("id").alias("key")).unionByName(wrong.select(F.col("side").alias("kind"), "key"))
     return sound.unionByName(rest, allowMissingColumns=True)
+
+
+@query("select text as k, (item_id % 7)::varchar as reference from benchmark union all select lang || ' ' || source, null from documents group by 1")
+def reference_keys(d: Tables) -> DataFrame:
+    """S-17: reference keys as files of JSON arrays, read back; a key without a reference has null."""
+    keys = d.benchmark.select(F.col("text").alias("k"), (F.col("item_id") % 7).cast("string").alias("r"))
+    keys = keys.unionByName(d.documents.select(F.concat_ws(" ", "lang", "source").alias("k")).distinct(), allowMissingColumns=True)
+    at = f"{shared_dir(d.spark)}/keys-{uuid.uuid4().hex}"
+    files = keys.groupBy(F.pmod(F.xxhash64("k"), F.lit(16)).alias("file")).agg(F.to_json(F.collect_list(F.struct("k", "r"))).alias("value"))
+    files.select("value", "file").write.partitionBy("file").text(at)
+    return exports.reference_keys(d.spark, f"{at}/*")

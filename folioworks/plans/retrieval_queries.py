@@ -54,20 +54,28 @@ def _exact(d: Tables) -> DataFrame:
     return retrieval.exact_search(objects, queries, 3, fields=("text",))
 
 
-@query(r"""
+EXACT_SQL = r"""
 with words as (select doc_id as id, doc_id % 40 as number, unnest(list_distinct(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[().,:?]+', ''), '[().,:?]+$', '')))) as token from documents),
 queries as (select item_id as query_id, item_id % 40 as number, unnest(list_distinct(string_split_regex(text, '\s+'))) as token from benchmark),
 m as (select query_id, id, count(*)::int as matched from words join queries using (number, token) group by all),
-t as (select *, max(matched) over (partition by query_id) as best from m)
-select query_id, id, matched, row_number() over (partition by query_id order by id)::int as rank, 1.0::double as score from t where matched = best qualify rank <= 3
-""")
+t as (select *, max(matched) over (partition by query_id) as best from m),
+exact as (select query_id, id, matched, row_number() over (partition by query_id order by id)::int as rank, 1.0::double as score from t where matched = best qualify rank <= 3)
+"""
+
+
+@query(EXACT_SQL + "select * from exact")
 def exact_search(d: Tables) -> DataFrame:
     return _exact(d)
 
 
-@query()
+@query(EXACT_SQL + f"""
+, pairs as (select b.item_id as query_id, p.vec_id as id, {_cosine('p.embedding', 'q.embedding')} as score from benchmark b join embeddings q on q.vec_id = b.item_id, embeddings p),
+semantic as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from pairs qualify rank <= 10),
+joined as (select query_id, id, rank, 0 as tier from exact union all select query_id, id, rank, 1 from semantic s where not exists (select 1 from exact e where e.query_id = s.query_id and e.id = s.id))
+select query_id, id, tier, row_number() over (partition by query_id order by tier, rank, id)::int as position from joined
+""")
 def hybrid_merge(d: Tables) -> DataFrame:
-    """Semantic results are the nearest ten of all vectors; SQL is too slow for the words and the vectors at once."""
+    """Semantic results are the nearest ten of all vectors."""
     items = d.benchmark.select(F.col("item_id").alias("query_id"))
     asked = d.embeddings.join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("q"))
     points = d.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
