@@ -1,12 +1,18 @@
 """License scans in DataFrame operations alone: MinHash bands retrieve, shingles verify.
 
-Text is cut into overlapping windows of WINDOW words, each a set of five-word shingles.
-A window's signature is the minimum of its shingles' hashes under each of BANDS hash
-functions, one row a band. A window that holds share J of what it and a template window
-hold together collides in a band with probability J, so with any of them with 1 - (1-J)**BANDS:
-for the worst case, a template of one shingle in a window of two, 0.999; windows that lie
-within a copy collide for certain, as templates are cut at every word. Every collision gives a
-place where the template may lie, and there exact shingle containment decides.
+A text is its five-word shingles, hashed once. Long templates (LONG shingles or more) are
+retrieved by windows of WINDOW shingles, one at every STRIDE: one permutation hashing parts a
+window's shingles into ROWS bins by their lowest bits, the least hash of a bin is a row, and
+two rows are a band. A window that shares J of what it and a template window hold together
+collides in a band with probability J * J, so in any of the BANDS with 1 - (1 - J * J) ** BANDS:
+0.70 for half, 0.98 for four fifths, and for certain where a window lies within a copy, as
+templates are cut at every shingle. A place that holds LEAST of LONG shingles has several such
+windows: of the worst case, 32 shingles with one changed word amid them, 27 are left, and the two
+or three windows of 13 or 14 of them each collide with probability 0.9.
+
+Of a short template a window would hold little but its neighbours, so there every shingle is a
+window of its own with one row, which collides for certain wherever one of them stands. Every
+collision gives a place where the template may lie, and there exact shingle containment decides.
 """
 
 from __future__ import annotations
@@ -18,9 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioworks.llm.words import row_key
 from folioworks.session import staged
 
-SHINGLE, WINDOW, STRIDE, BANDS = 5, 6, 2, 10
-LEAST = 0.8
-#: Template windows times bands that one scan sends to tasks; more templates go in several scans.
+SHINGLE, WINDOW, STRIDE, ROWS, BANDS = 5, 16, 8, 8, 4
+#: Shingles from which on a template is long, and the share of them that a match holds.
+LONG, LEAST = 32, 0.8
+#: Words by which a match may lie off, besides a quarter of the template.
+OFF = 1
+#: Bands of template windows that one scan sends to tasks; more templates go in several scans.
 MOST_BAND_VALUES = 200_000
 WORDS = r"[^\p{L}\p{N}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,9 +74,26 @@ def shingles(w: Column, low: Column, high: Column) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))
 
 
-def signature(hashes: Column, at: Column) -> list[Column]:
-    """A minimum for each band over the window's shingles from ``at`` on."""
-    return [F.least(*(F.when(at + k < F.size(hashes), F.xxhash64(F.get(hashes, at + k), F.lit(band))) for k in range(WINDOW - SHINGLE + 1))) for band in range(BANDS)]
+def _least(hashes: Column) -> Column:
+    """A row for each bin: the least of the hashes in it, null where there is none."""
+    bin_of = lambda b: F.array_min(F.filter(hashes, lambda h: F.pmod(h, F.lit(ROWS)) == b))
+    return F.array(*map(bin_of, range(ROWS)))
+
+
+def _bands_of(rows: Column) -> Column:
+    """A value for each band of two rows, null where both are."""
+    pairs = [(F.get(rows, F.lit(2 * b)), F.get(rows, F.lit(2 * b + 1))) for b in range(BANDS)]
+    return F.array(*(F.when(x.isNotNull() | y.isNotNull(), F.xxhash64(F.lit(b), x, y)) for b, (x, y) in enumerate(pairs)))
+
+
+def text_bands(hashes: Column) -> Column:
+    """Of a text's windows at every STRIDE, the values of their bands. Windows are two blocks, so
+    each shingle is looked at once."""
+    blocks = F.transform(_numbers(F.size(hashes), STRIDE), lambda at: _least(F.slice(hashes, at + 1, STRIDE)))
+    after = lambda bs: F.concat(F.slice(bs, 2, F.greatest(F.size(bs) - 1, F.lit(0))), F.array(F.array_repeat(F.lit(None).cast("long"), ROWS)))
+    joined = lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))
+    windows = F.flatten(F.flatten(F.transform(F.array(blocks), lambda bs: F.zip_with(bs, after(bs), lambda a, b: _bands_of(joined(a, b))))))
+    return F.when(F.size(hashes) >= LONG * LEAST, windows).otherwise(F.array().cast("array<long>"))
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -75,12 +101,15 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 
 def template_bands(templates: DataFrame) -> DataFrame:
-    """(licence, n, set of shingles, at, band, value): windows at every word. Notices below
-    five words have no shingle and are never found."""
+    """(licence, n, set of shingles, is_long, at, value): of long templates the bands of the
+    windows at every shingle, of short ones every shingle's hash. Notices below five words
+    have no shingle and are never found."""
     known = templates.withColumn("_w", words(F.col("notice"))).withColumn("_h", shingle_hashes(F.col("_w")))
     known = known.withColumn("wanted", F.array_distinct(shingles(F.col("_w"), F.lit(0), F.size("_w")))).withColumn("n", F.size("_h"))
-    rows = known.select("licence", "wanted", "n", "_h", F.explode(_numbers(F.greatest(F.col("n") - (WINDOW - SHINGLE), F.least("n", F.lit(1))))).alias("at"))
-    return rows.select("licence", "wanted", "n", "at", F.posexplode(F.array(*signature(F.col("_h"), F.col("at")))).alias("band", "value"))
+    short = known.where(F.col("n") < LONG).select("licence", "wanted", "n", F.lit(False).alias("is_long"), F.posexplode("_h").alias("at", "value"))
+    rows = known.where(F.col("n") >= LONG).select("licence", "wanted", "n", "_h", F.explode(_numbers(F.col("n") - (WINDOW - 1))).alias("at"))
+    each = F.explode(_bands_of(_least(F.slice("_h", F.col("at") + 1, WINDOW))))
+    return short.unionByName(rows.select("licence", "wanted", "n", F.lit(True).alias("is_long"), "at", each.alias("value")).where("value is not null"))
 
 
 def scan_licences(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,36 +135,30 @@ def _bands(spark: SparkSession, templates: DataFrame | None) -> DataFrame:
 
 
 def _windowed(docs: DataFrame, templates: DataFrame | None, id_col: str, text: str) -> DataFrame:
-    """Every row's id and key; of rows with a window that collides, words and those windows."""
-    values: dict[int, set[int]] = {b: set() for b in range(BANDS)}
-    for r in _bands(docs.sparkSession, templates).select("band", "value").distinct().collect():  # a part's, bounded
-        values[r.band].add(r.value)
-
-    def collides(hashes: Column):
-        def test(at: Column) -> Column:
-            any_band = F.lit(False)
-            for band, least in enumerate(signature(hashes, at)):
-                any_band = any_band | least.isin(sorted(values[band]) or [0])
-            return any_band
-
-        return test
-
+    """Every row's id and key; of rows with a window that collides, words and those windows'
+    places and band values."""
+    values: dict[bool, set[int]] = {True: set(), False: set()}
+    for r in _bands(docs.sparkSession, templates).select("is_long", "value").distinct().collect():  # a part's, bounded
+        values[r.is_long].add(r.value)
+    known = lambda x, which: x.isin(sorted(values[which]) or [0])
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("key"), words(F.col(text)).alias("words"))
-    rows = rows.withColumn("hashes", shingle_hashes(F.col("words")))
-    rows = rows.withColumn("places", F.filter(_numbers(F.size("hashes"), STRIDE), collides(F.col("hashes"))))
-    some = F.size("places") > 0
-    signs = F.transform("places", lambda at: F.struct(at.alias("at"), F.array(*signature(F.col("hashes"), at)).alias("least")))
-    return staged(rows.select("id", "key", F.when(some, F.col("words")).alias("words"), F.when(some, signs).alias("signs")), "windows")
+    rows = rows.withColumn("hashes", shingle_hashes(F.col("words"))).withColumn("bands", text_bands(F.col("hashes")))
+    lone = F.filter(F.transform("hashes", lambda h, i: F.when(known(h, False), F.struct(i.alias("at"), h.alias("value"), F.lit(False).alias("is_long")))), lambda x: x.isNotNull())
+    place = lambda i: (F.floor(i / BANDS) * STRIDE).cast("int")
+    wide = F.filter(F.transform("bands", lambda v, i: F.when(known(v, True), F.struct(place(i).alias("at"), v.alias("value"), F.lit(True).alias("is_long")))), lambda x: x.isNotNull())
+    rows = rows.withColumn("signs", F.concat(lone, wide)).drop("hashes", "bands")
+    some = F.size("signs") > 0
+    return staged(rows.select("id", "key", F.when(some, F.col("words")).alias("words"), F.when(some, F.col("signs")).alias("signs")), "windows")
 
 
 def _scan(windowed: DataFrame, templates: DataFrame | None) -> DataFrame:
     bands = _bands(windowed.sparkSession, templates)
     held = windowed.where("signs is not null").dropDuplicates(["key"])
-    lows = held.select("key", F.explode("signs").alias("s")).select("key", "s.at", F.posexplode("s.least").alias("band", "value"))
-    met = lows.join(bands.select("band", "value", "licence", F.col("at").alias("t_at"), "n", "wanted"), ["band", "value"])
+    lows = held.select("key", F.inline("signs"))
+    met = lows.join(bands.select("is_long", "value", "licence", F.col("at").alias("t_at"), "n", "wanted"), ["is_long", "value"])
     anchors = met.select("key", "licence", (F.col("at") - F.col("t_at")).alias("start"), "n", "wanted").dropDuplicates(["key", "licence", "start"])
     placed = held.select("id", "key", "words").join(anchors, "key")
-    slack = F.floor(F.col("n") / 4).cast("int") + (WINDOW - SHINGLE)  # windows that collide may lie apart by that much
+    slack = F.floor(F.col("n") / 4).cast("int") + OFF  # windows that collide may lie apart by that much
     there = F.array_intersect("wanted", shingles(F.col("words"), F.col("start") - slack, F.col("start") + F.col("n") + slack))
     verified = placed.withColumn("containment", F.size(there) / F.size("wanted"))
     return verified.where(F.col("containment") >= LEAST)
@@ -169,7 +192,7 @@ def _sql() -> str:
     anchors as (select distinct doc_id, licence, pos - t_pos as first_pos from hits),
     held as (
       select a.doc_id, a.licence, a.first_pos
-      from anchors a join size s using (licence) join hits h on h.doc_id = a.doc_id and h.licence = a.licence and h.pos >= a.first_pos - s.n // 4 - {WINDOW - SHINGLE} and h.pos < a.first_pos + s.n + s.n // 4 + {WINDOW - SHINGLE}
+      from anchors a join size s using (licence) join hits h on h.doc_id = a.doc_id and h.licence = a.licence and h.pos >= a.first_pos - s.n // 4 - {OFF} and h.pos < a.first_pos + s.n + s.n // 4 + {OFF}
       group by a.doc_id, a.licence, a.first_pos, s.kinds having count(distinct h.g) >= {LEAST} * s.kinds
     ),
     found as (select distinct doc_id, licence from held)

@@ -10,7 +10,7 @@ def test_parts_find_the_same(spark, monkeypatch):
     key = lambda rows: sorted((r.doc_id, r.licences) for r in rows)
     whole = key(licences.licence_report(docs, templates).collect())
     assert whole[:12] == [(i, f"own {i}") for i in range(12)] and whole[-1] == (99, "own 0,own 5")
-    monkeypatch.setattr(licences, "MOST_BAND_VALUES", 300)
+    monkeypatch.setattr(licences, "MOST_BAND_VALUES", 120)
     assert len(licences._parts(spark, templates)) > 2
     assert key(licences.licence_report(docs, templates).collect()) == whole
     assert {r.licence for r in licences.scan_licences(docs, templates).collect()} == {f"own {i}" for i in range(12)}
