@@ -1,6 +1,6 @@
 """Phrases of several words that occur together, by an FM-index for every shard of the corpus.
 
-A shard is about a million words of one language as numbers, pieces of sentences separated by
+A shard is about half a million words of one language as numbers, pieces of sentences separated by
 zeros, with the words behind the numbers. Its index is the Burrows-Wheeler transform of that
 sequence and of its reverse: a phrase is an interval in either, which a word to the left
 splits in the one and a word to the right in the other, so that counts of phrases and of
@@ -29,7 +29,7 @@ from folioworks.session import staged
 #: Occurrences and words of a phrase, phrases a language.
 LEAST, DEPTH, MOST = 100, 5, 2000
 #: Words of a shard, bytes of a text that are split into words at once, and bits of a filter.
-SHARD, BYTES, FILTER = 1 << 20, 1 << 22, 1 << 26
+SHARD, BYTES, FILTER = 1 << 19, 1 << 22, 1 << 26
 #: Lengths whose counts are summed up before the next ones are looked for.
 ROUNDS = ((2,), (3,), (4, 5))
 
