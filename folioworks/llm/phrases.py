@@ -30,6 +30,8 @@ from folioworks.session import staged
 LEAST, DEPTH, MOST = 100, 5, 2000
 #: Words of a shard, bytes of a text that are split into words at once, and bits of a filter.
 SHARD, BYTES, FILTER = 1 << 19, 1 << 22, 1 << 26
+#: Phrases that a shard sends at once.
+SENT = 1 << 14
 #: Lengths whose counts are summed up before the next ones are looked for.
 ROUNDS = ((2,), (3,), (4, 5))
 
@@ -273,8 +275,8 @@ def shard_phrases(held: DataFrame, lengths: tuple[int, ...], filters: list, dept
                 if not (s > 0).any():
                     continue
                 for phrases, count, left, right in phrases_of(s, lengths, depth):
-                    for start in range(0, len(count), 1 << 17):
-                        some = slice(start, start + (1 << 17))
+                    for start in range(0, len(count), SENT):
+                        some = slice(start, start + SENT)
                         columns = [words.take(pa.array(c - 1)) for c in phrases[some].T]
                         text = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())).cast(pa.string())
                         n = len(text)
@@ -310,7 +312,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         lengths = tuple(m for m in lengths if m <= depth)
         if not lengths:
             break
-        sums = shard_phrases(held, lengths, filters, depth).groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
+        # a shard has counted its own: to combine shards before the shuffle would hold all their phrases and save little
+        dealt = shard_phrases(held, lengths, filters, depth).repartition("lang", "phrase", "m")
+        sums = dealt.groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
         found.append(staged(sums.where(F.col("a") >= least), "phrases"))
         if lengths != rounds[-1]:
             filters.append(spark.sparkContext.broadcast(frequent_filter(found[-1].where(F.col("m") == max(lengths)), bits)))
