@@ -1,6 +1,6 @@
 """Phrases of several words that occur together, by an FM-index for every shard of the corpus.
 
-A shard is about half a million words of one language as numbers, pieces of sentences separated by
+A shard is about a quarter of a million words of one language as numbers, pieces of sentences separated by
 zeros, with the words behind the numbers. Its index is the Burrows-Wheeler transform of that
 sequence and of its reverse: a phrase is an interval in either, which a word to the left
 splits in the one and a word to the right in the other, so that counts of phrases and of
@@ -29,7 +29,7 @@ from folioworks.session import staged
 #: Occurrences and words of a phrase, phrases a language.
 LEAST, DEPTH, MOST = 100, 5, 2000
 #: Words of a shard, bytes of a text that are split into words at once, and bits of a filter.
-SHARD, BYTES, FILTER = 1 << 19, 1 << 22, 1 << 26
+SHARD, BYTES, FILTER = 1 << 18, 1 << 20, 1 << 26
 #: Phrases that a shard sends at once.
 SENT = 1 << 14
 #: Lengths whose counts are summed up before the next ones are looked for.
@@ -59,16 +59,26 @@ class Shard:
 
     def __init__(self) -> None:
         self.parts: list[pa.Array] = []
-        self.size = 0
+        self.plain: list[bytes] = []
+        self.size = self.waiting = 0
 
-    def add(self, plain: list[bytes]) -> None:
-        words = b" . ".join(plain).replace(b".", b" . ").split()
+    def add(self, plain: bytes) -> None:
+        self.plain.append(plain)
+        self.waiting += len(plain)
+        if self.waiting >= BYTES:
+            self.split()
+
+    def split(self) -> None:
+        words = b" . ".join(self.plain).replace(b".", b" . ").split()
         words.append(b".")
         self.parts.append(pa.array(words, pa.binary()).dictionary_encode())
         self.size += len(words)
+        self.plain, self.waiting = [], 0
 
     def row(self) -> tuple:
         """(ids, words, counts): numbers from 1 on, 0 where a piece ends."""
+        if self.plain:
+            self.split()
         coded = pa.chunked_array(self.parts).unify_dictionaries().combine_chunks()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
@@ -98,20 +108,14 @@ def shards(docs: DataFrame, text: str, lang: str, size: int = SHARD) -> DataFram
 
         for batch in batches:
             names, texts = batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())
-            held: dict[str, list[bytes]] = {}
             for name, data in zip(names, texts):
+                shard = open_.setdefault(name, Shard())
                 for part in chunks(data.as_py() or b""):
-                    held.setdefault(name, []).append(part)
-                    if len(part) > BYTES // 2:
-                        open_.setdefault(name, Shard()).add(held.pop(name))
-                        if open_[name].size >= size:
-                            yield out(name)
-            for name, plain in held.items():
-                open_.setdefault(name, Shard()).add(plain)
-                if open_[name].size >= size:
-                    yield out(name)
+                    shard.add(part)
+                    if shard.size >= size:
+                        yield out(name)
         for name, shard in open_.items():
-            if shard.size:
+            if shard.size or shard.plain:
                 yield out(name)
 
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
@@ -144,10 +148,10 @@ class Index:
         #: Rows before those that begin with each symbol.
         self.first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=top))])
         #: The symbol before each row's suffix.
-        self.before = s[order - 1].astype(np.int64)
+        self.before = s[order - 1].astype(np.int32)
         self.before[order == 0] = 0
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
         #: Where the suffix that begins one symbol earlier stands.
         self.last_to_first = rank[order - 1]
 
@@ -168,7 +172,7 @@ class Index:
         new = np.minimum.reduceat(self.last_to_first[rows[order]], start) if len(start) else start
         some = symbol[head] > 0
         head = head[some]
-        return of[head], symbol[head], count[some], new[some], smaller[some]
+        return of[head], symbol[head].astype(np.int64), count[some], new[some].astype(np.int64), smaller[some]
 
 
 def phrases_of(s: np.ndarray, lengths: tuple[int, ...], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
