@@ -10,7 +10,8 @@ counts, which are summed up over the corpus.
 Between lengths the corpus decides what is worth extending. Words, pairs and triples that are
 too rare in the whole corpus end a sequence for the longer ones, as no phrase can be more
 frequent than what it holds. What is frequent enough reaches the shards as bits at hashes,
-a filter of a fixed size: a false hit costs a row that the summing drops.
+a filter of a fixed size: a false hit costs a row that the summing drops. Pairs, of
+which there are most, are first counted by their hashes alone.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from folioworks.session import staged
 LEAST, DEPTH, MOST = 100, 5, 2000
 #: Words of a shard, bytes of a text that are split into words at once, and bits of a filter.
 SHARD, BYTES, FILTER = 1 << 18, 1 << 20, 1 << 26
-#: Phrases that a shard sends at once.
-SENT = 1 << 14
+#: Phrases that a shard sends at once, and marks that a task sums up before it sends them.
+SENT, MARKS = 1 << 14, 1 << 21
 #: Lengths whose counts are summed up before the next ones are looked for.
 ROUNDS = ((2,), (3,), (4, 5))
 
@@ -206,32 +207,36 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((0, *(xxhash.xxh64_intdigest(w, seed) for w in words)), np.uint64, len(words) + 1)
 
 
-def spots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The filter's bit for phrases (rows of their words' hashes)."""
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """32 bits for phrases (rows of their words' hashes)."""
     mixed = (hashes * _WEIGHTS[: hashes.shape[1]]).sum(axis=1, dtype=np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _WEIGHTS[-1]
-    return (mixed >> np.uint64(32)).astype(np.int64) % bits
+    return (mixed >> np.uint64(32)).astype(np.int64)
+
+
+def marked_filter(found: DataFrame, bits: int) -> bytes:
+    """The bits at the marks in ``found`` (at): ``bits`` in all, however many there are."""
+    one = F.pmod("at", F.lit(bits)) + 1  # buckets are numbered from 1, as is what stands in them
+    packed = found.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bitmap"))
+    out, width = np.zeros(max(1, bits // 8), np.uint8), 4096
+    for bucket, bitmap in packed.collect():  # as many bytes as the filter has, whatever the corpus
+        start = (bucket - 1) * width
+        part = np.frombuffer(bitmap, np.uint8)[: len(out) - start]
+        out[start : start + len(part)] = part
+    return out.tobytes()
 
 
 def frequent_filter(found: DataFrame, bits: int = FILTER) -> bytes:
-    """The bits of the phrases in ``found`` (lang, phrase): ``bits`` in all, however many there are."""
+    """The filter of the phrases in ``found`` (lang, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = []
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                at.append(int(spots(word_hashes(lang, phrase.encode().split(b" "))[None, 1:], bits)[0]))
+                at.append(int(marks(word_hashes(lang, phrase.encode().split(b" "))[None, 1:])[0]))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
 
-    at = found.select("lang", "phrase").mapInArrow(run, "at long")
-    one = F.col("at") + 1  # buckets are numbered from 1, as is what stands in them
-    packed = at.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bitmap"))
-    out, width = np.zeros(bits // 8, np.uint8), 4096
-    for bucket, bitmap in packed.collect():  # as many bytes as the filter has, whatever the corpus
-        start = (bucket - 1) * width
-        part = np.frombuffer(bitmap, np.uint8)[: len(out) - start]
-        out[start : start + len(part)] = part
-    return out.tobytes()
+    return marked_filter(found.select("lang", "phrase").mapInArrow(run, "at long"), bits)
 
 
 def _bit(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -241,14 +246,14 @@ def _bit(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
 def allowed(ids: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
     """The sequence with separators wherever the filters of words, pairs, ... end it. A place
     stays only beside another one, as part of what the last filter passes."""
-    s = ids * _bit(filters[0], spots(hashes[:, None], len(filters[0]) * 8))[ids] * (ids > 0)
+    s = ids * _bit(filters[0], marks(hashes[:, None]) % (len(filters[0]) * 8))[ids] * (ids > 0)
     for m, filter_ in enumerate(filters[1:], 2):
         n = len(s) - m + 1
         if n <= 0:
             return s[:0]
         runs = np.lib.stride_tricks.sliding_window_view(s, m)
         at = np.flatnonzero((runs > 0).all(axis=1))
-        hit = at[_bit(filter_, spots(hashes[runs[at]], len(filter_) * 8))]
+        hit = at[_bit(filter_, marks(hashes[runs[at]]) % (len(filter_) * 8))]
         # places that a passing run covers stay, and a separator comes where two neighbours share none
         cover, link = np.zeros(len(s) + 1, np.int64), np.zeros(len(s) + 1, np.int64)
         np.add.at(cover, hit, 1)
@@ -265,19 +270,59 @@ def allowed(ids: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray]) -> n
     return s[ends]
 
 
+def _sequences(batch: pa.RecordBatch, filters: list[np.ndarray]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """(language, words, their hashes, sequence) of shards, by ``allowed``."""
+    for i in range(batch.num_rows):
+        lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values.cast(pa.binary())
+        ids, hashes = np.frombuffer(batch.column("ids")[i].as_py(), "<u4").astype(np.int64), word_hashes(lang, words.to_pylist())
+        s = allowed(ids, hashes, filters)
+        if (s > 0).any():
+            yield lang, words, hashes, s
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at, which = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+    return at, np.bincount(which, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def pair_filter(held: DataFrame, filters: list, least: int, bits: int) -> bytes:
+    """A filter that passes every pair of ``least`` occurrences: pairs are counted by their
+    marks, so that what goes over the network is two small numbers, not words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed, parts, size = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0
+
+        def out(at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(at), SENT):
+                some = slice(start, start + SENT)
+                yield pa.RecordBatch.from_arrays([pa.array(at[some].astype(np.uint32).view(np.int32)), pa.array(n[some])], names=["at", "n"])
+
+        for batch in batches:
+            for _, _, hashes, s in _sequences(batch, passed):
+                first = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0))
+                parts.append(np.unique(marks(hashes[np.column_stack([s[first], s[first + 1]])]), return_counts=True))
+                size += len(parts[-1][0])
+                if size > MARKS:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+                    if size > MARKS // 2:
+                        yield from out(*parts[0])
+                        parts, size = [], 0
+        if parts:
+            yield from out(*_summed(parts))
+
+    sums = held.select("lang", "ids", "words").mapInArrow(run, "at int, n long").repartition("at").groupBy("at").agg(F.sum("n").alias("n"))
+    return marked_filter(sums.where(F.col("n") >= least).select(F.pmod(F.col("at").cast("long"), F.lit(1 << 32)).alias("at")), bits)
+
+
 def shard_phrases(held: DataFrame, lengths: tuple[int, ...], filters: list, depth: int = DEPTH) -> DataFrame:
     """(lang, phrase, m, a, before, after): each shard's phrases of ``lengths`` words that the
     filters (broadcasts) pass, with their counts and those of their commonest neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(f.value, np.uint8) for f in filters]
+        passed = [np.frombuffer(f.value, np.uint8) for f in filters]
         for batch in batches:
-            for i in range(batch.num_rows):
-                lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values.cast(pa.binary())
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<u4").astype(np.int64)
-                s = allowed(ids, word_hashes(lang, words.to_pylist()), bits)
-                if not (s > 0).any():
-                    continue
+            for lang, words, _, s in _sequences(batch, passed):
                 for phrases, count, left, right in phrases_of(s, lengths, depth):
                     for start in range(0, len(count), SENT):
                         some = slice(start, start + SENT)
@@ -316,8 +361,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         lengths = tuple(m for m in lengths if m <= depth)
         if not lengths:
             break
+        passed = filters
+        if min(lengths) == 2:
+            passed = [*filters, spark.sparkContext.broadcast(pair_filter(held, filters, least, bits))]
         # a shard has counted its own: to combine shards before the shuffle would hold all their phrases and save little
-        dealt = shard_phrases(held, lengths, filters, depth).repartition("lang", "phrase", "m")
+        dealt = shard_phrases(held, lengths, passed, depth).repartition("lang", "phrase", "m")
         sums = dealt.groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
         found.append(staged(sums.where(F.col("a") >= least), "phrases"))
         if lengths != rounds[-1]:
