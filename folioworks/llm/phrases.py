@@ -10,8 +10,8 @@ counts, which are summed up over the corpus.
 Between lengths the corpus decides what is worth extending. Words, pairs and triples that are
 too rare in the whole corpus end a sequence for the longer ones, as no phrase can be more
 frequent than what it holds. What is frequent enough reaches the shards as bits at hashes,
-a filter of a fixed size: a false hit costs a row that the summing drops. Pairs, of
-which there are most, are first counted by their hashes alone.
+a filter of a fixed size: a false hit costs a row that the summing drops. Pairs and triples,
+of which there are most, are first counted by their hashes alone.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from folioworks.session import staged
 LEAST, DEPTH, MOST = 100, 5, 2000
 #: Words of a shard, bytes of a text that are split into words at once, and bits of a filter.
 SHARD, BYTES, FILTER = 1 << 18, 1 << 20, 1 << 26
-#: Phrases that a shard sends at once, and marks that a task sums up before it sends them.
-SENT, MARKS = 1 << 14, 1 << 21
+#: Phrases that a shard sends at once, marks that a task sums up before it sends them, and lengths counted by marks first.
+SENT, MARKS, MARKED = 1 << 14, 1 << 20, (2, 3)
 #: Lengths whose counts are summed up before the next ones are looked for.
 ROUNDS = ((2,), (3,), (4, 5))
 
@@ -285,34 +285,52 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return at, np.bincount(which, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def pair_filter(held: DataFrame, filters: list, least: int, bits: int) -> bytes:
-    """A filter that passes every pair of ``least`` occurrences: pairs are counted by their
-    marks, so that what goes over the network is two small numbers, not words."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Eight bytes a number, first all lowest ones and so on: small numbers shrink to little when sent."""
+    return np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def mark_filter(held: DataFrame, filters: list, m: int, least: int, bits: int, n_words: int) -> bytes:
+    """A filter that passes every phrase of ``m`` words that occurs ``least`` times: they are
+    counted by their marks. A task sends its marks with counts, in order, as a few rows of
+    packed differences; a row is a range of marks, so many that about MARKS meet in one."""
+    shift = 32 - min(20, max(4, (n_words // MARKS).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed, parts, size = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0
 
-        def out(at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for start in range(0, len(at), SENT):
-                some = slice(start, start + SENT)
-                yield pa.RecordBatch.from_arrays([pa.array(at[some].astype(np.uint32).view(np.int32)), pa.array(n[some])], names=["at", "n"])
+        def out(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            ranges, start = np.unique(at >> shift, return_index=True)
+            each = list(zip(start, [*start[1:], len(at)]))
+            columns = [pa.array(ranges.astype(np.int32)), *(pa.array([_packed(x) for x in xs], pa.binary()) for xs in ((np.diff(at[a:b], prepend=0) for a, b in each), (n[a:b] for a, b in each)))]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "steps", "n"])
 
         for batch in batches:
             for _, _, hashes, s in _sequences(batch, passed):
-                first = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0))
-                parts.append(np.unique(marks(hashes[np.column_stack([s[first], s[first + 1]])]), return_counts=True))
+                if len(s) < m:
+                    continue
+                runs = np.lib.stride_tricks.sliding_window_view(s, m)
+                parts.append(np.unique(marks(hashes[runs[(runs > 0).all(axis=1)]]), return_counts=True))
                 size += len(parts[-1][0])
                 if size > MARKS:
                     parts = [_summed(parts)]
                     size = len(parts[0][0])
                     if size > MARKS // 2:
-                        yield from out(*parts[0])
+                        yield out(*parts[0])
                         parts, size = [], 0
-        if parts:
-            yield from out(*_summed(parts))
+        if size:
+            yield out(*_summed(parts))
+
+    def often(rows: pa.Table) -> pa.Table:
+        at, n = _summed([(np.cumsum(_unpacked(steps.as_py())), _unpacked(n.as_py())) for steps, n in zip(rows.column("steps"), rows.column("n"))])
+        return pa.table([pa.array(at[n >= least], pa.int64())], ["at"])
 
-    sums = held.select("lang", "ids", "words").mapInArrow(run, "at int, n long").repartition("at").groupBy("at").agg(F.sum("n").alias("n"))
-    return marked_filter(sums.where(F.col("n") >= least).select(F.pmod(F.col("at").cast("long"), F.lit(1 << 32)).alias("at")), bits)
+    sent = held.select("lang", "ids", "words").mapInArrow(run, "part int, steps binary, n binary")
+    return marked_filter(sent.groupBy("part").applyInArrow(often, "at long"), bits)
 
 
 def shard_phrases(held: DataFrame, lengths: tuple[int, ...], filters: list, depth: int = DEPTH) -> DataFrame:
@@ -355,6 +373,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     counted = held.select("lang", F.inline(F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("a")))).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     counted = staged(counted, "words")
     totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
+    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counted.where(F.col("a") >= least).select("lang", "phrase", F.lit(1).alias("m"), "a", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("after"))
     found, filters = [words], [spark.sparkContext.broadcast(frequent_filter(words, bits))]
     for lengths in rounds:
@@ -362,8 +381,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         if not lengths:
             break
         passed = filters
-        if min(lengths) == 2:
-            passed = [*filters, spark.sparkContext.broadcast(pair_filter(held, filters, least, bits))]
+        if min(lengths) in MARKED:
+            passed = [*filters, spark.sparkContext.broadcast(mark_filter(held, filters, min(lengths), least, bits, n_words))]
         # a shard has counted its own: to combine shards before the shuffle would hold all their phrases and save little
         dealt = shard_phrases(held, lengths, passed, depth).repartition("lang", "phrase", "m")
         sums = dealt.groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
