@@ -20,7 +20,6 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioworks.llm.words import row_key
 from folioworks.session import shared_dir
 
 SEED = 42
