@@ -29,10 +29,10 @@ from folioworks.session import staged
 
 #: Occurrences and words of a phrase, phrases a language.
 LEAST, DEPTH, MOST = 100, 5, 2000
-#: Words of a shard, bytes of a text that are split into words at once, and bits of a filter.
-SHARD, BYTES, FILTER = 1 << 18, 1 << 20, 1 << 26
-#: Phrases that a shard sends at once, marks that a task sums up before it sends them, and lengths counted by marks first.
-SENT, MARKS, MARKED = 1 << 14, 1 << 20, (2, 3)
+#: Words of a shard, bytes of texts that are split into words at once and that a task gathers, and bits of a filter.
+SHARD, BYTES, MOST_HELD, FILTER = 1 << 18, 1 << 20, 1 << 26, 1 << 26
+#: Phrases that go out at once, phrases and marks that a task sums up before it sends them, and lengths counted by marks first.
+SENT, HELD, MARKS, MARKED = 1 << 14, 1 << 18, 1 << 20, (2, 3)
 #: Lengths whose counts are summed up before the next ones are looked for.
 ROUNDS = ((2,), (3,), (4, 5))
 
@@ -101,6 +101,7 @@ def shards(docs: DataFrame, text: str, lang: str, size: int = SHARD) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
+        held = 0
 
         def out(name: str) -> pa.RecordBatch:
             ids, words, counts = open_[name].row()
@@ -113,8 +114,12 @@ def shards(docs: DataFrame, text: str, lang: str, size: int = SHARD) -> DataFram
                 shard = open_.setdefault(name, Shard())
                 for part in chunks(data.as_py() or b""):
                     shard.add(part)
+                    held += len(part)
                     if shard.size >= size:
                         yield out(name)
+                if held > MOST_HELD:  # of many languages none may fill a shard: all go out
+                    yield from (out(n) for n, x in open_.items() if x.size or x.plain)
+                    open_, held = {}, 0
         for name, shard in open_.items():
             if shard.size or shard.plain:
                 yield out(name)
@@ -333,12 +338,18 @@ def mark_filter(held: DataFrame, filters: list, m: int, least: int, bits: int, n
     return marked_filter(sent.groupBy("part").applyInArrow(often, "at long"), bits)
 
 
+def _combined(parts: list[pa.RecordBatch]) -> pa.Table:
+    sums = pa.Table.from_batches(parts).group_by(["lang", "phrase", "m"]).aggregate([(c, "sum") for c in ("a", "before", "after")])
+    return sums.select(["lang", "phrase", "m", "a_sum", "before_sum", "after_sum"]).rename_columns(["lang", "phrase", "m", "a", "before", "after"])
+
+
 def shard_phrases(held: DataFrame, lengths: tuple[int, ...], filters: list, depth: int = DEPTH) -> DataFrame:
-    """(lang, phrase, m, a, before, after): each shard's phrases of ``lengths`` words that the
-    filters (broadcasts) pass, with their counts and those of their commonest neighbours."""
+    """(lang, phrase, m, a, before, after): the phrases of ``lengths`` words that the filters
+    (broadcasts) pass, with their counts and those of their commonest neighbours in each
+    shard, summed up over the shards of a task as far as it holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed = [np.frombuffer(f.value, np.uint8) for f in filters]
+        passed, parts, size = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0
         for batch in batches:
             for lang, words, _, s in _sequences(batch, passed):
                 for phrases, count, left, right in phrases_of(s, lengths, depth):
@@ -348,7 +359,16 @@ def shard_phrases(held: DataFrame, lengths: tuple[int, ...], filters: list, dept
                         text = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())).cast(pa.string())
                         n = len(text)
                         made = [pa.repeat(lang, n), text, pa.array(np.full(n, phrases.shape[1], np.int32)), *(pa.array(x[some]) for x in (count, left, right))]
-                        yield pa.RecordBatch.from_arrays(made, names=["lang", "phrase", "m", "a", "before", "after"])
+                        parts.append(pa.RecordBatch.from_arrays(made, names=["lang", "phrase", "m", "a", "before", "after"]))
+                        size += n
+                if size > HELD:
+                    parts = _combined(parts).to_batches()
+                    size = sum(p.num_rows for p in parts)
+                    if size > HELD // 2:
+                        yield from (x for p in parts for x in pa.Table.from_batches([p]).to_batches(SENT))
+                        parts, size = [], 0
+        if size:
+            yield from _combined(parts).to_batches(SENT)
 
     return held.select("lang", "ids", "words").mapInArrow(run, "lang string, phrase string, m int, a long, before long, after long")
 
@@ -383,9 +403,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         passed = filters
         if min(lengths) in MARKED:
             passed = [*filters, spark.sparkContext.broadcast(mark_filter(held, filters, min(lengths), least, bits, n_words))]
-        # a shard has counted its own: to combine shards before the shuffle would hold all their phrases and save little
-        dealt = shard_phrases(held, lengths, passed, depth).repartition("lang", "phrase", "m")
-        sums = dealt.groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
+        sums = shard_phrases(held, lengths, passed, depth).groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
         found.append(staged(sums.where(F.col("a") >= least), "phrases"))
         if lengths != rounds[-1]:
             filters.append(spark.sparkContext.broadcast(frequent_filter(found[-1].where(F.col("m") == max(lengths)), bits)))
