@@ -34,9 +34,10 @@ def strip(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """T-01: compatibility form, no invisible characters or tatweel, LF line ends, single
     spaces, none around line ends, at most one blank line in a row, nothing at the ends."""
-    t = F.regexp_replace(nfkc(text), INVISIBLE, "")
-    t = F.regexp_replace(F.regexp_replace(F.translate(t, TATWEEL, ""), r"\r\n?", "\n"), "[ \t]+", " ")
-    return strip(F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), "\n{3,}", "\n\n"))
+    t = F.regexp_replace(nfkc(text), f"{INVISIBLE}|{TATWEEL}", "")
+    # Patterns match only what changes: a match for every space would cost more than all else.
+    t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), " [ \t]+|\t[ \t]*", " ")
+    return strip(F.regexp_replace(F.regexp_replace(t, " +\n *|\n +", "\n"), "\n{3,}", "\n\n"))
 
 
 def fold_digits(text: Column) -> Column:
@@ -66,6 +67,14 @@ def content_digest(text: Column) -> Column:
     return F.sha2(normalize_text(text), 256)
 
 
+def normal_digest(text: Column) -> Column:
+    """``content_digest`` of ``normalize_text(text)``. A normal form is one of itself, unless what
+    was taken out stood between characters that compose: only those are normalised twice."""
+    normal = normalize_text(text)
+    again = normalize_text(F.when(nfkc(text).rlike(f"{INVISIBLE}|{TATWEEL}"), normal))
+    return F.sha2(F.coalesce(again, normal), 256)
+
+
 def object_id(object_type: Column, local_id: Column, text: Column, prefix: Column | None = None) -> Column:
     """T-07: prefix, local id and 16 digits of the content's hash. Types have own prefixes."""
     by_type = F.when(object_type == "legislation", "LEG").when(object_type == "judicial_principle", "PRN").when(object_type == "full_judgment", "JUD").otherwise("OBJ")

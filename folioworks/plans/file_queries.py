@@ -49,10 +49,11 @@ def stream_inbox(d: Tables) -> DataFrame:
     at = f"{shared_dir(d.spark)}/inbox-{uuid.uuid4().hex}"
     path = F.concat(F.lit("inbox/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     files = writers.file_rows(d.documents, path, F.col("text"), F.expr(START) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod("doc_id", F.lit(60)).cast("decimal(18,6)")))
-    files.repartition(3, "path").write.parquet(f"{at}/packed")
+    n_bytes = d.documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    at_once = inbox.pack(files, f"{at}/packed", n_bytes, 3)
     last = None
     for _ in range(2):
-        inbox.watch_inbox(d.spark, inbox.packed_files(d.spark, f"{at}/packed", 1), at, f"{at}/log").awaitTermination()
+        inbox.watch_inbox(d.spark, inbox.packed_files(d.spark, f"{at}/packed", at_once), at, f"{at}/log").awaitTermination()
         last = forget_last_commit(d.spark, f"{at}/log")
     tables = inbox.current_tables(d.spark, at, last)
     batches, objects, sources = tables["ingestion_batches"], tables["knowledge_objects"], tables["sources"]

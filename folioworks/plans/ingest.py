@@ -72,13 +72,15 @@ def ingest(files: DataFrame, sources: DataFrame, objects: DataFrame, run_at: Col
         F.create_map(F.lit("batch_id"), F.col("batch_id"), F.lit("local_id"), F.col("local_id")).alias("metadata"), run_at.alias("created_at"), run_at.alias("updated_at"),
         classify.authority_status(kind, status).alias("authority_status"), classify.citable(kind, status).alias("usable_as_citation"), F.struct("modified", "path").alias("_order"),
     )
-    made = _first(made, "id")  # equal sections of one source are one object
+    # Equal sections of one source are one object. They are counted without their texts.
+    holder = made.groupBy("id").agg(F.min_by(F.col("metadata")["batch_id"], "_order").alias("batch_id"))
+    counts = holder.groupBy("batch_id").agg(F.count("*").cast("int").alias("object_count"))
+    made = _first(made, "id")
     new_sources = fresh.select(
         F.col("key").alias("source_key"), "source_type", title.alias("title"), "file_name", "sha256", "verification_status", F.create_map(F.lit("format"), F.col("source_format")).alias("metadata"),
         run_at.alias("created_at"), run_at.alias("updated_at"), "content_sha256", "branch", "topic", F.col("batch_id").alias("first_batch_id"), F.struct("modified", "path").alias("_order"),
     )
     new_sources = _first(new_sources, "source_key")
-    counts = made.groupBy(F.col("metadata")["batch_id"].alias("batch_id")).agg(F.count("*").cast("int").alias("object_count"))
     batches = told.join(counts, "batch_id", "left").select(
         "batch_id", F.col("key").alias("source_key"), F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("completed").alias("status"), F.coalesce("object_count", F.lit(0)).alias("object_count"),
         F.lit(0).alias("relationship_count"), F.when(F.col("duplicate_of").isNotNull(), F.create_map(F.lit("duplicate_of"), F.col("duplicate_of"))).alias("report"), run_at.alias("started_at"), run_at.alias("completed_at"),

@@ -10,6 +10,8 @@ from folioworks.schemas import TABLES, TERMINAL_STATES
 from folioworks.session import versions
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+#: Bytes of a packed file, about: a Parquet file of one row group is read and decoded by one task.
+PACKED_BYTES = 16 << 20
 #: The tables that the stream keeps: their keys, and what an upsert of a known key updates.
 KEYS = {"sources": (["source_key"], SOURCE_UPDATES), "knowledge_objects": (["id"], OBJECT_UPDATES), "ingestion_batches": (["batch_id"], [])}
 STATE = tuple(KEYS)
@@ -54,6 +56,14 @@ def compact(spark: SparkSession, root: str, version: int) -> None:
         table.write.mode("overwrite").parquet(f"{_base_path(root, t)}/v={version}")
 
 
+def pack(files: DataFrame, folder: str, n_bytes: int, batches: int) -> int:
+    """Writes binaryFile rows packed, for ``batches`` micro-batches of as many Parquet files, and
+    returns how many: at least one for every core, more where they would pass PACKED_BYTES."""
+    at_once = max(files.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // (batches * PACKED_BYTES)))
+    files.repartition(batches * at_once, "path").write.parquet(folder)
+    return at_once
+
+
 def packed_files(spark: SparkSession, folder: str, at_once: int = 100) -> DataFrame:
     """A stream of files that come packed, many to a Parquet file with binaryFile's columns:
     ``at_once`` Parquet files to a micro-batch. A folder of millions of small files is slow to list."""
