@@ -33,6 +33,8 @@ LEAST, DEPTH, MOST = 100, 5, 2000
 SHARD, BYTES, MOST_HELD, FILTER = 1 << 18, 1 << 20, 1 << 26, 1 << 26
 #: Phrases that go out at once, phrases and marks that a task sums up before it sends them, and lengths counted by marks first.
 SENT, HELD, MARKS, MARKED = 1 << 14, 1 << 18, 1 << 20, (2, 3)
+#: Tasks that send phrases, for each core: every task sends each phrase that it holds, so more of them only send the same ones again.
+TASKS = 2
 #: Lengths whose counts are summed up before the next ones are looked for.
 ROUNDS = ((2,), (3,), (4, 5))
 
@@ -346,7 +348,8 @@ def _combined(parts: list[pa.RecordBatch]) -> pa.Table:
 def shard_phrases(held: DataFrame, lengths: tuple[int, ...], filters: list, depth: int = DEPTH) -> DataFrame:
     """(lang, phrase, m, a, before, after): the phrases of ``lengths`` words that the filters
     (broadcasts) pass, with their counts and those of their commonest neighbours in each
-    shard, summed up over the shards of a task as far as it holds them."""
+    shard, summed up over the shards of a task as far as it holds them. There are no more tasks
+    than keep the cores busy, however many shards there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed, parts, size = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0
@@ -370,7 +373,8 @@ def shard_phrases(held: DataFrame, lengths: tuple[int, ...], filters: list, dept
         if size:
             yield from _combined(parts).to_batches(SENT)
 
-    return held.select("lang", "ids", "words").mapInArrow(run, "lang string, phrase string, m int, a long, before long, after long")
+    tasks = TASKS * held.sparkSession.sparkContext.defaultParallelism
+    return held.select("lang", "ids", "words").coalesce(tasks).mapInArrow(run, "lang string, phrase string, m int, a long, before long, after long")
 
 
 def first_words(phrase: Column, k: Column) -> Column:

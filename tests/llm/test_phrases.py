@@ -101,6 +101,15 @@ def test_long_texts_and_empty_tables(spark, monkeypatch):
     assert phrases.collocations(frame.limit(0)).collect() == []
 
 
+def test_a_phrase_is_sent_by_as_many_tasks_as_cores_need(spark):
+    cores = spark.sparkContext.defaultParallelism
+    frame = spark.createDataFrame([("en", "again and again.")] * 400, "lang string, text string").repartition(10 * cores)
+    every = [spark.sparkContext.broadcast(b"\xff" * 8)]
+    sent = phrases.shard_phrases(phrases.shards(frame, "text", "lang"), (3,), every).where("phrase = 'again and again'").collect()
+    assert sum(r.a for r in sent) == 400
+    assert len(sent) <= phrases.TASKS * cores
+
+
 def test_products_beyond_64_bits(spark):
     frame = spark.sql("select 10000000000000L as a, 90000000000000L as n, 3L as l, 30000000000000L as r")
     div = frame.selectExpr("(cast(1000 as decimal(4,0)) * cast(a as decimal(18,0)) * cast(n as decimal(16,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as score")
