@@ -24,8 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioworks.llm.batches import bound_batches
-from folioworks.session import staged
+from folioworks.session import bound_batches, staged
 
 #: Occurrences and words of a phrase, phrases a language.
 LEAST, DEPTH, MOST = 100, 5, 2000

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioworks.session import bound_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The driver's tables as attributes."""
+    """The driver's tables as attributes. What Spark sends to Python at once is bounded from then on."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        bound_batches(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
