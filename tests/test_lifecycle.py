@@ -58,3 +58,27 @@ def test_nothing_streamed_yet(spark, tmp_path):
     tracked = spark.createDataFrame([(1, 7)], "batch_id long, group_id long")
     assert lifecycle.states(spark, str(tmp_path)).collect() == []
     assert [tuple(r) for r in lifecycle.done(spark, str(tmp_path), tracked).collect()] == [(7, 1, False)]
+
+
+class Held:
+    """A state of one key that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+def test_a_key_costs_one_look_and_one_change_of_the_state(spark):
+    life = lifecycle.Life()
+    life.life = Held()
+    steps = [[(1, "started", 5), (1, None, 9), (1, "running", None)], [(1, "failed", 8), (1, "completed", 7)], [(1, "running", 99)]]
+    got = [tuple(r) for rows in steps for r in life.handleInputRows((1,), iter(rows), None)]
+    assert got == [(1, "started", 3, False), (1, "completed", 5, True), (1, "completed", 6, False)]
+    assert life.life.calls == ["get", "update"] * 3
