@@ -41,13 +41,14 @@ def exact_search(objects: DataFrame, queries: DataFrame, k: int = 3, key: str =
     as many of n tokens has one of the n - tier + 1 rarest, so frequent words bring in no
     candidates of their own. Candidates are counted on the asked words that they hold. Queries
     without tokens meet the first ``k`` objects of their number only."""
-    words = F.array_distinct(F.transform(F.split(F.concat_ws(" ", *fields), r"\s+"), search_word))
+    words = F.array_distinct(F.split(F.concat_ws(" ", *fields), r"\s+"))
     numbers = F.array_distinct(F.regexp_extract_all(F.col(title), F.lit(r"(\d+)"), F.lit(1)))
     rows = objects.select(F.col(key).alias("id"), words.alias("_words"), F.explode(numbers).alias("number"))
     asked = queries.select("query_id", F.col("number").cast("string").alias("number"), F.array_distinct("tokens").alias("tokens"))
     told = asked.select("query_id", "number", F.explode("tokens").alias("word"))
-    every = rows.select("id", "number", F.explode("_words").alias("word"))
-    posted = staged(every.join(told.select("number", "word").distinct(), ["number", "word"], "left_semi"), "postings")
+    # Words are made plain as rows, where that is compiled code; of one object some become alike.
+    every = rows.select("id", "number", F.explode("_words").alias("word")).withColumn("word", search_word(F.col("word")))
+    posted = staged(every.join(told.select("number", "word").distinct(), ["number", "word"], "left_semi").distinct(), "postings")
     held = posted.groupBy("number", "id").agg(F.collect_set("word").alias("held"))
     often = posted.groupBy("number", "word").agg(F.count("*").alias("n"))
     rarity = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "word"))

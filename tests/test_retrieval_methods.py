@@ -94,3 +94,21 @@ def test_expansion_by_bits_equals_sets(spark):
     assert rows(spark.createDataFrame(negative, "query_id long, id long")) == sorted(near - own - set(negative))
     every = {i for _, i in negative[:40]}
     assert rows(spark.createDataFrame([(i,) for i in every], "id long")) == sorted((q, i) for q, i in near - own if i not in every)
+
+
+def test_exact_search_makes_words_plain_in_compiled_code(spark, monkeypatch):
+    """Word by word within an array, expressions are interpreted, for every word of the corpus."""
+    plans, posted = [], []
+
+    def kept(df, name):
+        if name == "postings":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            posted.extend(sorted(map(tuple, df.select("id", "word").collect())))
+        return df
+
+    monkeypatch.setattr(retrieval, "staged", kept)
+    objects = spark.createDataFrame([(1, "No 4", "(law) law, law other"), (2, "No 4", "flaw.")], "id long, title string, text string")
+    queries = spark.createDataFrame([(7, 4, ["law"])], "query_id long, number long, tokens array<string>")
+    assert [(r.id, r.matched) for r in retrieval.exact_search(objects, queries, 3, fields=("text",)).collect()] == [(1, 1)]
+    assert posted == [(1, "law")]
+    assert "lambdafunction" not in plans[0]
