@@ -403,8 +403,11 @@ def resolve_mentions(d: Tables) -> DataFrame:
 
 @query("select o_orderkey as object_id, l_partkey as micro_issue_id, p_name as micro_issue_name, prim as is_primary, row_number() over (partition by o_orderkey order by prim desc, l_partkey)::int as position from orders join (select l_orderkey, l_partkey, max(l_linenumber = 2) as prim from lineitem group by 1, 2) on l_orderkey = o_orderkey join part on p_partkey = l_partkey")
 def micro_issues(d: Tables) -> DataFrame:
-    bridge = d.lineitem.groupBy(F.col("l_orderkey").alias("object_id"), F.col("l_partkey").alias("micro_issue_id")).agg(F.max(F.col("l_linenumber") == 2).alias("is_primary"))
-    return matching.micro_issues_of(d.orders.select(F.col("o_orderkey").alias("id")), bridge, d.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("micro_issue_name")))
+    tasks = -(-d.lineitem.count() // matching.BRIDGE_ROWS)
+    rows = d.lineitem.select(F.col("l_orderkey").alias("object_id"), F.col("l_partkey").alias("micro_issue_id"), (F.col("l_linenumber") == 2).alias("second"))
+    rows = rows.repartition(tasks, "object_id") if tasks > 1 else rows
+    bridge = rows.groupBy("object_id", "micro_issue_id").agg(F.max("second").alias("is_primary"))
+    return matching.micro_issues_of(d.orders.select(F.col("o_orderkey").alias("id")), bridge, d.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("micro_issue_name")), tasks if tasks > 1 else None)
 
 
 @query("""

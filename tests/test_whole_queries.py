@@ -1,6 +1,7 @@
 """Queries over whole tables, where a part of the table would give other rows."""
 
 from folioworks import catalog
+from folioworks.operators import matching
 
 
 def run(name, spark, at):
@@ -39,3 +40,11 @@ def test_lookups_read_every_document(spark, tmp_path):
     spark.createDataFrame([(900,), (900,)], "conv_id long").write.parquet(f"{tmp_path}/conversations.parquet")
     assert run("known_duplicates", spark, tmp_path) == [(901, 900, 2)]
     assert sorted(run("null_safe_lookup", spark, tmp_path)) == [(1, 5), (2, 4), (3, 5), (4, 4), (5, 5), (6, 4), (7, 5), (900, 4), (901, 5), (902, 1)]
+
+
+def test_micro_issues_are_dealt_over_as_many_tasks_as_rows_need(spark, sf_dir, monkeypatch):
+    whole = sorted(map(tuple, catalog.QUERIES["micro_issues"](spark, sf_dir).collect()))
+    monkeypatch.setattr(matching, "BRIDGE_ROWS", 500)
+    dealt = catalog.QUERIES["micro_issues"](spark, sf_dir)
+    assert dealt.rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    assert sorted(map(tuple, dealt.collect())) == whole
