@@ -1,7 +1,8 @@
 """Phrases of several words that occur together, by an FM-index for every shard of the corpus.
 
-A shard is about a quarter of a million words of one language as numbers, pieces of sentences separated by
-zeros, with the words behind the numbers. Its index is the Burrows-Wheeler transform of that
+A shard is about 65,536 words of one language as numbers, pieces of sentences separated by
+zeros, with the words behind the numbers, as one string: what passes between Spark and Python
+is a few long values a row, not a value a word. Its index is the Burrows-Wheeler transform of that
 sequence and of its reverse: a phrase is an interval in either, which a word to the left
 splits in the one and a word to the right in the other, so that counts of phrases and of
 their extensions come from intervals alone, to a limited depth. Shards give their phrases'
@@ -10,8 +11,8 @@ counts, which are summed up over the corpus.
 Between lengths the corpus decides what is worth extending. Words, pairs and triples that are
 too rare in the whole corpus end a sequence for the longer ones, as no phrase can be more
 frequent than what it holds. What is frequent enough reaches the shards as bits at hashes,
-a filter of a fixed size: a false hit costs a row that the summing drops. Pairs and triples,
-of which there are most, are first counted by their hashes alone.
+a filter of a fixed size: a false hit costs a row that the summing drops. Words, pairs and
+triples, of which there are most, are first counted by their hashes alone.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from folioworks.session import bound_batches, staged
 
 #: Occurrences and words of a phrase, phrases a language.
 LEAST, DEPTH, MOST = 100, 5, 2000
-#: Words of a shard, bytes of texts that are split into words at once and that a task gathers, and bits of a filter.
-SHARD, BYTES, MOST_HELD, FILTER = 1 << 18, 1 << 20, 1 << 26, 1 << 26
+#: Words of a shard, shards of a file (a reader holds a file's shards at once), bytes of texts that are split into words at once and that a task gathers, and bits of a filter.
+SHARD, FILED, BYTES, MOST_HELD, FILTER = 1 << 16, 16, 1 << 20, 1 << 26, 1 << 26
 #: Phrases that go out at once, phrases and marks that a task sums up before it sends them, and lengths counted by marks first.
-SENT, HELD, MARKS, MARKED = 1 << 14, 1 << 18, 1 << 20, (2, 3)
+SENT, HELD, MARKS, MARKED = 1 << 14, 1 << 18, 1 << 19, (1, 2, 3)
 #: Tasks that send phrases, for each core: every task sends each phrase that it holds, so more of them only send the same ones again.
 TASKS = 2
 #: Lengths whose counts are summed up before the next ones are looked for.
@@ -78,7 +79,7 @@ class Shard:
         self.plain, self.waiting = [], 0
 
     def row(self) -> tuple:
-        """(ids, words, counts): numbers from 1 on, 0 where a piece ends."""
+        """(ids, words, n): numbers from 1 on, 0 where a piece ends, and how many are not 0."""
         if self.plain:
             self.split()
         coded = pa.chunked_array(self.parts).unify_dictionaries().combine_chunks()
@@ -90,14 +91,13 @@ class Shard:
         number[stop] = 0
         ids = number[ids]
         ids = ids[np.append(True, (ids[1:] > 0) | (ids[:-1] > 0))]
-        counts = np.bincount(ids, minlength=len(words))[1:]
         keep = pc.not_equal(words, pa.scalar(b".", pa.binary()))
         self.parts, self.size = [], 0
-        return ids.astype("<u4").tobytes(), words.filter(keep).cast(pa.string()), counts
+        return ids.astype("<u4").tobytes(), b" ".join(words.filter(keep).to_pylist()), int(np.count_nonzero(ids))
 
 
 def shards(docs: DataFrame, text: str, lang: str, size: int = SHARD) -> DataFrame:
-    """(lang, ids, words, counts), a row a shard: the words of a task's texts, language by language."""
+    """(lang, ids, words, n), a row a shard: the words of a task's texts, language by language."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +105,8 @@ def shards(docs: DataFrame, text: str, lang: str, size: int = SHARD) -> DataFram
         held = 0
 
         def out(name: str) -> pa.RecordBatch:
-            ids, words, counts = open_[name].row()
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids], pa.binary()), *lists], names=["lang", "ids", "words", "counts"])
+            ids, words, n = open_[name].row()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids], pa.binary()), pa.array([words], pa.binary()), pa.array([n], pa.int64())], names=["lang", "ids", "words", "n"])
 
         for batch in batches:
             names, texts = batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())
@@ -126,7 +125,7 @@ def shards(docs: DataFrame, text: str, lang: str, size: int = SHARD) -> DataFram
                 yield out(name)
 
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "lang string, ids binary, words array<string>, counts array<long>")
+    return rows.mapInArrow(run, "lang string, ids binary, words binary, n long")
 
 
 class Index:
@@ -252,7 +251,7 @@ def _bit(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
 def allowed(ids: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
     """The sequence with separators wherever the filters of words, pairs, ... end it. A place
     stays only beside another one, as part of what the last filter passes."""
-    s = ids * _bit(filters[0], marks(hashes[:, None]) % (len(filters[0]) * 8))[ids] * (ids > 0)
+    s = ids * _bit(filters[0], marks(hashes[:, None]) % (len(filters[0]) * 8))[ids] * (ids > 0) if filters else ids
     for m, filter_ in enumerate(filters[1:], 2):
         n = len(s) - m + 1
         if n <= 0:
@@ -279,16 +278,20 @@ def allowed(ids: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray]) -> n
 def _sequences(batch: pa.RecordBatch, filters: list[np.ndarray]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
     """(language, words, their hashes, sequence) of shards, by ``allowed``."""
     for i in range(batch.num_rows):
-        lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values.cast(pa.binary())
-        ids, hashes = np.frombuffer(batch.column("ids")[i].as_py(), "<u4").astype(np.int64), word_hashes(lang, words.to_pylist())
+        lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].as_py().split()
+        ids, hashes = np.frombuffer(batch.column("ids")[i].as_py(), "<u4").astype(np.int64), word_hashes(lang, words)
         s = allowed(ids, hashes, filters)
         if (s > 0).any():
-            yield lang, words, hashes, s
+            yield lang, pa.array(words, pa.binary()), hashes, s
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    at, which = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
-    return at, np.bincount(which, np.concatenate([n for _, n in parts])).astype(np.int64)
+    at = np.concatenate([a for a, _ in parts])
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    n = np.concatenate([n for _, n in parts])[order]
+    return at[start], np.add.reduceat(n, start) if len(at) else n
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -392,28 +395,36 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     matter, whatever their names.
     """
     spark = docs.sparkSession
-    held = staged(shards(docs, text, lang, shard), "shards")
-    counted = held.select("lang", F.inline(F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("a")))).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    counted = staged(counted, "words")
-    totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
+    held = staged(shards(docs, text, lang, shard), "shards", FILED)
+    totals = held.groupBy("lang").agg(F.sum("n").alias("n"))
     n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = counted.where(F.col("a") >= least).select("lang", "phrase", F.lit(1).alias("m"), "a", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("after"))
-    found, filters = [words], [spark.sparkContext.broadcast(frequent_filter(words, bits))]
+
+    def frequent(lengths: tuple[int, ...], depth: int) -> DataFrame:
+        marked = []
+        if min(lengths) in MARKED:
+            marked = [spark.sparkContext.broadcast(mark_filter(held, filters, min(lengths), least, bits, n_words))]
+        sums = shard_phrases(held, lengths, [*filters, *marked], depth).groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
+        made = staged(sums.where(F.col("a") >= least), "phrases")
+        for f in marked:
+            f.unpersist()
+        return made
+
+    found, filters = [], []
+    found.append(frequent((1,), 1))  # only the frequent ones of the words leave the shards, and none needs its neighbours
+    filters.append(spark.sparkContext.broadcast(frequent_filter(found[0], bits)))
     for lengths in rounds:
         lengths = tuple(m for m in lengths if m <= depth)
         if not lengths:
             break
-        passed = filters
-        if min(lengths) in MARKED:
-            passed = [*filters, spark.sparkContext.broadcast(mark_filter(held, filters, min(lengths), least, bits, n_words))]
-        sums = shard_phrases(held, lengths, passed, depth).groupBy("lang", "phrase", "m").agg(*(F.sum(c).alias(c) for c in ("a", "before", "after")))
-        found.append(staged(sums.where(F.col("a") >= least), "phrases"))
+        found.append(frequent(lengths, depth))
         if lengths != rounds[-1]:
             filters.append(spark.sparkContext.broadcast(frequent_filter(found[-1].where(F.col("m") == max(lengths)), bits)))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     every = staged(every, "frequent")
+    for f in filters:
+        f.unpersist()
     phrases = every.where("m > 1")
     counts = every.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     cut = phrases.select("lang", "phrase", "m", "a", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))

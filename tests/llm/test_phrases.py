@@ -110,6 +110,19 @@ def test_a_phrase_is_sent_by_as_many_tasks_as_cores_need(spark):
     assert len(sent) <= phrases.TASKS * cores
 
 
+def test_only_frequent_words_leave_the_shards_and_shards_are_few_values(spark, monkeypatch):
+    sent = []
+    whole = phrases.shard_phrases
+    monkeypatch.setattr(phrases, "shard_phrases", lambda held, lengths, *a: sent.append((held, lengths, whole(held, lengths, *a))) or sent[-1][2])
+    docs = [("en", f"again and again rare{i} odd{i}.") for i in range(2000)]
+    got = phrases.collocations(spark.createDataFrame(docs, "lang string, text string"), shard=500)
+    assert rows(got) == brute(docs, 100)
+    held, lengths, words = sent[0]
+    assert lengths == (1,) and {r.phrase for r in words.collect()} == {"again", "and"}
+    assert not any("array" in kind for _, kind in held.dtypes)  # a value a word is what filled an executor
+    assert sum(r.n for r in held.collect()) == 10_000
+
+
 def test_products_beyond_64_bits(spark):
     frame = spark.sql("select 10000000000000L as a, 90000000000000L as n, 3L as l, 30000000000000L as r")
     div = frame.selectExpr("(cast(1000 as decimal(4,0)) * cast(a as decimal(18,0)) * cast(n as decimal(16,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as score")
