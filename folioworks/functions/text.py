@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -10,6 +11,7 @@ from pyspark.sql import Column, functions as F, types as T
 # Characters that carry no text, digits, and letters written in several ways.
 INVISIBLE = "[​-‏‪-‮⁦-⁩﻿]"
 TATWEEL = "ـ"
+HIDDEN = INVISIBLE[:-1] + TATWEEL + "]"
 ARABIC_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩", "0123456789"
 LETTER_FORMS, PLAIN_LETTERS = "أإآىة", "ااايه"
 ARABIC_LETTERS = "؀-ۿ"
@@ -26,6 +28,12 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+def _where(text: Column, needed: Callable[[Column], Column], pattern: str, by: str) -> Column:
+    """``text``, made once, with the pattern replaced where ``needed`` holds: a search for plain
+    characters costs far less than a pattern that finds nothing."""
+    return F.get(F.transform(F.array(text), lambda t: F.when(needed(t), F.regexp_replace(t, pattern, by)).otherwise(t)), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space, of all of Unicode, at both ends."""
     return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
@@ -34,10 +42,13 @@ def strip(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """T-01: compatibility form, no invisible characters or tatweel, LF line ends, single
     spaces, none around line ends, at most one blank line in a row, nothing at the ends."""
-    t = F.regexp_replace(nfkc(text), f"{INVISIBLE}|{TATWEEL}", "")
+    t = F.regexp_replace(nfkc(text), HIDDEN, "")
     # Patterns match only what changes: a match for every space would cost more than all else.
-    t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), " [ \t]+|\t[ \t]*", " ")
-    return strip(F.regexp_replace(F.regexp_replace(t, " +\n *|\n +", "\n"), "\n{3,}", "\n\n"))
+    t = _where(t, lambda t: t.contains("\r"), r"\r\n?", "\n")
+    t = _where(t, lambda t: t.contains("  ") | t.contains("\t"), " [ \t]+|\t[ \t]*", " ")
+    t = _where(t, lambda t: t.contains(" \n") | t.contains("\n "), " +\n *|\n +", "\n")
+    t = _where(t, lambda t: t.contains("\n\n\n"), "\n{3,}", "\n\n")
+    return _where(t, lambda t: F.left(t, F.lit(1)).rlike("(?U)" + BLANK) | F.right(t, F.lit(1)).rlike("(?U)" + BLANK), rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
 
 
 def fold_digits(text: Column) -> Column:
@@ -70,9 +81,17 @@ def content_digest(text: Column) -> Column:
 def normal_digest(text: Column) -> Column:
     """``content_digest`` of ``normalize_text(text)``. A normal form is one of itself, unless what
     was taken out stood between characters that compose: only those are normalised twice."""
-    normal = normalize_text(text)
-    again = normalize_text(F.when(nfkc(text).rlike(f"{INVISIBLE}|{TATWEEL}"), normal))
-    return F.sha2(F.coalesce(again, normal), 256)
+    return digest_of_normal(normalize_text(text), hides(text))
+
+
+def hides(text: Column) -> Column:
+    """Whether the compatibility form holds characters that the normal form takes out."""
+    return nfkc(text).rlike(HIDDEN)
+
+
+def digest_of_normal(normal: Column, hidden: Column) -> Column:
+    """``normal_digest`` from what is at hand: a text's normal form, and whether it ``hides``."""
+    return F.sha2(F.coalesce(normalize_text(F.when(hidden, normal)), normal), 256)
 
 
 def object_id(object_type: Column, local_id: Column, text: Column, prefix: Column | None = None) -> Column:

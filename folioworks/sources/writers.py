@@ -22,16 +22,16 @@ def write_plain(text: str) -> bytes:
 
 def write_html(text: str) -> bytes:
     """A paragraph a line."""
-    return f"<html><body>{''.join(f'<p>{html.escape(x)}</p>' for x in text.split('\n'))}</body></html>".encode()
+    return f"<html><body><p>{html.escape(text).replace('\n', '</p><p>')}</p></body></html>".encode()
 
 
 def write_docx(text: str) -> bytes:
     """The least that a word processor opens, a paragraph a line; equal texts give equal bytes."""
-    space = "http://schemas.openxmlformats.org"
+    space, begin, end = "http://schemas.openxmlformats.org", '<w:p><w:r><w:t xml:space="preserve">', "</w:t></w:r></w:p>"
     parts = {
         "[Content_Types].xml": f'<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="{space}/wordprocessingml/2006/main"><w:body>{"".join(f"<w:p><w:r><w:t xml:space=\"preserve\">{html.escape(x)}</w:t></w:r></w:p>" for x in text.split(chr(10)))}</w:body></w:document>',
+        "word/document.xml": f'<w:document xmlns:w="{space}/wordprocessingml/2006/main"><w:body>{begin}{html.escape(text).replace(chr(10), end + begin)}{end}</w:body></w:document>',
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -55,7 +55,9 @@ def file_rows(docs: DataFrame, path: Column, text: Column, at: Column, sidecar:
     extension decides on the format; a null text is a file without bytes."""
     side = F.lit(None).cast("string") if sidecar is None else F.to_json(sidecar)
     named = docs.select(path.alias("path"), text.alias("text"), at.cast("timestamp").alias("modificationTime"), side.alias("side"))
-    own = named.select("path", "modificationTime", F.coalesce(_encoded(extension(F.col("path")), F.col("text")), F.lit(b"")).alias("content"))
+    kind = extension(F.col("path"))
+    made = _encoded(kind, F.when(kind.isin(*WRITERS), F.col("text")))  # plain bytes need no Python
+    own = named.select("path", "modificationTime", F.coalesce(made, F.col("text").cast("binary"), F.lit(b"")).alias("content"))
     beside = named.where("side is not null").select(F.concat("path", F.lit(".json")).alias("path"), "modificationTime", F.col("side").cast("binary").alias("content"))
     return own.unionByName(beside).select("path", "modificationTime", F.length("content").cast("long").alias("length"), "content")
 
