@@ -108,14 +108,15 @@ def point_id(value: Column) -> Column:
     return F.conv(F.concat(top.cast("string"), F.substring(digest, 2, 15)), 16, 10).cast("long")
 
 
-def batch_id(at: Column, key: Column) -> Column:
-    """T-09: BATCH-yyyymmdd-HHMMSS-<8 hex digits of the key's hash>."""
-    return F.concat(F.lit("BATCH-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(F.sha2(key, 256), 1, 8))
+def batch_id(at: Column, key: Column, digits: int = 8) -> Column:
+    """T-09: BATCH-yyyymmdd-HHMMSS-<hex digits of the key's hash>. Eight digits tell apart the few
+    keys of one second; of 50,000 keys of one time two are likely alike, so those need more."""
+    return F.concat(F.lit("BATCH-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(F.sha2(key, 256), 1, digits))
 
 
 def parse_batch_name(name: Column) -> dict[str, Column]:
     """Parts of an archived file's name: BATCH-<stamp>-<hex>[-DUPLICATE]_<original>."""
-    pattern = r"^BATCH-(\d{8}-\d{6})-([0-9a-f]{8})(-DUPLICATE)?_(.*)$"
+    pattern = r"^BATCH-(\d{8}-\d{6})-([0-9a-f]{8,64})(-DUPLICATE)?_(.*)$"
     part = lambda n: F.nullif(F.regexp_extract(name, pattern, n), F.lit(""))
     return {"stamp": F.to_timestamp(part(1), "yyyyMMdd-HHmmss"), "is_duplicate": part(3).isNotNull(), "original": F.coalesce(part(4), name)}
 

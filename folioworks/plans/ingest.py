@@ -19,6 +19,8 @@ from folioworks.sources import readers
 
 OBJECT_UPDATES = ["original_text", "normalized_text", "source_key", "metadata", "updated_at"]
 SOURCE_UPDATES = ["title", "file_name", "sha256", "metadata", "updated_at"]
+#: Hex digits of a batch's id: all files of a run have one time, and no two of them may share an id.
+BATCH_DIGITS = 32
 
 
 @dataclass
@@ -56,7 +58,7 @@ def ingest(files: DataFrame, sources: DataFrame, objects: DataFrame, run_at: Col
     docs, rejects = canonical_files(files)
     docs, unknown_status = classify.with_status(docs)
     rejects = rejects.unionByName(unknown_status.select("path", F.lit("unknown verification status").alias("reason")))
-    docs = docs.withColumn("batch_id", batch_id(run_at, F.col("path"))).withColumn("key", F.coalesce("source_key", F.concat(F.lit("SRC-"), F.substring("content_sha256", 1, 16))))
+    docs = docs.withColumn("batch_id", batch_id(run_at, F.col("path"), BATCH_DIGITS)).withColumn("key", F.coalesce("source_key", F.concat(F.lit("SRC-"), F.substring("content_sha256", 1, 16))))
     told = find_duplicates(docs, "content_sha256", ["branch", "topic"], ["modified", "path"], "batch_id")
     known = known_duplicates(told, sources, objects).select("batch_id", F.col("first_batch_id").alias("known_batch")).distinct()
     told = told.join(known, "batch_id", "left").withColumn("duplicate_of", F.coalesce("known_batch", F.when(F.col("is_duplicate"), F.col("first_key"))))
@@ -86,7 +88,7 @@ def ingest(files: DataFrame, sources: DataFrame, objects: DataFrame, run_at: Col
         F.lit(0).alias("relationship_count"), F.when(F.col("duplicate_of").isNotNull(), F.create_map(F.lit("duplicate_of"), F.col("duplicate_of"))).alias("report"), run_at.alias("started_at"), run_at.alias("completed_at"),
     )
     failed = rejects.select(
-        batch_id(run_at, F.col("path")).alias("batch_id"), F.lit(None).cast("string").alias("source_key"), F.lit("failed").alias("status"), F.lit(0).alias("object_count"), F.lit(0).alias("relationship_count"),
+        batch_id(run_at, F.col("path"), BATCH_DIGITS).alias("batch_id"), F.lit(None).cast("string").alias("source_key"), F.lit("failed").alias("status"), F.lit(0).alias("object_count"), F.lit(0).alias("relationship_count"),
         F.create_map(F.lit("reason"), F.col("reason")).alias("report"), run_at.alias("started_at"), run_at.alias("completed_at"),
     )
     return Ingested(new_sources, made, batches.unionByName(failed), rejects)
