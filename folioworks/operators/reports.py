@@ -111,6 +111,17 @@ def id_list(rows: DataFrame, group: str, key: str, chunk: int = 1000) -> DataFra
     return numbered.groupBy(group, F.floor((F.col("nth") - 1) / chunk).cast("int").alias("chunk")).agg(ids.alias("ids"), F.count(key).alias("n"))
 
 
+def whole_id_list(rows: DataFrame, group: str, key: str, chunk: int = 1000) -> DataFrame:
+    """A-16: per group all its ids in order, in one string (null: it has none), and its number of
+    rows. Ids are sorted and joined in the chunks of ``id_list``, so that who puts a group's
+    string together meets a row for every ``chunk`` ids, already in text."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk", F.col("ids").alias("x"))))
+    lists = id_list(rows, group, key, chunk).groupBy(group).agg(_joined(parts).alias("ids"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("n"))
+    on = F.col(f"c.{group}").eqNullSafe(F.col(f"l.{group}"))
+    return counts.alias("c").join(lists.alias("l"), on, "left").select(f"c.{group}", "ids", "n")
+
+
 def facet(rows: DataFrame, column: str) -> DataFrame:
     """A-17."""
     return rows.select(column).where(F.col(column).isNotNull()).distinct()

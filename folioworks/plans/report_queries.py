@@ -104,12 +104,9 @@ def truth_report(d: Tables) -> DataFrame:
     return reports.table_counts({t: getattr(d, t) for t in TABLE_NAMES})
 
 
-@query("""
-with n as (select source, doc_id, (row_number() over (partition by source order by doc_id) - 1) // 1000 as chunk from documents)
-select source, chunk::int as chunk, string_agg(doc_id::varchar, ',' order by doc_id) as ids, count(*) as n from n group by 1, 2
-""")
+@query("select source, string_agg(doc_id::varchar, ',' order by doc_id) as ids, count(*) as n from documents group by source")
 def id_lists(d: Tables) -> DataFrame:
-    return reports.id_list(d.documents, "source", "doc_id")
+    return reports.whole_id_list(d.documents, "source", "doc_id")
 
 
 @query("select distinct case when doc_id % 9 > 0 then lang end as lang from documents where doc_id % 9 > 0")
