@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioworks.session import staged
 
-#: Vectors that cells are built around (those whose keys hash lowest), points of a block, and queries scored at once.
-CENTRES, BLOCK, TOGETHER = 256, 1 << 14, 32
+#: Vectors that cells are built around (those whose keys hash lowest), points of a block, queries scored at once, and queries sent at once with the cells that they meet.
+CENTRES, BLOCK, TOGETHER, SENT = 256, 1 << 14, 32, 256
 #: Bounds and scores are sums in different orders.
 SLACK = 1e-9
 
@@ -121,23 +121,24 @@ def vector_top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "obje
     def visits(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows, cell = [], []
-                for i, at, high in bounds(b):
-                    order = np.argsort(-high, kind="stable")
-                    held = np.cumsum(known["_size"].to_numpy()[at[order]])
-                    n_first = int(np.searchsorted(held, k)) + 1
-                    some = at[order[:n_first]]
-                    if not first:
-                        rest = order[n_first:]
-                        least = b["_least"].iloc[i]
-                        some = at[rest] if pd.isna(least) else at[rest[high[rest] >= least]]
-                    rows += [i] * len(some)
-                    cell += some.tolist()
-                yield b.iloc[rows].assign(_cell=np.array(cell, np.int64)).drop(columns=["_least"])
+                for start in range(0, len(b), SENT):
+                    few = b.iloc[start : start + SENT]
+                    meets: list[list[int]] = [[] for _ in range(len(few))]
+                    for i, at, high in bounds(few):
+                        order = np.argsort(-high, kind="stable")
+                        held = np.cumsum(known["_size"].to_numpy()[at[order]])
+                        n_first = int(np.searchsorted(held, k)) + 1
+                        some = at[order[:n_first]]
+                        if not first:
+                            rest = order[n_first:]
+                            least = few["_least"].iloc[i]
+                            some = at[rest] if pd.isna(least) else at[rest[high[rest] >= least]]
+                        meets[i] = some.tolist()
+                    yield few.drop(columns=["_least"]).assign(_cells=pd.Series(meets, index=few.index, dtype=object))
 
         return run
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in q.dtypes) + ", _cell long"
+    schema = ", ".join(f"`{c}` {t}" for c, t in q.dtypes) + ", _cells array<long>"
     numbers = spark.createDataFrame([(i, *(r[c] for c in cells_of)) for i, r in enumerate(cells)], "_cell long, _n int, _c int" + "".join(f", `{c}` {types[c]}" for c in same))
     on = F.lit(True)
     for c in cells_of:
@@ -145,6 +146,7 @@ def vector_top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "obje
     celled = kept.withColumn("_block", block_of).alias("a").join(F.broadcast(numbers).alias("b"), on).select("a.*", "b._cell")
 
     def met(asked: DataFrame) -> DataFrame:
+        asked = asked.select(*q.columns, F.explode("_cells").alias("_cell"))
         each = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else asked.withColumn("_block", F.lit(0))
         here = celled.join(each.select("_cell", "_block").distinct(), ["_cell", "_block"], "left_semi")
         if scored is not None:

@@ -5,6 +5,7 @@ import random
 import duckdb
 
 from folioworks import catalog
+from folioworks.operators import nearest
 
 
 def test_queries_meet_vectors_of_every_label(spark, tmp_path):
@@ -19,3 +20,10 @@ def test_queries_meet_vectors_of_every_label(spark, tmp_path):
     free = [g for g in got if not g[1]]
     assert len(free) == 70 and any(label[g[3]] != label[g[0]] for g in free) and any(g[3] % 100 for g in free)
     assert len(got) == 130 and all(label[g[3]] == label[g[0]] for g in got if g[1])
+
+
+def test_queries_go_on_in_parts_with_the_cells_that_they_meet(spark, sf_dir, monkeypatch):
+    run = lambda: sorted(map(tuple, catalog.QUERIES["vector_topk"](spark, sf_dir).collect()))
+    whole = run()
+    monkeypatch.setattr(nearest, "SENT", 2)
+    assert run() == whole
